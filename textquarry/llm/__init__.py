@@ -3,13 +3,13 @@
 
 def queries() -> dict:
     """All pN_ queries."""
-    from textquarry.llm import queries_tokens
+    from textquarry.llm import queries_neardup, queries_tokens
 
-    return {**queries_tokens.QUERIES}
+    return {**queries_tokens.QUERIES, **queries_neardup.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    from textquarry.llm import queries_tokens
+    from textquarry.llm import queries_neardup, queries_tokens
 
-    return {**queries_tokens.SQL}
+    return {**queries_tokens.SQL, **queries_neardup.SQL}
