@@ -33,6 +33,11 @@ def page_key(url: Column | str) -> Column:
     return F.when(F.length(page) > 0, page)
 
 
+def named_hash(entity: Column) -> Column:
+    """64-bit hash of an entity's name; null for null."""
+    return F.when(entity.isNotNull(), F.xxhash64(entity))
+
+
 def related(rows: DataFrame, row_id: str, entities: list[str]) -> DataFrame:
     """(row_id, group): rows that share a value in any of two entity columns, or a chain of them.
 

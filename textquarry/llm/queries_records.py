@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.keys import key
+from textquarry.functions.state import cut
 from textquarry.llm import mixing
-from textquarry.llm.grouping import assign, divided, group_key, page_key, related
+from textquarry.llm.grouping import assign, divided, group_key, named_hash, page_key, related
 from textquarry.llm.history import deduplicate, simhash_bits
 from textquarry.llm.queries_tokens import small_rows
 from textquarry.llm.sampling import sample_numeric, sample_records
@@ -66,10 +67,13 @@ def p3_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct rows with their entities as hashes, computed once: the addresses take long to clean."""
     rows = table(spark, sf, "source_row")
-    return rows.select(
-        "row_id", "language", group_key("source_group_id").alias("group_id"), page_key("source_url").alias("page"), key("partition").alias("partition")
-    ).distinct()
+    return cut(
+        rows.select(
+            "row_id", "language", named_hash(group_key("source_group_id")).alias("group_id"), named_hash(page_key("source_url")).alias("page"), key("partition").alias("partition")
+        ).distinct()
+    )
 
 
 def _grouped(spark: SparkSession, sf: str) -> DataFrame:
