@@ -3,13 +3,13 @@
 
 def queries() -> dict:
     """All pN_ queries."""
-    from textquarry.llm import queries_neardup, queries_records, queries_tokens
+    from textquarry.llm import queries_neardup, queries_pii, queries_records, queries_tokens
 
-    return {**queries_tokens.QUERIES, **queries_neardup.QUERIES, **queries_records.QUERIES}
+    return {**queries_tokens.QUERIES, **queries_neardup.QUERIES, **queries_records.QUERIES, **queries_pii.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    from textquarry.llm import queries_neardup, queries_records, queries_tokens
+    from textquarry.llm import queries_neardup, queries_pii, queries_records, queries_tokens
 
-    return {**queries_tokens.SQL, **queries_neardup.SQL, **queries_records.SQL}
+    return {**queries_tokens.SQL, **queries_neardup.SQL, **queries_records.SQL, **queries_pii.SQL}

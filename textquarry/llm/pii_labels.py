@@ -32,7 +32,7 @@ _OTHER_ID = re.compile(
 _STREET = r"(?:Street|St\.|Road|Rd\.?|Avenue|Ave\.?|Crescent|Lane|Ln\.?|Blvd\.?|Boulevard|Drive|Way|Court|Close|Square|Terrace)"
 _CAP = r"[A-Z][a-zé-ÿ]+"
 _ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Unit|Room|No\.) ?\w+, )?(?<![\d.,/])\d{{1,4}}(?:/\d{{1,4}})?[a-z]?,? (?:{_CAP} ){{1,3}}{_STREET}(?:,? ?\n?{_CAP}(?: {_CAP})?(?:,? \d{{4,5}})?)?"
+    rf"(?:(?:Flat|Apt\.?|Unit|Room|No\.) ?\w+, )?(?<![\d.,/])\d{{1,4}}(?:/\d{{1,4}})?[a-z]?,? (?:{_CAP} ){{1,3}}{_STREET}(?:,? ?\n?{_CAP}(?: {_CAP})?(?:,? \d{{4,5}}(?!\d))?)?"
     rf"|(?<![\d.,/])\d{{1,4}}(?:/\d{{1,4}})? (?:Moo \d+,? |Soi {_CAP}(?: \d+)?)[^\n|;]{{0,60}}?(?:\d{{5}}|(?=[|;/\n])|$)"
     r"|(?:บ้าน)?เลขที่ ?\d{1,4}(?:/\d{1,4})?,? (?:หมู่|ม\.|ถ\.|ถนน|ซอย|ซ\.)[^\n|;A-Za-z]{0,70}?(?: \d{5}|(?=[|;/\n])|(?: จ\.[ก-๎]+)|(?: อ\.[ก-๎]+)|(?=[A-Z])|$)"
     r"|(?<![\d.,/])\d{1,4}(?:/\d{1,4})? ?(?:หมู่ ?\d|ซอย)[^\n|;A-Za-z]{0,70}?(?: \d{5}|(?=[|;/\n])|(?=[A-Z])|$)"
@@ -64,7 +64,7 @@ class Names:
         self.given = {n.lower() for n, k, s in rows if k == "given" and s == "latin"}
         self.family = {n.lower() for n, k, s in rows if k == "family" and s == "latin"}
         thai = [sorted((n for n, k, s in rows if k == kind and s == "thai"), key=len, reverse=True) for kind in ("given", "family")]
-        g, f = ("|".join(map(re.escape, t)) for t in thai)
+        g, f = (f"(?:{'|'.join(map(re.escape, t))})" for t in thai)
         # names are made of a stem and an ending: unseen combinations are recognised by ending
         self.thai = re.compile(
             rf"(?:{_THAI_TITLE} ?|(?<![ก-๎]))(?:{g} (?:{f}|[ก-ฮ]\.)|(?:{g}|[ก-ฮ]\.|[ก-๎]{{2,9}}(?:กร|ชัย|ณัฐ|ดา|นันท์|พล|มาศ|วรี)) (?:{f}|[ก-๎]{{2,9}}(?:กุลเวช|ชาติเดช|ประเสร|มงคลทร|วัฒนู|สันติลา|ไพศอน)))(?![ก-๎])"

@@ -117,7 +117,82 @@ def score(model: Tagger, texts: list[str], names: Names) -> dict[str, tuple[int,
     return {k: tuple(v) for k, v in out.items()}
 
 
-def train(out: str, roots: list[str], seconds: float = 600, hidden: int = 64, batch: int = 64, seed: int = 5) -> None:
+def _batch(rows: list[tuple[np.ndarray, np.ndarray]], step: int, worker: int, workers: int, batch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of about equal length for one worker; ``rows`` are sorted by length."""
+    rng = np.random.default_rng((step, 17))
+    first = int(rng.integers(0, max(1, len(rows) - workers * batch + 1)))
+    group = rows[first + worker : first + workers * batch : workers]
+    width = max(len(x) for x, _ in group)
+    x, y = np.zeros((len(group), width), np.uint8), np.zeros((len(group), width), np.int64)
+    for r, (a, b) in enumerate(group):
+        x[r, : len(a)], y[r, : len(b)] = a, b
+    # sometimes a letter is hidden, so that no single name is learnt by heart
+    drop = (np.random.default_rng((step, worker)).random(x.shape) < 0.02) & (x >= 34) & (x < 96)
+    x[drop] = 228
+    return x, y
+
+
+def fit(model: Tagger, rows: list[tuple[np.ndarray, np.ndarray]], seconds: float, batch: int, workers: int) -> None:
+    """Adam with gradients averaged over worker processes, for so many seconds."""
+    import multiprocessing as mp
+
+    rng = random.Random(9)
+    rows = sorted(rows, key=lambda r: len(r[0]) + rng.random() * 8)
+    names = list(model.p)
+    bounds = np.cumsum([0] + [model.p[k].size for k in names])
+    ctx = mp.get_context("fork")
+    params = np.frombuffer(ctx.RawArray("f", int(bounds[-1])), np.float32)
+    grads = np.frombuffer(ctx.RawArray("f", int(bounds[-1]) * workers), np.float32).reshape(workers, -1)
+    losses = np.frombuffer(ctx.RawArray("d", workers), np.float64)
+    go, done, stop = ctx.Barrier(workers + 1), ctx.Barrier(workers + 1), ctx.Value("b", 0)
+
+    def view(flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: flat[a:b].reshape(model.p[k].shape) for k, a, b in zip(names, bounds[:-1], bounds[1:])}
+
+    for k, v in view(params).items():
+        v[...] = model.p[k]
+    own = Tagger(model.hidden)
+    own.p = view(params)
+
+    def work(me: int) -> None:
+        step = 0
+        while True:
+            go.wait()
+            if stop.value:
+                return
+            losses[me], g = gradients(own, *_batch(rows, step, me, workers, batch))
+            for k, v in view(grads[me]).items():
+                v[...] = g[k]
+            step += 1
+            done.wait()
+
+    crew = [ctx.Process(target=work, args=(i,), daemon=True) for i in range(workers)]
+    for c in crew:
+        c.start()
+    m, v = np.zeros_like(params), np.zeros_like(params)
+    began, step, total = time.time(), 0, 0.0
+    while (spent := time.time() - began) < seconds:
+        go.wait()
+        done.wait()
+        g = grads.mean(0)
+        g *= min(1.0, 5 / (float(np.sqrt((g * g).sum())) + 1e-6))
+        step += 1
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        rate = 5e-3 * min(1, step / 50) * max(0.01, 1 - spent / seconds)
+        params -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        total += float(losses.mean())
+        if step % 200 == 0:
+            print(step, round(spent), "loss", round(total / 200, 3), flush=True)
+            total = 0.0
+    stop.value = 1
+    go.wait()
+    for c in crew:
+        c.join()
+    model.p = {k: x.copy() for k, x in view(params).items()}
+
+
+def train(out: str, roots: list[str], seconds: float = 600, hidden: int = 64, batch: int = 24, seed: int = 5, workers: int = 8) -> None:
     rng = random.Random(seed)
     texts: list[str] = []
     listed: list[tuple[str, str, str]] = []
@@ -144,38 +219,7 @@ def train(out: str, roots: list[str], seconds: float = 600, hidden: int = 64, ba
         rows += [(x[a : a + WINDOW], y[a : a + WINDOW]) for a in starts]
     print(len(texts), "texts,", len(rows), "windows", flush=True)
     model = Tagger(hidden, seed)
-    m = {k: np.zeros_like(v) for k, v in model.p.items()}
-    v = {k: np.zeros_like(p) for k, p in model.p.items()}
-    began, step, total, epoch = time.time(), 0, 0.0, 0
-    while (spent := time.time() - began) < seconds:
-        rng.shuffle(rows)
-        pool = [sorted(rows[k : k + 32 * batch], key=lambda r: len(r[0])) for k in range(0, len(rows), 32 * batch)]
-        groups = [p[k : k + batch] for p in pool for k in range(0, len(p), batch)]
-        rng.shuffle(groups)
-        for group in groups:
-            if (spent := time.time() - began) > seconds:
-                break
-            width = max(len(x) for x, _ in group)
-            x, y = np.zeros((len(group), width), np.uint8), np.zeros((len(group), width), np.int64)
-            for r, (a, b) in enumerate(group):
-                x[r, : len(a)], y[r, : len(b)] = a, b
-            # sometimes a character is hidden, so that no single name is learnt by heart
-            drop = (np.random.default_rng(step).random(x.shape) < 0.02) & (x >= 34) & (x < 96)
-            x[drop] = 228
-            loss, g = gradients(model, x, y)
-            norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-            step += 1
-            rate = 4e-3 * max(0.02, 1 - spent / seconds)
-            for k, q in g.items():
-                q = q * min(1.0, 5 / (norm + 1e-6))
-                m[k] += 0.1 * (q - m[k])
-                v[k] += 0.001 * (q * q - v[k])
-                model.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            total += loss
-            if step % 100 == 0:
-                print(step, round(spent), "epoch", epoch, "loss", round(total / 100, 3), flush=True)
-                total = 0.0
-        epoch += 1
+    fit(model, rows, seconds, batch, workers)
     model.save(out)
     print("held out (both, labelled, found):", score(model, held, names))
 
