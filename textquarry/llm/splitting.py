@@ -26,6 +26,9 @@ def _marks() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "M" for c in range(sys.maxunicode + 1)])
 
 
+#: Most plans of a text before it is cut evenly, and the tokens kept free then.
+_ROUNDS, _RESERVE = 24, 8
+
 _mark_table: list[np.ndarray] = []
 
 
@@ -93,13 +96,21 @@ def _plan(bpe: ByteBpe, data: np.ndarray, lay: _Layout, cap: int, overlap: int)
     """Text, first token, end token and token count of every piece, in order."""
     size = np.diff(lay.tokens)
     todo = np.flatnonzero(size > cap)
+    natural = np.sort(np.concatenate([v for k, v in lay.by_strength.items() if k >= BLANK]))
+    # a text without any natural place is cut into the fewest pieces
+    bare = np.searchsorted(natural, lay.tokens[:-1], "right") == np.searchsorted(natural, lay.tokens[1:])
     pieces = -(-(size[todo] - overlap) // (cap - overlap))
     done: list[tuple[np.ndarray, ...]] = []
+    rounds = 0
     while len(todo):
+        rounds += 1
+        if rounds > _ROUNDS:  # even cuts between characters, with room for cuts inside pieces
+            pieces = -(-(size[todo] - overlap) // max(1, cap - overlap - _RESERVE))
         n, first, last = size[todo], lay.tokens[todo], lay.tokens[todo + 1]
         step = (n - overlap) / pieces  # distance of targets
-        slack = cap - (step + overlap)
-        width = np.floor(slack / 2).astype(np.int64)
+        slack = cap - (step + overlap) - 3  # the start of an overlap may move back to a character
+        # half the free room, and less than half a step: windows of neighbours never meet
+        width = np.maximum(0, np.floor(np.minimum(slack / 2, step / 2 - 1))).astype(np.int64)
         owner = np.repeat(np.arange(len(todo)), pieces)
         k = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
         final = k == pieces[owner]
@@ -120,7 +131,7 @@ def _plan(bpe: ByteBpe, data: np.ndarray, lay: _Layout, cap: int, overlap: int)
         begin = np.where(k == 1, first[owner], np.concatenate([[0], end[:-1]]) - overlap)
         inner = np.flatnonzero(k > 1)
         whole = lay.starts[np.maximum(np.searchsorted(lay.starts, begin[inner], "right") - 1, 0)]
-        near_start = begin[inner] - whole <= 16
+        near_start = (begin[inner] - whole <= np.minimum(16, step[owner[inner]] / 4)) & (end[inner] - whole <= cap)
         begin[inner] = np.where(near_start, whole, lay.aligned[begin[inner]])
         begin = np.maximum(begin, first[owner])
         count = end - begin
@@ -136,15 +147,14 @@ def _plan(bpe: ByteBpe, data: np.ndarray, lay: _Layout, cap: int, overlap: int)
         previous = np.concatenate([[-1], begin[:-1]])
         bad = (count > cap) | (count <= 0) | ((k > 1) & (begin <= previous))
         # room enough and still no white space: the text has no better place
-        wide = width >= np.maximum(1, (cap - overlap) // 8)
+        wide = (width >= (cap - overlap) // 10) | bare[todo]
         bad |= (got < BLANK) & ~wide[owner]
         again = np.zeros(len(todo), bool)
         again[owner[bad]] = True
-        # the finest division has pieces of one step each; beyond it cuts are taken as they are
-        again &= pieces < n
+        again &= rounds <= _ROUNDS
         good = ~again[owner]
         done.append((todo[owner[good]], begin[good], end[good], count[good]))
-        pieces = np.minimum(pieces + np.maximum(1, pieces // 16), n)[again]
+        pieces = np.minimum(pieces + np.maximum(1, pieces // 32), n)[again]
         todo = todo[again]
     if not done:
         z = np.zeros(0, np.int64)
