@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textquarry.functions.binding import bind
 from textquarry.functions.keys import WHITESPACE_CLASS
 from textquarry.functions.text import DIGIT_CLASS, WORD_CLASS, characters, line_count, utf8_bytes
 
@@ -63,35 +64,52 @@ def screen(
     if min_characters < 0 or max_characters < min_characters:
         raise ValueError("0 <= min_characters <= max_characters is required")
     text = F.col(text) if isinstance(text, str) else text
-    n = characters(text)
-    controls = _matches(text, r"[\p{Cc}\p{Cf}&&[^\n\r\t]]")
-    broken = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
-    runs = run_characters(text)
-    ratio = lambda k: F.when(n > 0, k / n).otherwise(0.0)
-    nul = _matches(text, r"\x00")
-    findings = [
-        ("too_short", "reject", (n < min_characters).cast("int")),
-        ("too_long", "reject", (n > max_characters).cast("int")),
-        ("blank_or_whitespace", "reject", text.rlike(rf"^[{WHITESPACE_CLASS}]*\z").cast("int")),
-        ("nul_byte", "reject", nul),
-        ("excess_control_characters", "reject", F.when(ratio(controls) > control_ratio, 1).otherwise(0)),
-        ("excess_unicode_replacement", "reject", F.when(ratio(broken) > replacement_ratio, 1).otherwise(0)),
-        ("suspicious_repeated_character_runs", "review", F.when(ratio(runs) > run_ratio, 1).otherwise(0)),
-        ("possible_email", "review", _matches(text, EMAIL)),
-        ("possible_ipv4", "review", _matches(text, IPV4)),
-        *([("possible_phone", "review", _matches(text, PHONE))] if phones else []),
-        ("possible_payment_card", "reject", card_numbers(text)),
-        ("possible_secret", "reject", _matches(text, SECRET)),
-    ]
-    listed = F.filter(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), k.alias("count")) for c, s, k in findings]), lambda x: x["count"] > 0)
-    worst = F.when(F.exists(listed, lambda x: x["severity"] == "reject"), "reject").when(F.size(listed) > 0, "review").otherwise("accept")
-    return F.when(
-        text.isNotNull(),
-        F.struct(
-            worst.alias("disposition"), n.alias("characters"), utf8_bytes(text).alias("utf8_bytes"), line_count(text).alias("line_count"),
-            ratio(controls).alias("control_ratio"), ratio(broken).alias("replacement_ratio"), ratio(runs).alias("repeated_run_ratio"), listed.alias("findings"),
-        ),
-    )
+    counts = {
+        "n": characters(text),
+        "bytes": utf8_bytes(text),
+        "lines": line_count(text),
+        "controls": _matches(text, r"[\p{Cc}\p{Cf}&&[^\n\r\t]]"),
+        "broken": F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit(""))),
+        "runs": F.when(text.rlike(rf"(?s)([^{WHITESPACE_CLASS}])\1{{{RUN_LENGTH - 1}}}"), run_characters(text)).otherwise(0),
+        "blank": text.rlike(rf"^[{WHITESPACE_CLASS}]*\z").cast("int"),
+        "nul": F.length(text) - F.length(F.replace(text, F.lit("\0"), F.lit(""))),
+        # cheap necessary conditions spare most texts the patterns
+        "emails": F.when(F.contains(text, F.lit("@")), _matches(text, EMAIL)).otherwise(0),
+        "addresses": F.when(text.rlike(rf"{DIGIT_CLASS}\.{DIGIT_CLASS}"), _matches(text, IPV4)).otherwise(0),
+        "phones": _matches(text, PHONE) if phones else F.lit(0),
+        "cards": F.when(text.rlike(rf"{DIGIT_CLASS}[ \-]?{DIGIT_CLASS}{{2}}"), card_numbers(text)).otherwise(0),
+        "secrets": F.when(text.rlike("(?i)-----BEGIN|_?-?key|token"), _matches(text, SECRET)).otherwise(0),
+    }
+
+    def judge(c: Column) -> Column:
+        n = c["n"]
+        ratio = lambda k: F.when(n > 0, c[k] / n).otherwise(0.0)
+        over = lambda k, most: F.when(ratio(k) > most, 1).otherwise(0)
+        findings = [
+            ("too_short", "reject", (n < min_characters).cast("int")),
+            ("too_long", "reject", (n > max_characters).cast("int")),
+            ("blank_or_whitespace", "reject", c["blank"]),
+            ("nul_byte", "reject", c["nul"]),
+            ("excess_control_characters", "reject", over("controls", control_ratio)),
+            ("excess_unicode_replacement", "reject", over("broken", replacement_ratio)),
+            ("suspicious_repeated_character_runs", "review", over("runs", run_ratio)),
+            ("possible_email", "review", c["emails"]),
+            ("possible_ipv4", "review", c["addresses"]),
+            ("possible_phone", "review", c["phones"]),
+            ("possible_payment_card", "reject", c["cards"]),
+            ("possible_secret", "reject", c["secrets"]),
+        ]
+        listed = F.filter(F.array(*[F.struct(F.lit(a).alias("code"), F.lit(s).alias("severity"), k.alias("count")) for a, s, k in findings]), lambda x: x["count"] > 0)
+        return bind(
+            listed,
+            lambda found: F.struct(
+                F.when(F.exists(found, lambda x: x["severity"] == "reject"), "reject").when(F.size(found) > 0, "review").otherwise("accept").alias("disposition"),
+                n.alias("characters"), c["bytes"].alias("utf8_bytes"), c["lines"].alias("line_count"), ratio("controls").alias("control_ratio"),
+                ratio("broken").alias("replacement_ratio"), ratio("runs").alias("repeated_run_ratio"), found.alias("findings"),
+            ),
+        )
+
+    return F.when(text.isNotNull(), bind(F.struct(*[v.alias(k) for k, v in counts.items()]), judge))
 
 
 def status(disposition: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textquarry.functions.binding import bind
 from textquarry.functions.keys import WHITESPACE_CLASS
 from textquarry.functions.text import DIGIT_CLASS, WORD_CLASS
 
@@ -49,6 +50,18 @@ TECHNICAL, DOMAIN = "technical_scientific_code", "flywire_domain"
 SYMBOLS = ("{", "}", ";", "=>", "::")
 
 
+#: What a text must contain before a pattern is tried, where that is cheaper to see.
+_NEEDED = {
+    "stack_trace": rf"(?i)traceback|exception|:{_D}+\)", "doi": "(?i)doi", "arxiv": "(?i)arxiv", "scientific_notation": rf"{_D}[eE][+\-]?{_D}",
+    "equation": r"[$\\]", "shell_prompt": r"[$>]", "units": rf"(?iu){_D}[{_S}]*[numckhg]",
+}
+
+
+def _gated(text: Column, name: str, pattern: str) -> Column:
+    counted = F.regexp_count(text, F.lit(pattern))
+    return F.when(text.rlike(_NEEDED[name]), counted).otherwise(0) if name in _NEEDED else counted
+
+
 def _present(text: Column, terms: tuple[str, ...]) -> Column:
     total = F.lit(0)
     for t in terms:
@@ -65,33 +78,39 @@ def classify(text: Column | str, threshold: int = THRESHOLD) -> Column:
     if threshold < 1:
         raise ValueError("the threshold must be at least 1")
     text = F.col(text) if isinstance(text, str) else text
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    parts: list[tuple[Column, Column]] = []
-    for name, pattern in CODE_SIGNALS.items():
-        n = count(pattern)
-        parts.append((F.least(F.lit(4), 2 * n), F.when(n > 0, name)))
-    for name, pattern in SCIENCE_SIGNALS.items():
-        n = count(pattern)
-        parts.append((F.least(F.lit(3), n), F.when(n > 0, name)))
+    signs = {**CODE_SIGNALS, **SCIENCE_SIGNALS}
+    counts = {name: _gated(text, name, pattern) for name, pattern in signs.items()}
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9_+\\-]*"), F.lit(0))
-    hits = F.size(F.filter(words, lambda w: w.isin(*TERMS)))
-    parts.append((F.when(hits >= 4, F.least(F.lit(5), F.floor(hits / 2).cast("int"))).otherwise(0), F.when(hits >= 4, "technical_terms")))
-    dense = (hits >= 3) & (hits / F.greatest(F.size(words), F.lit(1)) >= 0.03)
-    parts.append((F.when(dense, 2).otherwise(0), F.when(dense, "technical_term_density")))
-    strong, support, generic = (_present(text, t) for t in (THAI_STRONG, THAI_SUPPORT, THAI_GENERIC))
-    parts.append((F.when(strong > 0, F.least(F.lit(6), 2 + strong)).otherwise(0), F.when(strong > 0, "thai_strong_technical_terms")))
-    parts.append((F.when(support >= 3, F.least(F.lit(5), support + 1)).otherwise(support), F.when(support >= 2, "thai_support_technical_terms").when(support == 1, "thai_support_technical_term")))
-    beside = (generic > 0) & ((strong > 0) | (support > 0))
-    parts.append((F.when(beside, F.least(F.lit(2), generic)).otherwise(0), F.when(beside, "thai_generic_technical_support")))
+    counts |= {"words": bind(words, lambda w: F.struct(F.size(w).alias("all"), F.size(F.filter(w, lambda x: x.isin(*TERMS))).alias("hits")))}
+    counts |= {"strong": _present(text, THAI_STRONG), "support": _present(text, THAI_SUPPORT), "generic": _present(text, THAI_GENERIC)}
     symbols = F.lit(0)
     for s in SYMBOLS:
         symbols += F.floor((F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))) / len(s)).cast("int")
-    parts.append((F.when(symbols >= 8, F.least(F.lit(4), F.floor(symbols / 8).cast("int"))).otherwise(0), F.when(symbols >= 8, "code_symbol_density")))
-    score = F.lit(0)
-    for points, _ in parts:
-        score += points
-    signals = F.array_sort(F.array_compact(F.array(*[name for _, name in parts])))
-    return F.when(text.isNotNull(), F.struct(F.when(score >= threshold, TECHNICAL).otherwise("general").alias("category"), score.alias("score"), signals.alias("signals")))
+    counts["symbols"] = symbols
+
+    def judge(c: Column) -> Column:
+        parts: list[tuple[Column, Column]] = []
+        for name in signs:
+            points = F.least(F.lit(4), 2 * c[name]) if name in CODE_SIGNALS else F.least(F.lit(3), c[name])
+            parts.append((points, F.when(c[name] > 0, name)))
+        hits, total = c["words"]["hits"], c["words"]["all"]
+        parts.append((F.when(hits >= 4, F.least(F.lit(5), F.floor(hits / 2).cast("int"))).otherwise(0), F.when(hits >= 4, "technical_terms")))
+        dense = (hits >= 3) & (hits / F.greatest(total, F.lit(1)) >= 0.03)
+        parts.append((F.when(dense, 2).otherwise(0), F.when(dense, "technical_term_density")))
+        strong, support, generic = c["strong"], c["support"], c["generic"]
+        parts.append((F.when(strong > 0, F.least(F.lit(6), 2 + strong)).otherwise(0), F.when(strong > 0, "thai_strong_technical_terms")))
+        parts.append((F.when(support >= 3, F.least(F.lit(5), support + 1)).otherwise(support), F.when(support >= 2, "thai_support_technical_terms").when(support == 1, "thai_support_technical_term")))
+        beside = (generic > 0) & ((strong > 0) | (support > 0))
+        parts.append((F.when(beside, F.least(F.lit(2), generic)).otherwise(0), F.when(beside, "thai_generic_technical_support")))
+        symbols = c["symbols"]
+        parts.append((F.when(symbols >= 8, F.least(F.lit(4), F.floor(symbols / 8).cast("int"))).otherwise(0), F.when(symbols >= 8, "code_symbol_density")))
+        total_points = F.lit(0)
+        for points, _ in parts:
+            total_points += points
+        signals = F.array_sort(F.array_compact(F.array(*[name for _, name in parts])))
+        return bind(total_points, lambda score: F.struct(F.when(score >= threshold, TECHNICAL).otherwise("general").alias("category"), score.alias("score"), signals.alias("signals")))
+
+    return F.when(text.isNotNull(), bind(F.struct(*[v.alias(k) for k, v in counts.items()]), judge))
 
 
 def primary_category(technical: Column, language: Column | str, domain: Column | None = None) -> Column:
