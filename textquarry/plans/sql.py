@@ -92,6 +92,27 @@ SELECT source_id, count(*) AS records, count(DISTINCT fingerprint) AS kept, coun
 SELECT a.candidate_id AS query_id, b.candidate_id AS match_id, bit_count(xor(a.v, b.v)) AS distance
 FROM s a JOIN s b ON a.candidate_id % 20 = 0 AND a.candidate_id <> b.candidate_id AND bit_count(xor(a.v, b.v)) <= 3""",
     "index_size": "SELECT count(*) AS records, 4 * count(*) AS bands FROM global_candidate WHERE regexp_full_match(trim(simhash64_hex), '[0-9a-fA-F]{1,16}')",
+    "greedy_by_fields": f"""
+WITH RECURSIVE c AS (
+  SELECT candidate_id AS id, lower(dedup_fingerprint) AS f, {_SIM} AS h, row_number() OVER (ORDER BY
+    CASE partition WHEN 'holdout' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, CASE rights_lane WHEN 'release_safe' THEN 0 ELSE 1 END, candidate_id) AS n
+  FROM global_candidate WHERE partition IN ('holdout', 'validation', 'train') AND rights_lane IN ('release_safe', 'research_only')
+    AND dedup_fingerprint IS NOT NULL AND regexp_full_match(trim(simhash64_hex), '[0-9a-fA-F]{{1,16}}')
+), near AS (
+  SELECT n, other, kind, d, (kind, d, other) AS score FROM (
+    SELECT x.n, y.id AS other, CASE WHEN x.f = y.f THEN 0 ELSE 1 END AS kind, CASE WHEN x.f = y.f THEN 0 ELSE bit_count(xor(x.h, y.h)) END AS d
+    FROM c x JOIN c y ON y.n < x.n AND (x.f = y.f OR bit_count(xor(x.h, y.h)) <= 3))
+), r(n, accepted, id, other, kind, d) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::INTEGER
+  UNION ALL
+  SELECT s.n, CASE WHEN s.other IS NULL THEN list_append(s.accepted, s.id) ELSE s.accepted END, s.id, s.other, s.kind, s.d FROM (
+    SELECT c.n, any_value(r.accepted) AS accepted, any_value(c.id) AS id, arg_min(near.other, near.score) FILTER (list_contains(r.accepted, near.other)) AS other,
+      arg_min(near.kind, near.score) FILTER (list_contains(r.accepted, near.other)) AS kind, arg_min(near.d, near.score) FILTER (list_contains(r.accepted, near.other)) AS d
+    FROM r JOIN c ON c.n = r.n + 1 LEFT JOIN near ON near.n = c.n GROUP BY c.n) s
+)
+SELECT id AS candidate_id, CASE WHEN other IS NULL THEN 'accept' ELSE 'exclude' END AS status,
+  CASE WHEN other IS NULL THEN NULL WHEN kind = 0 THEN 'cross_source_exact_duplicate' ELSE 'cross_source_near_duplicate' END AS reason,
+  other AS duplicate_of, d AS hamming_distance FROM r WHERE id IS NOT NULL""",
     "ppm_sampled": f"SELECT doc_id FROM documents WHERE {_hash(chr(39) + _SEED + chr(39) + ' || chr(0) || doc_id', 1000000)} < 50000",
     "assign_partition": f"""WITH {_DOCS}, g AS (SELECT doc_id, source_id, sha256('id:' || doc_id) AS g FROM docs),
 h AS (SELECT *, {_hash(f"'{_SPLIT}' || chr(0) || source_id || chr(0) || g", 10000)} AS h FROM g)
