@@ -251,12 +251,23 @@ def _found(column: pa.Array) -> Iterator[list[list[tuple[int, int, str]]]]:
         yield [known[t] for t in part]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows over enough partitions to keep all cores busy.
+
+    The model takes far longer than reading its input, so few large files must not mean
+    few tasks.  Where the scan gives enough partitions the texts stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 3 * cores else df.repartition(4 * cores)
+
+
 def find_personal_data(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, pii_kind, ordinal, start, end) of every piece of personal data.
 
     ``ordinal`` counts the pieces of a kind in a text from 1; start and end are character
     offsets.  Null, empty and blank texts have none; repeated rows give repeated results.
-    Map-only: texts never leave their partition.
+    Map-only, but for a spreading of texts over all cores where the input has too few
+    partitions for a model that takes far longer than reading.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -281,8 +292,7 @@ def find_personal_data(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         names=[id_col, "pii_kind", "ordinal", "start", "end"],
                     )
 
-    # batches of the default size are large for a model; partitions are split no further than the input
-    return df.where(F.length(text_col) > 0).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, pii_kind string, ordinal int, start int, `end` int")
+    return _spread(df.where(F.length(text_col) > 0).select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, pii_kind string, ordinal int, start int, `end` int")
 
 
 def redact(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -306,4 +316,4 @@ def redact(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(clean, pa.string()), pa.array([len(p) for p in part], pa.int32())], names=[id_col, text_col, "pieces"])
                 at += len(part)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, pieces int")
+    return _spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, pieces int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textquarry.functions.keys import WHITESPACE_CLASS
 from textquarry.llm.neardup import classes, similar_rows, similar_texts
 from textquarry.sources.tables import table
 
@@ -20,4 +21,12 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes}
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": rf"""
+WITH t AS (SELECT candidate_id, trim(regexp_replace(lower(text), '[{WHITESPACE_CLASS}]+', ' ', 'g'), ' ') AS n FROM global_candidate WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT candidate_id, substring(n, i, 5) AS s FROM (SELECT candidate_id, n, unnest(range(1, length(n) - 3)) AS i FROM t)),
+k AS (SELECT candidate_id, count(*) AS c FROM g GROUP BY candidate_id),
+j AS (SELECT a.candidate_id AS a, b.candidate_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.candidate_id < b.candidate_id GROUP BY ALL)
+SELECT a AS candidate_id_a, b AS candidate_id_b FROM j JOIN k x ON x.candidate_id = a JOIN k y ON y.candidate_id = b WHERE common >= 0.7 * (x.c + y.c - common)
+UNION SELECT a.candidate_id, b.candidate_id FROM t a JOIN t b ON a.n = b.n AND a.candidate_id < b.candidate_id""",
+}

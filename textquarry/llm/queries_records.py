@@ -113,7 +113,31 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_mix, p3_found, p3_dec
 
 _KEY = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 
+_BATCHES = """
+WITH RECURSIVE last AS (
+  SELECT canonical_id, arg_max(status, (decided_at, status)) AS status FROM global_decision GROUP BY canonical_id
+), c AS (
+  SELECT candidate_id, batch_no, lower(trim(dedup_fingerprint)) AS f,
+    CASE WHEN regexp_full_match(trim(simhash64_hex), '[0-9a-fA-F]{1,16}') THEN ('0x' || trim(simhash64_hex))::UBIGINT END AS h, status
+  FROM global_candidate LEFT JOIN last USING (canonical_id)
+), u AS (
+  SELECT *, row_number() OVER (ORDER BY coalesce(batch_no, 0), candidate_id) AS n FROM c WHERE status IS NULL
+), near AS (
+  SELECT u.n, k.candidate_id AS y, k.status, (CASE WHEN k.f = u.f THEN 0 ELSE 1 END, CASE WHEN k.f = u.f THEN 0 ELSE bit_count(xor(k.h, u.h)) END, k.candidate_id) AS score
+  FROM u JOIN c k ON k.candidate_id <> u.candidate_id AND (k.f = u.f OR bit_count(xor(k.h, u.h)) <= 3) WHERE k.status IS NULL OR k.status = 'accept'
+), r(n, accepted, candidate_id, dup) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT s.n, CASE WHEN s.dup IS NULL THEN list_append(s.accepted, s.candidate_id) ELSE s.accepted END, s.candidate_id, s.dup FROM (
+    SELECT u.n, any_value(r.accepted) AS accepted, any_value(u.candidate_id) AS candidate_id,
+      arg_min(near.y, near.score) FILTER (near.status = 'accept' OR list_contains(r.accepted, near.y)) AS dup
+    FROM r JOIN u ON u.n = r.n + 1 LEFT JOIN near ON near.n = u.n GROUP BY u.n) s
+)
+"""
+
 SQL = {
+    "p3_found": _BATCHES + "SELECT dup AS duplicate_of_candidate_id, candidate_id FROM r WHERE dup IS NOT NULL",
+    "p3_decisions": _BATCHES + "SELECT candidate_id, CASE WHEN dup IS NULL THEN 'accept' ELSE 'exclude' END AS status, dup AS duplicate_of FROM r WHERE candidate_id IS NOT NULL",
     "p1_found": f"""
 WITH last AS (
   SELECT DISTINCT ON (derived_id) derived_id, {_KEY.format("source_id")} AS source_id, primary_category, greatest(coalesce(train_tokens, 0), 0) AS tokens
