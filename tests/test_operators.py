@@ -219,6 +219,23 @@ def test_quarantined_first_copy_uses_up_its_fingerprint(spark):
     assert (c["records"], c["exact_duplicates"], c["near_duplicates"], c["quarantine"], c["accept"]) == (5, 1, 1, 2, 2)
 
 
+def test_ingestion_and_benchmark(spark):
+    from textquarry.operators.tokens import piece_facts, piece_ids, piece_model
+    from textquarry.plans.pipelines import ingest, refused, tokenizer_benchmark
+
+    row = ("r", "some text", "en", "c", " S1 ", "s1-a1", "g", "train")
+    rows = [row, ("r2", " ", *row[2:]), ("r3", "x", "en", "c", "s2", "s2-a", "g", "train"), ("r4", "x", "en", "c", "s9", "s9-a", "g", "train"), ("r5", "x", "en", "c", "s1", "s3-a", "g", "train"), ("r6", "x", "en", "c", "s1", "s1-a", "g", "dev")]
+    df = spark.createDataFrame(rows, "record_id string, text string, language string, category string, source_id string, artifact_id string, source_group_id string, partition string")
+    lanes = spark.createDataFrame([("s1", "release_safe"), ("s2", "research_only")], "source_id string, rights_lane string")
+    entry = ingest(df, lanes, "release_safe").collect()
+    assert [(r["record_id"], r["status"], r["training_eligible"], r["characters"]) for r in entry] == [("r", "accept", True, 9)]
+    assert {tuple(r) for r in refused(df, lanes, "release_safe").collect()} == {("blank text", 1), ("lane not visible", 1), ("unknown source", 1), ("artifact of another source", 1), ("unknown partition", 1)}
+    texts = spark.createDataFrame([("a", "Hello wide world"), ("a", ""), ("a", None), ("b", "ภาษาไทย")], "language string, text string")
+    got = {r["language"]: r for r in tokenizer_benchmark(texts, piece_facts(piece_model())("text"), "language").collect()}
+    assert got["a"]["cases"] == 1 and got["a"]["candidate_tokens"] == 3 and got["a"]["unk_tokens"] == 0 and got["b"]["roundtrip_failures"] == 0
+    assert len(texts.where("language = 'b'").select(piece_ids(piece_model())("text").alias("i")).first()["i"]) == got["b"]["candidate_tokens"]
+
+
 def test_status(spark):
     got = spark.createDataFrame([("accept",), ("review",), ("reject",)], "d string").select(status("d")).collect()
     assert [r[0] for r in got] == ["accept", "quarantine", "reject"]

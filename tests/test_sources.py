@@ -47,6 +47,15 @@ def test_wiki_and_sentences(spark, tmp_path):
         files.sentences(spark, str(p), "tha")
 
 
+def test_file_order(spark, tmp_path):
+    p = tmp_path / "s.tsv"
+    p.write_text("".join(f"{i}\teng\ttext {i % 7}\n" for i in range(200)))
+    got = files.first_sentences(spark, str(p), "eng").collect()
+    assert sorted(int(r["sentence_id"]) for r in got) == list(range(7))
+    spark.range(20).coalesce(1).write.parquet(str(tmp_path / "q"))
+    assert all(r["id"] == r["file_row_number"] for r in files.shard_rows(spark, str(tmp_path / "q")).collect())
+
+
 def test_shards_and_configs(spark, tmp_path):
     spark.range(3).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, "t").alias("text")).write.parquet(str(tmp_path / "p"))
     with pytest.raises(files.SourceError):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 #: Fixed values of the byte tokenizer.
 PAD, BOS, EOS, UNKNOWN, OFFSET, VOCABULARY = 0, 1, 2, 3, 4, 260
@@ -43,25 +45,48 @@ def next_token_pairs(ids: Column | str, length: int) -> Column:
     return F.when(n >= 2, F.struct(F.slice(part, F.lit(1), n - 1).alias("input"), F.slice(part, F.lit(2), n - 1).alias("target")))
 
 
+def piece_model(name: str = "piece_bpe_32k.model") -> str:
+    """Path of a SentencePiece model; every worker reads it there."""
+    return os.path.join(os.environ.get("TEXTQUARRY_TOKENIZERS", "/opt/tokenizers"), name)
+
+
 def piece_counter(model_file: str):
-    """Column function: token count under a SentencePiece model file that every worker can read."""
+    """Column function: token count under a SentencePiece model file; null for null."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         for texts in batches:
             known = texts.fillna("").tolist()
-            yield pd.Series([len(x) for x in model.encode(known, num_threads=1)], dtype="int32").where(texts.notna().to_numpy())
+            yield pd.Series([len(x) for x in model.encode(known, num_threads=1)], dtype="Int32").where(texts.notna().to_numpy())
 
     return count
 
 
+def piece_facts(model_file: str):
+    """Column function: struct<tokens, unknown, exact> of a text under a SentencePiece model."""
+    shape = StructType([StructField("tokens", IntegerType()), StructField("unknown", IntegerType()), StructField("exact", BooleanType())])
+
+    @F.pandas_udf(shape)
+    def facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        for texts in batches:
+            known = texts.fillna("").tolist()
+            ids = model.encode(known, num_threads=1)
+            back = model.decode(ids) if ids else []
+            yield pd.DataFrame({"tokens": [len(x) for x in ids], "unknown": [x.count(model.unk_id()) for x in ids], "exact": [a == b for a, b in zip(known, back)]})
+
+    return facts
+
+
 def piece_ids(model_file: str):
-    """Column function: ids under a SentencePiece model file."""
+    """Column function: ids under a SentencePiece model file; empty for null."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(ArrayType(IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
 

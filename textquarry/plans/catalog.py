@@ -14,8 +14,8 @@ from textquarry.operators.dedup import band_rows, greedy, keep_first, near_match
 from textquarry.operators.screening import screen, status
 from textquarry.operators.selection import balance_bytes, ppm_sample, select_bytes
 from textquarry.operators.technical import TECHNICAL, classify, primary_category
-from textquarry.operators.tokens import byte_count, byte_ids, byte_text, next_token_pairs
-from textquarry.plans.pipelines import calibrate, decide, materialise
+from textquarry.operators.tokens import byte_count, byte_ids, byte_text, next_token_pairs, piece_counter, piece_facts, piece_model
+from textquarry.plans.pipelines import calibrate, decide, ingest, materialise, refused, tokenizer_benchmark
 from textquarry.sources.files import null_counts
 from textquarry.sources.tables import table
 
@@ -223,6 +223,25 @@ def shard_calibration(spark, sf):
     return calibrate(_docs(spark, sf), "doc_id")
 
 
+def ingestion_entries(spark, sf):
+    """Manifest entry of every ingestion candidate that a research checkpoint may use."""
+    return ingest(table(spark, sf, "ingestion_candidate"), _lanes(spark, sf), "research_only")
+
+
+def ingestion_refused(spark, sf):
+    return refused(table(spark, sf, "ingestion_candidate"), _lanes(spark, sf), "research_only")
+
+
+def piece_tokens(spark, sf):
+    """Tokens of every audit row under the SentencePiece vocabulary."""
+    return table(spark, sf, "audit_row").select("audit_id", piece_counter(piece_model())("text").alias("tokens"))
+
+
+def benchmark(spark, sf):
+    """The SentencePiece vocabulary against bytes, by language."""
+    return tokenizer_benchmark(table(spark, sf, "audit_row"), piece_facts(piece_model())("text"), "language")
+
+
 # -- sampling, splits, budgets ---------------------------------------------------------
 
 
@@ -414,7 +433,7 @@ QUERIES = {
         content_hash, dedup_fingerprint, clean_text, text_sizes, source_group_id, rank_hash, canonical_order, simhash, shingles, lsh_bands, hamming_log,
         byte_tokens, byte_round_trip, token_pairs, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
-        near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ppm_sampled, assign_partition, partition_matrix,
+        near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, benchmark, ppm_sampled, assign_partition, partition_matrix,
         bytes_selected, bytes_balanced, tokenizer_corpus, rights_join, lane_violations, missing_sources, registry_difference, candidate_integrity,
         required_fields, repeated_records, unknown_values, eligible_sources, never_train, promotions, union_sources, quality_audit, audit_findings,
         token_rollup, language_counts, null_report, length_quantiles, density, decision_tokens, decision_status, train_capacity, mixture_readiness,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.keys import key, strip
 from textquarry.functions.sampling import partition_of, ppm_selected
 from textquarry.functions.state import cut
-from textquarry.functions.text import content_sha256, dedup_fingerprint, simhash64, source_group_id
+from textquarry.functions.text import content_sha256, dedup_fingerprint, simhash64, source_group_id, to_hex
 from textquarry.operators.dedup import greedy, priority
+from textquarry.operators.registry import PARTITIONS, VISIBLE
 from textquarry.operators.screening import screen, status
 from textquarry.operators.technical import TECHNICAL, classify, primary_category
 
@@ -76,3 +78,54 @@ def calibrate(rows: DataFrame, id_col: str) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(s) for s in ("accept", "quarantine", "reject")],
     )
     return totals.join(F.broadcast(near)).withColumn("exact_duplicates", F.col("records") - F.col("distinct_records"))
+
+
+def ingest(candidates: DataFrame, lanes: DataFrame, checkpoint_lane: str) -> DataFrame:
+    """Manifest entry of every ingestion candidate that a checkpoint lane may use.
+
+    ``lanes``: (source_id, rights_lane).  Blank fields, unknown sources and lanes that the
+    checkpoint doesn't see are left out; :func:`refused` names them.
+    """
+    known = _with_lane(candidates, lanes, checkpoint_lane).where("problem is null")
+    return known.select(
+        "record_id", "language", "category", "source_id", "artifact_id", "source_group_id", "partition", F.lit(checkpoint_lane).alias("checkpoint_lane"), "source_lane",
+        screen("text").alias("q"), content_sha256("text").alias("content_sha256"), dedup_fingerprint("text").alias("dedup_fingerprint"), to_hex(simhash64("text")).alias("simhash64_hex"),
+    ).select(
+        "record_id", "language", "category", "source_id", "artifact_id", "source_group_id", "partition", "checkpoint_lane", "source_lane", status("q.disposition").alias("status"),
+        "content_sha256", "dedup_fingerprint", "simhash64_hex", "q.characters", "q.utf8_bytes", F.col("q.findings.code").alias("screening_findings"),
+        (F.col("q.disposition") == "accept").alias("training_eligible"),
+    )
+
+
+def refused(candidates: DataFrame, lanes: DataFrame, checkpoint_lane: str) -> DataFrame:
+    """(problem, records) of the candidates that :func:`ingest` leaves out."""
+    return _with_lane(candidates, lanes, checkpoint_lane).where("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("records"))
+
+
+def _with_lane(candidates: DataFrame, lanes: DataFrame, checkpoint_lane: str) -> DataFrame:
+    fields = ("record_id", "text", "language", "category", "source_id", "artifact_id", "source_group_id", "partition")
+    problem = F.coalesce(*[F.when(F.coalesce(F.length(strip(c)), F.lit(0)) == 0, F.lit(f"blank {c}")) for c in fields])
+    named = candidates.select(*[c for c in fields if c != "source_id"], key("source_id").alias("source_id"), problem.alias("blank"))
+    joined = named.join(lanes.select(F.col("source_id"), F.col("rights_lane").alias("source_lane")), "source_id", "left")
+    return joined.withColumn(
+        "problem",
+        F.coalesce(
+            "blank", F.when(F.col("source_lane").isNull(), "unknown source"), F.when(~F.col("source_lane").isin(*VISIBLE[checkpoint_lane]), "lane not visible"),
+            F.when(~F.col("partition").isin(*PARTITIONS), "unknown partition"), F.when(~F.startswith("artifact_id", "source_id"), "artifact of another source"),
+        ),
+    )
+
+
+def tokenizer_benchmark(cases: DataFrame, facts: Column, *by: str) -> DataFrame:
+    """Sizes, compression against bytes and round-trip failures of a tokenizer, by the columns given.
+
+    ``facts``: struct<tokens, unknown, exact> of the text.  Empty texts take no part.
+    """
+    rows = cases.where(F.length("text") > 0).select(*by, F.char_length("text").alias("c"), F.octet_length("text").alias("b"), facts.alias("f"))
+    sums = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("cases"), F.sum("c").alias("characters"), F.sum("b").alias("byte_tokens"), F.sum("f.tokens").alias("candidate_tokens"),
+        F.count_if(~F.col("f.exact")).alias("roundtrip_failures"), F.sum("f.unknown").alias("unk_tokens"),
+    )
+    return sums.withColumns({
+        "tokens_per_char": F.round(F.try_divide("candidate_tokens", "characters"), 9), "compression_vs_byte": F.round(F.try_divide("byte_tokens", "candidate_tokens"), 9),
+    })

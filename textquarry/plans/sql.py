@@ -113,6 +113,13 @@ WITH RECURSIVE c AS (
 SELECT id AS candidate_id, CASE WHEN other IS NULL THEN 'accept' ELSE 'exclude' END AS status,
   CASE WHEN other IS NULL THEN NULL WHEN kind = 0 THEN 'cross_source_exact_duplicate' ELSE 'cross_source_near_duplicate' END AS reason,
   other AS duplicate_of, d AS hamming_distance FROM r WHERE id IS NOT NULL""",
+    "ingestion_refused": f"""
+WITH i AS (SELECT *, {_key("source_id")} AS src FROM ingestion_candidate), j AS (SELECT i.*, r.rights_lane AS lane FROM i LEFT JOIN source_registry r ON r.source_id = i.src)
+SELECT problem, count(*) AS records FROM (SELECT CASE
+  {" ".join(f"WHEN coalesce({_key(c)}, '') = '' THEN 'blank {c}'" for c in ("record_id", "text", "language", "category", "j.source_id", "artifact_id", "source_group_id", "partition")).replace("blank j.", "blank ")}
+  WHEN lane IS NULL THEN 'unknown source' WHEN lane NOT IN ('release_safe', 'research_only') THEN 'lane not visible'
+  WHEN partition NOT IN ('train', 'validation', 'holdout') THEN 'unknown partition' WHEN NOT starts_with(artifact_id, src) THEN 'artifact of another source' END AS problem FROM j)
+WHERE problem IS NOT NULL GROUP BY problem""",
     "ppm_sampled": f"SELECT doc_id FROM documents WHERE {_hash(chr(39) + _SEED + chr(39) + ' || chr(0) || doc_id', 1000000)} < 50000",
     "assign_partition": f"""WITH {_DOCS}, g AS (SELECT doc_id, source_id, sha256('id:' || doc_id) AS g FROM docs),
 h AS (SELECT *, {_hash(f"'{_SPLIT}' || chr(0) || source_id || chr(0) || g", 10000)} AS h FROM g)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textquarry.functions.text import clean_text, dedup_fingerprint
+from textquarry.operators.dedup import keep_first
 from textquarry.operators.registry import all_violations, one_of, require, required, unique
 
 #: Fields of corpus records and of benchmark cases.
@@ -54,6 +55,22 @@ def benchmark_cases(spark: SparkSession, path: str) -> DataFrame:
     return cases
 
 
+def in_file_order(df: DataFrame, name: str = "position") -> DataFrame:
+    """A file-based frame with a column that sorts its rows in file order.
+
+    Made of path, split offset and the row's number within its task: no shuffle, and the
+    same order on every run.
+    """
+    here = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", here.alias(name))
+
+
+def shard_rows(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A Parquet shard with the number of each row in its file."""
+    df = spark.read.parquet(path)
+    return df.select(*(columns or df.columns), F.col("_metadata.row_index").alias("file_row_number"))
+
+
 def wiki_dump(spark: SparkSession, root: str, prefix: str = "WIKI-", language: str = "th", license: str = "cc-by-sa-4.0", source_id: str = "wiki") -> DataFrame:
     """Articles of extracted wiki files (wiki_* at any depth); rows without id or text are skipped."""
     raw = spark.read.schema("id string, revid string, url string, title string, text string").option("recursiveFileLookup", "true").option("pathGlobFilter", "wiki_*").json(root)
@@ -79,6 +96,17 @@ def sentences(spark: SparkSession, path: str, code: str, clean: bool = True) ->
     return rows.withColumn("text", clean_text("text") if clean else F.col("text")).where(F.length("text") > 0)
 
 
+def first_sentences(spark: SparkSession, path: str, code: str) -> DataFrame:
+    """Uncleaned sentences, of each normal text the first in the file."""
+    lines = in_file_order(spark.read.text(path)).where(F.length("value") > 0)
+    parts = F.split("value", "\t", 3)
+    rows = lines.select(F.get(parts, F.lit(0)).alias("sentence_id"), F.get(parts, F.lit(1)).alias("code"), F.get(parts, F.lit(2)).alias("text"), "position")
+    if not rows.where(F.col("text").isNull() | (F.col("code") != code)).isEmpty():
+        raise SourceError(f"{path}: a line has no three fields or another code than {code}")
+    named = rows.where(F.length("text") > 0).withColumn("dedup_fingerprint", dedup_fingerprint("text"))
+    return keep_first(named, ["dedup_fingerprint"], ["position"]).select("sentence_id", "text", "dedup_fingerprint")
+
+
 def shard(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "text", "language", "language_score")) -> DataFrame:
     """A Parquet shard; the columns named must be there."""
     df = spark.read.parquet(path)
