@@ -117,6 +117,16 @@ def test_similar_rows_against_brute_force(spark):
     assert similar_rows(df.where("id < 0"), "id", "text").count() == 0
 
 
+def test_large_groups_of_copies_come_out_as_a_star(spark):
+    base = "a text that many records repeat word for word, and one record nearly so"
+    rows = [(i, base) for i in range(40)] + [(50, base + "!"), (51, base + "?"), (60, "another text altogether, with nothing in common"), (60, "another text altogether, with nothing in common")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    every = {tuple(r) for r in similar_rows(df, "id", "text").collect()}
+    assert len(every) == 40 * 39 // 2 + 2 * 40 + 1
+    star = {tuple(r) for r in similar_rows(df, "id", "text", copies=10).collect()}
+    assert star == {(0, i) for i in range(1, 40)} | {(0, 50), (0, 51), (50, 51)}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 150)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

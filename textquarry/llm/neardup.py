@@ -34,6 +34,8 @@ _NIBBLES = 0x1111111111111111
 #: Distinct texts under one key that one task compares; larger buckets are split by salt.
 BUCKET = 5_000
 _SALTS = 16
+#: Groups of more equal texts than this aren't expanded into all their pairs.
+COPIES = 1_000
 
 
 def normalise(text: Column | str) -> Column:
@@ -291,18 +293,27 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: float =
     return named.select(id_col, "text_hash"), pairs
 
 
-def similar_rows(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, **banding) -> DataFrame:
-    """Every pair of rows (id_a < id_b) whose texts have at least the likeness, copies included."""
+def similar_rows(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, copies: int = COPIES, **banding) -> DataFrame:
+    """Every pair of rows (id_a < id_b) whose texts have at least the likeness, copies included.
+
+    A group of more than ``copies`` equal texts comes out as pairs with its smallest
+    member, which alone stands for the group in pairs with other texts: no link between
+    different texts is lost, and no group gives more rows than it has members.
+    """
     members, pairs = similar_texts(df, id_col, text_col, threshold, **banding)
     pairs = cut(pairs)
-    touched = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    repeated = members.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_hash")
-    kept = cut(members.join(touched.unionByName(repeated).distinct(), "text_hash", "left_semi"))
-    a = kept.select(F.col("text_hash").alias("a"), F.col(id_col).alias("x"))
-    b = kept.select(F.col("text_hash").alias("b"), F.col(id_col).alias("y"))
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().withColumn("touched", F.lit(True))
+    groups = members.groupBy("text_hash").agg(F.countDistinct(id_col).alias("n"), F.min(id_col).alias("first"))
+    needed = groups.join(touched, "text_hash", "left").where("touched or n > 1").select("text_hash", "n", "first")
+    kept = cut(members.distinct().join(needed, "text_hash"))
+    large = F.col("n") > copies
+    named = kept.where(~large | (F.col(id_col) == F.col("first")))
+    a = named.select(F.col("text_hash").alias("a"), F.col(id_col).alias("x"))
+    b = named.select(F.col("text_hash").alias("b"), F.col(id_col).alias("y"))
     across = pairs.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
     within = a.join(b, a["a"] == b["b"]).where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
+    star = kept.where(large & (F.col(id_col) != F.col("first"))).select(F.col("first").alias("x"), F.col(id_col).alias("y"))
+    return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 
 def classes(members: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:

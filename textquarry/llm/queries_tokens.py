@@ -60,10 +60,9 @@ def p5_slices(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and tokens of byte_bpe_50k by source, language and category."""
-    docs = table(spark, sf, "documents")
-    counted = count_tokens(docs, "doc_id", "text")
-    slices = docs.select("doc_id", key("source").alias("source_id"), F.lower(F.col("lang")).alias("language"), "primary_category")
-    return budget_by_slice(slices.join(counted, "doc_id"), "source_id", "language", "primary_category")
+    docs = table(spark, sf, "documents").select("doc_id", "text", key("source").alias("source_id"), F.lower(F.col("lang")).alias("language"), "primary_category")
+    slices = ("source_id", "language", "primary_category")
+    return budget_by_slice(count_tokens(docs, "doc_id", "text", keep=slices), *slices)
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
