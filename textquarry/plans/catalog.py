@@ -9,6 +9,7 @@ from textquarry.functions import text as T
 from textquarry.functions.keys import key
 from textquarry.functions.sampling import partition_of, ppm_selected
 from textquarry.operators import accounting as A
+from textquarry.operators import contracts as K
 from textquarry.operators import registry as R
 from textquarry.operators.dedup import band_rows, greedy, keep_first, near_matches, near_values, priority
 from textquarry.operators.screening import screen, status
@@ -301,6 +302,18 @@ def registry_difference(spark, sf):
     return R.set_difference(_lanes(spark, sf), have, "source_id")
 
 
+def selected_sources(spark, sf):
+    """What keeps the documents' sources out of a research checkpoint."""
+    chosen = _docs(spark, sf).where("source_id is not null").select("source_id").distinct()
+    return K.selection(chosen, "source_id", _lanes(spark, sf), "research_only")
+
+
+def derived_lanes(spark, sf):
+    """Derived corpora whose lane isn't that of their source, or whose source is blocked."""
+    d = table(spark, sf, "derived_corpus").select("derived_id", key("source_id").alias("source_id"), "rights_lane").distinct()
+    return R.lane_mismatches(d, "derived_id", "source_id", "rights_lane", _lanes(spark, sf))
+
+
 def candidate_integrity(spark, sf):
     return R.candidate_integrity(table(spark, sf, "global_candidate"), "candidate_id")
 
@@ -434,7 +447,7 @@ QUERIES = {
         byte_tokens, byte_round_trip, token_pairs, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
         near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, benchmark, ppm_sampled, assign_partition, partition_matrix,
-        bytes_selected, bytes_balanced, tokenizer_corpus, rights_join, lane_violations, missing_sources, registry_difference, candidate_integrity,
+        bytes_selected, bytes_balanced, tokenizer_corpus, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
         required_fields, repeated_records, unknown_values, eligible_sources, never_train, promotions, union_sources, quality_audit, audit_findings,
         token_rollup, language_counts, null_report, length_quantiles, density, decision_tokens, decision_status, train_capacity, mixture_readiness,
         budget_gap, step_plan,

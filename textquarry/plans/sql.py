@@ -150,6 +150,12 @@ UNION ALL SELECT 'blocked_source', CAST(audit_id AS VARCHAR), source FROM a WHER
     "missing_sources": f"WITH {_DOCS} SELECT 'unknown_source' AS rule, CAST(doc_id AS VARCHAR) AS id, source_id AS detail FROM docs WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM source_registry)",
     "registry_difference": f"""WITH {_DOCS} SELECT source_id, 'left' AS side FROM (SELECT DISTINCT source_id FROM source_registry EXCEPT SELECT source_id FROM docs)
 UNION ALL SELECT source_id, 'right' FROM (SELECT DISTINCT source_id FROM docs WHERE source_id IS NOT NULL EXCEPT SELECT source_id FROM source_registry)""",
+    "selected_sources": f"""WITH {_DOCS} SELECT CASE WHEN r.rights_lane IS NULL THEN 'unknown' ELSE 'lane_not_visible' END AS rule, d.source_id AS id, coalesce(r.rights_lane, '') AS detail
+FROM (SELECT DISTINCT source_id FROM docs WHERE source_id IS NOT NULL) d LEFT JOIN source_registry r USING (source_id) WHERE coalesce(r.rights_lane NOT IN ('release_safe', 'research_only'), true)""",
+    "derived_lanes": f"""WITH d AS (SELECT DISTINCT derived_id, {_key('source_id')} AS source, rights_lane AS lane FROM derived_corpus),
+j AS (SELECT d.*, r.rights_lane AS policy FROM d JOIN source_registry r ON r.source_id = d.source)
+SELECT 'lane_mismatch' AS rule, derived_id AS id, concat_ws('/', lane, policy) AS detail FROM j WHERE lane IS DISTINCT FROM policy
+UNION ALL SELECT 'blocked_source', derived_id, source FROM j WHERE policy = 'blocked'""",
     "required_fields": "\nUNION ALL ".join(
         f"SELECT '{c}' AS detail, count(*) AS records FROM ingestion_candidate WHERE trim(coalesce({c}, ''), ' ') = '' HAVING count(*) > 0" for c in ("record_id", "text", "language", "source_id", "partition")
     ),
