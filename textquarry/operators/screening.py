@@ -58,7 +58,7 @@ def screen(
 ) -> Column:
     """struct<disposition, characters, utf8_bytes, line_count, three ratios, findings array<struct<code, severity, count>>>.
 
-    All in one expression over the text, inside code generation.  A null text gives a null
+    One expression over the text; every pattern is tried once.  A null text gives a null
     struct; an empty one has ratios 0 and the findings too_short and blank_or_whitespace.
     """
     if min_characters < 0 or max_characters < min_characters:
