@@ -70,3 +70,22 @@ def test_frames(spark):
     clean = {r["audit_id"]: (r["text"], r["pieces"]) for r in redact(df, "audit_id", "text").collect()}
     assert clean[1] == ("Call <PHONE> after nine. Call <PHONE> after nine.", 2) and clean[2] == (None, 0) and clean[5][1] == 0
     assert find_personal_data(df.where("audit_id < 0"), "audit_id", "text").count() == 0
+
+
+def test_held_out_accuracy():
+    """Rows that weren't trained on; the labels are those of the patterns."""
+    import pyarrow.parquet as pq
+    import pytest
+
+    from textquarry.llm.pii_labels import Names, label
+    from textquarry.llm.pii_train import score
+
+    try:
+        texts = [t for t in pq.read_table("/root/testdata/sf0.01/audit_row.parquet")["text"].to_pylist() if t]
+        names = pq.read_table("/root/testdata/sf0.01/person_name.parquet").to_pylist()
+    except FileNotFoundError:
+        pytest.skip("no tables here")
+    known = Names([(r["name"], r["name_kind"], r["script"]) for r in names])
+    for kind, (both, labelled, found) in score(Tagger.load(), texts, known).items():
+        assert labelled > 20 and both >= 0.97 * labelled and both >= 0.97 * found, kind
+    assert label("nothing here", known) == []

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from textquarry.llm.bpe import byte_bpe_50k, chunks, text_buffer, tokenizer
 from textquarry.llm.packing import pack, sum_of_squares, waste
@@ -49,6 +51,20 @@ def test_random_texts(reference):
             assert n[i] == len(want)
 
 
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(max_size=60), max_size=6))
+def test_any_texts(reference, texts):
+    import pyarrow as pa
+
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    data, off = text_buffer(pa.array(texts, pa.string()))
+    bpe = tokenizer(byte_bpe_50k())
+    e = bpe.encode(data, off)
+    want = [reference(t) for t in texts]
+    assert [e.ids[a:b].tolist() for a, b in zip(e.offsets[:-1], e.offsets[1:])] == want
+    assert PieceCounter(bpe).counts(data, off).tolist() == [len(w) for w in want]
+
+
 def test_counts_and_empty_tables(spark, reference):
     df = spark.createDataFrame(list(enumerate(ODD)), "id bigint, text string")
     assert {r["id"]: r["tokens"] for r in count_tokens(df, "id", "text").collect()} == {i: len(reference(t)) for i, t in enumerate(ODD)}
@@ -136,3 +152,14 @@ def test_pieces_end_at_paragraphs(spark):
     assert ends.count("\n\n") >= len(ends) - 1
     with pytest.raises(ValueError):
         split_texts(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text", [("p", 10, 10)])
+
+
+def test_every_document_of_a_table(spark, reference):
+    import os
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(path)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"]: r["ids"] for r in encode_corpus(docs, "doc_id", "text").collect()} == {i: reference(t) for i, t in texts.items()}
