@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
+from textquarry.functions.binding import bind
+
 #: Fixed values of the byte tokenizer.
 PAD, BOS, EOS, UNKNOWN, OFFSET, VOCABULARY = 0, 1, 2, 3, 4, 260
 
@@ -21,10 +23,8 @@ def byte_count(text: Column | str, bos: bool = False, eos: bool = False) -> Colu
 def byte_ids(text: Column | str, bos: bool = False, eos: bool = False) -> Column:
     """Ids of the byte tokenizer; an empty text gives only the special ids asked for."""
     text = F.col(text) if isinstance(text, str) else text
-    digits = F.hex(F.encode(text, "utf-8"))
-    n = F.octet_length(text)
-    one = lambda i: (F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + OFFSET)
-    body = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<int>"))
+    digits = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("(..)"), F.lit(1))
+    body = F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int") + OFFSET)
     return F.when(text.isNotNull(), F.concat(F.array(*[F.lit(BOS)] * bos).cast("array<int>"), body, F.array(*[F.lit(EOS)] * eos).cast("array<int>")))
 
 
@@ -40,9 +40,12 @@ def byte_text(ids: Column | str) -> Column:
 def next_token_pairs(ids: Column | str, length: int) -> Column:
     """struct<input, target> of at most ``length`` steps; null for fewer than two ids."""
     ids = F.col(ids) if isinstance(ids, str) else ids
-    part = F.slice(ids, 1, length + 1)
-    n = F.size(part)
-    return F.when(n >= 2, F.struct(F.slice(part, F.lit(1), n - 1).alias("input"), F.slice(part, F.lit(2), n - 1).alias("target")))
+
+    def shift(part: Column) -> Column:
+        n = F.size(part)
+        return F.when(n >= 2, F.struct(F.slice(part, F.lit(1), n - 1).alias("input"), F.slice(part, F.lit(2), n - 1).alias("target")))
+
+    return bind(F.slice(ids, 1, length + 1), shift)
 
 
 def piece_model(name: str = "piece_bpe_32k.model") -> str:

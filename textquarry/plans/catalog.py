@@ -99,8 +99,8 @@ def byte_round_trip(spark, sf):
 
 
 def token_pairs(spark, sf):
-    d = table(spark, sf, "audit_row").select("audit_id", next_token_pairs(byte_ids("text", True, True), 16).alias("p"))
-    return d.where("p is not null").select("audit_id", F.array_join("p.input", ",").alias("input"), F.array_join("p.target", ",").alias("target"))
+    d = table(spark, sf, "audit_row").select("audit_id", F.inline(F.array(next_token_pairs(byte_ids("text", True, True), 16))))
+    return d.where("input is not null").select("audit_id", F.array_join("input", ",").alias("input"), F.array_join("target", ",").alias("target"))
 
 
 # -- screening and classification ------------------------------------------------------

@@ -26,6 +26,10 @@ _DOCS = f"docs AS (SELECT doc_id, text, lower(lang) AS language, {_key('source')
 _PARTITION = "CASE WHEN source_id <> '' AND g <> '' THEN CASE WHEN h < 9900 THEN 'train' WHEN h < 9950 THEN 'validation' ELSE 'holdout' END END"
 
 
+_IDS = """h AS (SELECT audit_id, hex(encode(text)) AS x FROM audit_row WHERE text IS NOT NULL),
+b AS (SELECT audit_id, list_concat(list_concat([1], list_transform(regexp_extract_all(x, '..'), lambda d: ('0x' || d)::INTEGER + 4)), [2]) AS ids FROM h)"""
+
+
 def _near(most: int) -> str:
     return f"""
 WITH s AS (SELECT DISTINCT {_SIM} AS v FROM global_candidate WHERE regexp_full_match(trim(simhash64_hex), '[0-9a-fA-F]{{1,16}}'))
@@ -65,6 +69,12 @@ SELECT candidate_id, format('{{:016x}}', v) AS fingerprint, b || ':' || format('
     "hamming_log": """SELECT m.query_canonical_id, m.record_id, bit_count(xor(('0x' || trim(m.simhash64_hex))::UBIGINT, ('0x' || trim(c.simhash64_hex))::UBIGINT)) AS distance,
   bit_count(xor(('0x' || trim(m.simhash64_hex))::UBIGINT, ('0x' || trim(c.simhash64_hex))::UBIGINT)) <= 3 AS near
 FROM (SELECT DISTINCT query_canonical_id, record_id, lower(simhash64_hex) AS simhash64_hex FROM near_duplicate_match) m JOIN global_candidate c ON c.canonical_id = m.query_canonical_id""",
+    "shingles": f"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^{_WS}]+')) AS n FROM documents)
+SELECT doc_id, CASE WHEN n > 0 THEN greatest(1, n - 4) ELSE n END AS shingles FROM w""",
+    "byte_tokens": f"""WITH {_IDS}
+SELECT audit_id, len(ids) AS tokens, sha256(array_to_string(ids, ',')) AS ids_sha256 FROM b UNION ALL SELECT audit_id, NULL, NULL FROM audit_row WHERE text IS NULL""",
+    "token_pairs": f"""WITH {_IDS}
+SELECT audit_id, array_to_string(ids[1:least(len(ids), 17) - 1], ',') AS input, array_to_string(ids[2:least(len(ids), 17)], ',') AS target FROM b""",
     "byte_round_trip": "SELECT audit_id, true AS same FROM audit_row WHERE text IS NOT NULL",
     "screen_measures": r"""SELECT doc_id, n AS characters, octet_length(encode(text)) AS utf8_bytes, n - length(replace(text, chr(10), '')) + 1 AS line_count,
   round(CASE WHEN n > 0 THEN (n - length(regexp_replace(text, '[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\p{Cf}]', '', 'g'))) / n ELSE 0 END, 9) AS control_ratio,
