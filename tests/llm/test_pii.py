@@ -89,3 +89,31 @@ def test_held_out_accuracy():
     for kind, (both, labelled, found) in score(Tagger.load(), texts, known).items():
         assert labelled > 20 and both >= 0.97 * labelled and both >= 0.97 * found, kind
     assert label("nothing here", known) == []
+
+
+def test_addresses_with_escaped_at_signs():
+    for at in ("&#64;", "&#x40;", "&commat;", "%40", " (AT) "):
+        text = f"Build 5 passed. Contact: bouldovic.feasen{at}roarnlab.example.org\nclass Thing: 3 &#60; 4"
+        (tags,) = tag_texts(Tagger.load(), [text])
+        assert [(text[a:b], k) for a, b, k in spans(text, tags)] == [(f"bouldovic.feasen{at}roarnlab.example.org", "email")], at
+    for clean in ("Set x &#60; 40 &amp; y &#62; 64; run again.", "It fell 40% at noon."):
+        (tags,) = tag_texts(Tagger.load(), [clean])
+        assert not spans(clean, tags)
+
+
+def test_audit_rows_with_escaped_at_signs(spark):
+    """All of them in sf0.1, found whole and made unreadable."""
+    import os
+    import re
+
+    import pytest
+
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("no tables here")
+    rows = spark.read.parquet("/root/testdata/sf0.1/audit_row.parquet").where("text like '%&#64;%'").select("audit_id", "text")
+    texts = dict(rows.collect())
+    assert len(texts) == 20
+    whole = {(i, m.group()) for i, t in texts.items() for m in re.finditer(r"[A-Za-z0-9._+\-]+&#64;[a-z0-9.\-]*[a-z]", t)}
+    assert len(whole) == 20
+    assert whole <= {(r["audit_id"], texts[r["audit_id"]][r["start"] : r["end"]]) for r in find_personal_data(rows, "audit_id", "text").where("pii_kind = 'email'").collect()}
+    assert not [r for r in redact(rows, "audit_id", "text").collect() if "&#64;" in r["text"]]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.pii_labels import KINDS, ascii_digits, thai_id_valid
+from textquarry.llm.pii_labels import AT_SIGN, KINDS, ascii_digits, thai_id_valid
 
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
@@ -255,7 +255,7 @@ def plausible(body: str, kind: str) -> bool:
     """Exact conditions of a piece: digits enough, an at sign in some form, a right check digit."""
     digits = re.sub(r"\D", "", ascii_digits(body))
     if kind == "email":
-        return len(body) >= 5 and bool(re.search(r"[@＠]|\bat\b", body))
+        return len(body) >= 5 and bool(AT_SIGN.search(body))
     if kind == "phone":
         return 7 <= len(digits) <= 21
     if kind == "id_number":

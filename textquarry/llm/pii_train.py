@@ -14,7 +14,7 @@ import time
 import numpy as np
 
 from textquarry.llm.pii import KINDS, PAD, SYMBOLS, TAGS, WINDOW, Tagger, encode_text, spans, tag_texts
-from textquarry.llm.pii_labels import Names, label, look_alikes
+from textquarry.llm.pii_labels import Names, hidden_again, label, look_alikes
 
 #: Bound of the labelled sample, rows of each directory.
 MOST_ROWS = 20_000
@@ -211,6 +211,8 @@ def train(out: str, roots: list[str], seconds: float = 600, hidden: int = 64, ba
         examples.append((text, found))
         if found and rng.random() < 0.5 and (other := look_alikes(text, found, rng)) and not any(s[2] == "id_number" for s in found):
             examples.append((other, label(other, names)))
+        if found and (other := hidden_again(text, found, rng)):
+            examples.append((other, label(other, names)))
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for text, found in examples:
         x, y = encode_text(text), to_tags(text, found)
