@@ -1,9 +1,11 @@
 import hashlib
+import os
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from textquarry.functions import text as T
 from textquarry.functions.keys import key, strip
 from textquarry.functions.running import running_total
@@ -96,6 +98,21 @@ def test_byte_tokens(df):
     assert pairs[1] is None and pairs[10] is None and tuple(pairs[0]) == ([b + 4 for b in b"Hel"], [b + 4 for b in b"ell"])
 
 
+def test_token_pairs_over_whole_texts(spark, df):
+    def want(t):
+        ids = [1, *(b + 4 for b in t.encode()), 2]
+        return ids[:-1], ids[1:]
+
+    assert [p and tuple(p) for p in _values(df, next_token_pairs(byte_ids("text", True, True)))] == _each(want)
+    root = "/root/testdata/sf0.001"
+    if not os.path.isdir(root):
+        pytest.skip("no tables here")
+    texts = {r["audit_id"]: r["text"] for r in spark.read.parquet(f"{root}/audit_row.parquet").collect() if r["text"] is not None}
+    assert max(len(t.encode()) for t in texts.values()) > 16
+    got = {r["audit_id"]: (r["input"], r["target"]) for r in entry.queries()["token_pairs_whole"](spark, root).collect()}
+    assert got == {i: tuple(",".join(map(str, x)) for x in want(t)) for i, t in texts.items()}
+
+
 def test_bad_ids_give_no_text(spark):
     got = spark.createDataFrame([([300],), ([4 + 0xC3],), ([1, 2],), (None,)], "ids array<int>").select(byte_text("ids")).collect()
     assert [r[0] for r in got] == [None, None, "", None]

@@ -37,15 +37,15 @@ def byte_text(ids: Column | str) -> Column:
     return F.when(sound, raw.cast("string"))
 
 
-def next_token_pairs(ids: Column | str, length: int) -> Column:
-    """struct<input, target> of at most ``length`` steps; null for fewer than two ids."""
+def next_token_pairs(ids: Column | str, length: int | None = None) -> Column:
+    """struct<input, target> over all ids, or the first ``length`` steps; null for fewer than two ids."""
     ids = F.col(ids) if isinstance(ids, str) else ids
 
     def shift(part: Column) -> Column:
         n = F.size(part)
         return F.when(n >= 2, F.struct(F.slice(part, F.lit(1), n - 1).alias("input"), F.slice(part, F.lit(2), n - 1).alias("target")))
 
-    return bind(F.slice(ids, 1, length + 1), shift)
+    return bind(ids if length is None else F.slice(ids, 1, length + 1), shift)
 
 
 def piece_model(name: str = "piece_bpe_32k.model") -> str:

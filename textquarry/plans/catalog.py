@@ -99,10 +99,16 @@ def byte_round_trip(spark, sf):
 
 
 def token_pairs(spark, sf):
+    """Pairs of the first 16 steps of a text only; the whole text's are in token_pairs_whole."""
     d = table(spark, sf, "audit_row").select("audit_id", F.inline(F.array(next_token_pairs(byte_ids("text", True, True), 16))))
     return d.where("input is not null").select("audit_id", F.array_join("input", ",").alias("input"), F.array_join("target", ",").alias("target"))
 
 
+def token_pairs_whole(spark, sf):
+    d = table(spark, sf, "audit_row").select("audit_id", F.inline(F.array(next_token_pairs(byte_ids("text", True, True)))))
+    return d.where("input is not null").select("audit_id", F.array_join("input", ",").alias("input"), F.array_join("target", ",").alias("target"))
+
+
 # -- screening and classification ------------------------------------------------------
 
 
@@ -444,7 +450,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_hash, dedup_fingerprint, clean_text, text_sizes, source_group_id, rank_hash, canonical_order, simhash, shingles, lsh_bands, hamming_log,
-        byte_tokens, byte_round_trip, token_pairs, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
+        byte_tokens, byte_round_trip, token_pairs, token_pairs_whole, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
         near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, benchmark, ppm_sampled, assign_partition, partition_matrix,
         bytes_selected, bytes_balanced, tokenizer_corpus, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
