@@ -79,6 +79,23 @@ def test_batches_against_the_sequential_definition(spark, seed):
     assert {r["id"]: r["duplicate_of"] for r in got.collect()} == _sequential(rows, accepted, decided)
 
 
+def test_near_fingerprints_of_texts_without_a_chunk_in_common(spark):
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = []
+    for k in range(60):
+        s = rng.getrandbits(64)
+        other = s
+        for bit in rng.sample(range(64), k % 5):
+            other ^= 1 << bit
+        rows += [(k, 0, text(), f"f{k}", s), (100 + k, 1, text(), f"g{k}", other)]
+    accepted = set(range(60))
+    df = spark.createDataFrame([(i, b, t, f, _hex(s)) for i, b, t, f, s in rows], "id bigint, batch int, text string, fp string, sim string")
+    ids = spark.createDataFrame([(i,) for i in accepted], "id bigint")
+    got = {r["id"]: r["duplicate_of"] for r in deduplicate(df, "id", "batch", "text", F.col("fp"), simhash_bits("sim"), ids, ids).collect()}
+    assert got == _sequential(rows, accepted, accepted) == {100 + k: k if k % 5 < 4 else None for k in range(60)}
+
+
 def test_empty_batches(spark):
     df = spark.createDataFrame([], "id bigint, batch int, text string, fp string, sim string")
     assert deduplicate(df, "id", "batch", "text", F.col("fp"), simhash_bits("sim"), df.select("id"), df.select("id")).count() == 0
