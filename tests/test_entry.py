@@ -42,3 +42,19 @@ def test_query_equals_its_sql(spark, name):
     want = sorted(repr([_plain(x[columns.index(c)]) for c in names]) for x in r.fetchall())
     got = sorted(repr([_plain(x[c]) for c in names]) for x in df.collect())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["bytes_selected", "tokenizer_corpus"])
+def test_full_budgets_select_more(spark, name):
+    root = "/root/testdata/sf0.1"
+    if not os.path.isdir(root):
+        pytest.skip("no tables here")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{root}/documents.parquet'")
+    sql = entry.oracle_sql()[name]
+    small = set(db.execute(sql).fetchall())
+    sql = sql.replace("before < 200000", f"before < {50 * 1024 * 1024}").replace("before < 50000", f"before < {(512 if name == 'tokenizer_corpus' else 50 * 1024) * 1024}")
+    df = entry.queries()[f"{name}_full"](spark, root)
+    got = {tuple(r) for r in df.collect()}
+    assert got == set(db.execute(sql).fetchall()) and got > small
+    print(name, len(small), len(got))

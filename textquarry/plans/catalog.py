@@ -22,6 +22,8 @@ from textquarry.sources.tables import table
 
 SEED = "textquarry-sample"
 FIT_BYTES = 50_000
+#: The project's own budgets by language, for the queries named _full.
+FULL_FIT_BYTES, FULL_VALIDATION_BYTES = 50 * 1024 * 1024, 512 * 1024
 #: Token targets of the mixture, in tokens.
 MIXTURE = A.Mixture(thai=200_000_000, english=200_000_000, technical=50_000_000, domain=50_000_000, domain_cap=50_000_000)
 
@@ -266,10 +268,14 @@ def partition_matrix(spark, sf):
     return r.groupBy("language").pivot("partition", ["train", "validation", "holdout"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def bytes_selected(spark, sf):
+def bytes_selected(spark, sf, fit_bytes=FIT_BYTES):
     d = _docs(spark, sf).where("text is not null and language is not null")
     rank = T.rank_hash("source_id", F.col("doc_id").cast("string"))
-    return select_bytes(d.select("doc_id", "language", "source_id", F.octet_length("text").alias("size")), ["language"], rank, F.col("size"), FIT_BYTES).select("doc_id", "language")
+    return select_bytes(d.select("doc_id", "language", "source_id", F.octet_length("text").alias("size")), ["language"], rank, F.col("size"), fit_bytes).select("doc_id", "language")
+
+
+def bytes_selected_full(spark, sf):
+    return bytes_selected(spark, sf, FULL_FIT_BYTES)
 
 
 def bytes_balanced(spark, sf):
@@ -277,13 +283,17 @@ def bytes_balanced(spark, sf):
     return balance_bytes(d, "language", T.rank_hash(F.col("doc_id").cast("string")), F.col("size")).select("doc_id", "language")
 
 
-def tokenizer_corpus(spark, sf):
+def tokenizer_corpus(spark, sf, fit_bytes=4 * FIT_BYTES, validation_bytes=FIT_BYTES):
     """Per source and text once, split, train part cut to a byte budget by language."""
     d = keep_first(_fingerprinted(spark, sf).where("language is not null"), ["source_id", "fingerprint"], ["doc_id"])
     split = d.withColumn("partition", partition_of("source_id", "fingerprint"))
     rank = T.rank_hash("source_id", F.col("doc_id").cast("string"))
-    train = select_bytes(split.where("partition = 'train'"), ["language"], rank, F.col("tokens"), 4 * FIT_BYTES)
-    return train.unionByName(select_bytes(split.where("partition = 'validation'"), ["language"], rank, F.col("tokens"), FIT_BYTES)).select("doc_id", "language", "partition")
+    train = select_bytes(split.where("partition = 'train'"), ["language"], rank, F.col("tokens"), fit_bytes)
+    return train.unionByName(select_bytes(split.where("partition = 'validation'"), ["language"], rank, F.col("tokens"), validation_bytes)).select("doc_id", "language", "partition")
+
+
+def tokenizer_corpus_full(spark, sf):
+    return tokenizer_corpus(spark, sf, FULL_FIT_BYTES, FULL_VALIDATION_BYTES)
 
 
 # -- registries ------------------------------------------------------------------------
@@ -453,7 +463,7 @@ QUERIES = {
         byte_tokens, byte_round_trip, token_pairs, token_pairs_whole, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
         near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, benchmark, ppm_sampled, assign_partition, partition_matrix,
-        bytes_selected, bytes_balanced, tokenizer_corpus, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
+        bytes_selected, bytes_selected_full, bytes_balanced, tokenizer_corpus, tokenizer_corpus_full, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
         required_fields, repeated_records, unknown_values, eligible_sources, never_train, promotions, union_sources, quality_audit, audit_findings,
         token_rollup, language_counts, null_report, length_quantiles, density, decision_tokens, decision_status, train_capacity, mixture_readiness,
         budget_gap, step_plan,
