@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -58,3 +59,28 @@ def test_full_budgets_select_more(spark, name):
     got = {tuple(r) for r in df.collect()}
     assert got == set(db.execute(sql).fetchall()) and got > small
     print(name, len(small), len(got))
+
+
+def test_tokenizers_over_documents(spark):
+    """Very long texts and odd characters, which the audit rows don't have."""
+    import sentencepiece
+
+    from textquarry.operators.tokens import piece_model
+
+    root = "/root/testdata/sf0.01"
+    if not os.path.isdir(root) or not os.path.exists(piece_model()):
+        pytest.skip("no tables or tokenizer here")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").collect()}
+    known = {i: t for i, t in texts.items() if t is not None}
+    assert max(map(len, known.values())) > 10_000
+    rows = lambda name: entry.queries()[name](spark, root).collect()
+
+    def ids(t):
+        return [1, *(b + 4 for b in t.encode()), 2]
+
+    want = {i: (len(ids(t)), hashlib.sha256(",".join(map(str, ids(t))).encode()).hexdigest()) if t is not None else (None, None) for i, t in texts.items()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows("byte_tokens_documents")} == want
+    assert {r["doc_id"]: r["same"] for r in rows("byte_round_trip_documents")} == dict.fromkeys(known, True)
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    assert {r["doc_id"]: r["tokens"] for r in rows("piece_tokens_documents")} == {i: len(model.encode(t)) if t is not None else None for i, t in texts.items()}
+    assert rows("benchmark_documents")

@@ -90,14 +90,28 @@ def hamming_log(spark, sf):
     return log.join(c, "query_canonical_id").select("query_canonical_id", "record_id", T.hamming("q", "m").alias("distance"), T.likely_near("q", "m").alias("near"))
 
 
+def _byte_tokens(d, id_col):
+    return d.select(id_col, byte_count("text", True, True).alias("tokens"), F.sha2(F.array_join(byte_ids("text", True, True), ","), 256).alias("ids_sha256"))
+
+
 def byte_tokens(spark, sf):
-    d = table(spark, sf, "audit_row")
-    return d.select("audit_id", byte_count("text", True, True).alias("tokens"), F.sha2(F.array_join(byte_ids("text", True, True), ","), 256).alias("ids_sha256"))
+    return _byte_tokens(table(spark, sf, "audit_row"), "audit_id")
+
+
+def byte_tokens_documents(spark, sf):
+    return _byte_tokens(table(spark, sf, "documents"), "doc_id")
+
+
+def _byte_round_trip(d, id_col):
+    return d.where("text is not null").select(id_col, (byte_text(byte_ids("text")) == F.col("text")).alias("same"))
 
 
 def byte_round_trip(spark, sf):
-    d = table(spark, sf, "audit_row").where("text is not null")
-    return d.select("audit_id", (byte_text(byte_ids("text")) == F.col("text")).alias("same"))
+    return _byte_round_trip(table(spark, sf, "audit_row"), "audit_id")
+
+
+def byte_round_trip_documents(spark, sf):
+    return _byte_round_trip(table(spark, sf, "documents"), "doc_id")
 
 
 def token_pairs(spark, sf):
@@ -246,11 +260,19 @@ def piece_tokens(spark, sf):
     return table(spark, sf, "audit_row").select("audit_id", piece_counter(piece_model())("text").alias("tokens"))
 
 
+def piece_tokens_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", piece_counter(piece_model())("text").alias("tokens"))
+
+
 def benchmark(spark, sf):
     """The SentencePiece vocabulary against bytes, by language."""
     return tokenizer_benchmark(table(spark, sf, "audit_row"), piece_facts(piece_model())("text"), "language")
 
 
+def benchmark_documents(spark, sf):
+    return tokenizer_benchmark(_docs(spark, sf), piece_facts(piece_model())("text"), "language")
+
+
 # -- sampling, splits, budgets ---------------------------------------------------------
 
 
@@ -460,9 +482,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_hash, dedup_fingerprint, clean_text, text_sizes, source_group_id, rank_hash, canonical_order, simhash, shingles, lsh_bands, hamming_log,
-        byte_tokens, byte_round_trip, token_pairs, token_pairs_whole, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
+        byte_tokens, byte_tokens_documents, byte_round_trip, byte_round_trip_documents, token_pairs, token_pairs_whole, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
-        near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, benchmark, ppm_sampled, assign_partition, partition_matrix,
+        near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, piece_tokens_documents, benchmark, benchmark_documents, ppm_sampled, assign_partition, partition_matrix,
         bytes_selected, bytes_selected_full, bytes_balanced, tokenizer_corpus, tokenizer_corpus_full, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
         required_fields, repeated_records, unknown_values, eligible_sources, never_train, promotions, union_sources, quality_audit, audit_findings,
         token_rollup, language_counts, null_report, length_quantiles, density, decision_tokens, decision_status, train_capacity, mixture_readiness,
