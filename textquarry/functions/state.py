@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,14 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    Only where neither the session nor the context names one, as in local tests, a
-    temporary folder is set.
+    Only a local session that names none, as in tests, gets a temporary folder, which goes
+    when Python ends.  On a cluster a missing setting is an error: a folder of the driver's
+    machine is none that executors share.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textquarry-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="textquarry-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     context.setCheckpointDir(where)
     return where
 
@@ -26,3 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read back from the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path in the shared folder, if it is there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -1,10 +1,14 @@
-"""Deduplication: first-of-group windows, near pairs by bands, and the ordered greedy plan."""
+"""Deduplication: first of a group, near pairs by blocks of the fingerprint, and the ordered greedy plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.joins import heavy_keys, salted_join
 from textquarry.functions.state import cut
 from textquarry.functions.text import bands, hamming
 
@@ -26,31 +30,78 @@ def keep_first(df: DataFrame, by: list[str], order: list[Column | str]) -> DataF
     return df.groupBy(*by).agg(top.alias("__first")).select(*by, *[F.col(f"__first.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
+def keep_latest(df: DataFrame, by: str, order: str) -> DataFrame:
+    """The row of each ``by`` with the latest ``order``; plain repeats count once.
+
+    Of different rows with an equal ``order`` the greatest by all columns stays, so the
+    result does not depend on the partitioning.  A null ``order`` counts as the earliest.
+    """
+    rest = [c for c in df.columns if c not in (by, order)]
+    top = F.max(F.struct(F.col(order), *rest)).alias("__top")
+    return df.groupBy(by).agg(top).select(by, *[F.col(f"__top.{c}").alias(c) for c in (order, *rest)])
+
+
 def band_rows(df: DataFrame, id_col: str, fingerprint: str, count: int = BANDS) -> DataFrame:
-    """(id, fingerprint, band, value): the inverted index of fingerprints."""
+    """(id, fingerprint, band, value): the inverted index of fingerprints by equal bands."""
     return df.where(F.col(fingerprint).isNotNull()).select(id_col, fingerprint, F.inline(bands(fingerprint, count)))
 
 
-def near_values(values: DataFrame, fingerprint: str, most: int = MAX_DISTANCE, count: int = BANDS) -> DataFrame:
-    """Pairs (a < b, distance) of distinct fingerprints within ``most`` bits.
+def block_keys(fingerprint: Column | str, most: int = MAX_DISTANCE, take: int = 2) -> Column:
+    """array<bigint>: one key for each choice of ``take`` of ``most + take`` blocks of the fingerprint.
 
-    Complete while ``most`` < ``count`` (pigeonhole).  Works on distinct values, so copies
-    never meet; hot bands are left to skew-join splitting.
+    ``most`` differing bits lie in at most ``most`` blocks, so fingerprints within reach
+    have a key in common.  With the defaults ten keys hold 25 bits or more, which
+    unrelated fingerprints seldom share; a larger ``take`` gives more and longer keys.
     """
-    index = band_rows(values.select(fingerprint).distinct().withColumn("__id", F.lit(0)), "__id", fingerprint, count)
-    a = index.select("band", "value", F.col(fingerprint).alias("a"))
-    b = index.select("band", "value", F.col(fingerprint).alias("b"))
-    return a.join(b, ["band", "value"]).where("a < b").select("a", "b", hamming("a", "b").alias("distance")).where(F.col("distance") <= most).distinct()
-
-
-def near_matches(query: DataFrame, index: DataFrame, id_col: str, fingerprint: str, most: int = MAX_DISTANCE, count: int = BANDS) -> DataFrame:
-    """(query_id, match_id, distance): records of the index within reach of each query, itself excepted."""
-    q = band_rows(query, id_col, fingerprint, count).withColumnsRenamed({id_col: "query_id", fingerprint: "q"})
-    i = band_rows(index, id_col, fingerprint, count).withColumnsRenamed({id_col: "match_id", fingerprint: "m"})
-    return (
-        q.join(i, ["band", "value"]).where("query_id != match_id")
-        .select("query_id", "match_id", hamming("q", "m").alias("distance")).where(F.col("distance") <= most).distinct()
-    )
+    if not (0 <= most <= 63 and take >= 1 and most + take <= 64):
+        raise ValueError("0 <= most, 1 <= take and most + take <= 64 are required")
+    f = F.col(fingerprint) if isinstance(fingerprint, str) else fingerprint
+    count = most + take
+    sizes = [64 // count + (b < 64 % count) for b in range(count)]
+    starts = [sum(sizes[:b]) for b in range(count)]
+    block = [F.shiftrightunsigned(f, starts[b]).bitwiseAND(F.lit((1 << sizes[b]) - 1)) if sizes[b] < 64 else f for b in range(count)]
+    keys = []
+    for number, chosen in enumerate(combinations(range(count), take)):
+        key = F.lit(number).cast("bigint")
+        for b in chosen:
+            key = F.shiftleft(key, sizes[b]).bitwiseOR(block[b])
+        keys.append(key)
+    return F.array(*keys)
+
+
+def _blocks_for(most: int) -> int:
+    """Blocks that a key joins: keys of about 20 bits or more."""
+    return 2 if most <= 4 else 3
+
+
+def near_values(values: DataFrame, fingerprint: str, most: int = MAX_DISTANCE, against: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, distance) of distinct fingerprints within ``most`` bits, complete for every ``most``.
+
+    Without ``against`` pairs of the values with a < b; with it pairs of a value and an
+    unequal value of ``against`` (same column name).  Works on distinct values, so copies
+    never meet; nulls match nothing.
+    """
+    take = _blocks_for(most)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        distinct = df.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias(name)).distinct()
+        return distinct.select(name, F.explode(block_keys(name, most, take)).alias("key"))
+
+    a, b = keyed(values, "a"), keyed(values if against is None else against, "b")
+    met = a.join(b, "key").where("a < b" if against is None else "a != b").select("a", "b", hamming("a", "b").alias("distance"))
+    return met.where(F.col("distance") <= most).distinct()
+
+
+def near_matches(query: DataFrame, index: DataFrame, id_col: str, fingerprint: str, most: int = MAX_DISTANCE) -> DataFrame:
+    """(query_id, match_id, distance): records of the index within reach of each query, itself excepted.
+
+    Distinct values meet first; records are joined to the pairs of values afterwards.
+    """
+    q = query.where(F.col(fingerprint).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(fingerprint).alias("a"))
+    i = index.where(F.col(fingerprint).isNotNull()).select(F.col(id_col).alias("match_id"), F.col(fingerprint).alias("b"))
+    near = near_values(query, fingerprint, most, against=index)
+    same = q.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("distance"))
+    return q.join(near.unionByName(same), "a").join(i, "b").where("query_id != match_id").select("query_id", "match_id", "distance").distinct()
 
 
 def priority(partition: Column | str, lane: Column | str) -> tuple[Column, Column]:
@@ -63,65 +114,119 @@ def priority(partition: Column | str, lane: Column | str) -> tuple[Column, Colum
     return rank(partition, PARTITION_ORDER), rank(lane, LANE_ORDER)
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes (node) of the lexicographically first independent set.
+def settle(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the nodes that are accepted when taken in order of rank.
 
-    ``nodes``: (node, rank); ``edges``: (later, earlier).  A node is in as soon as all its
-    earlier neighbours are out, and out as soon as one is in.  Only nodes with edges take
-    part in the rounds; each round is written to the shared folder.
+    ``nodes``: (f, s, rank, ...), rank unique; a node is accepted unless an accepted one of
+    smaller rank has its ``f``, its ``s``, or an ``s`` that ``pairs`` (a, b, both ways)
+    joins to its own.  A node that comes first among all open nodes it touches is accepted
+    and takes the others out.  Minima are kept by value, so nodes of one value never meet
+    each other; only open nodes go on to the next round, which is written to the shared
+    folder.
     """
-    involved = edges.select("later").distinct()
-    free = nodes.join(involved, nodes["node"] == involved["later"], "left_anti").select("node")
-    state = cut(nodes.select("node").join(involved.select(F.col("later").alias("node"), F.lit("open").alias("state")), "node", "left").withColumn("state", F.coalesce("state", F.lit("in"))))
-    edges = cut(edges)
-    while not state.where("state = 'open'").isEmpty():
-        seen = edges.join(state.select(F.col("node").alias("earlier"), "state"), "earlier")
-        told = seen.groupBy(F.col("later").alias("node")).agg(F.max((F.col("state") == "in").cast("int")).alias("some_in"), F.max((F.col("state") == "open").cast("int")).alias("some_open"))
-        state = cut(
-            state.join(told, "node", "left").select(
-                "node",
-                F.when(F.col("state") != "open", F.col("state")).when(F.col("some_in") == 1, "out").when(F.col("some_open") == 0, "in").otherwise("open").alias("state"),
-            )
-        )
-    return free.unionByName(state.where("state = 'in'").select("node")).distinct()
+    accepted = []
+    open_ = cut(nodes)
+    while True:
+        first = open_.where("s is not null").groupBy("s").agg(F.min("rank").alias("least"))
+        around = first.unionByName(pairs.join(first.withColumnRenamed("s", "b"), "b").select(F.col("a").alias("s"), "least"))
+        near = around.groupBy("s").agg(F.min("least").alias("near_least"))
+        exact = open_.where("f is not null").groupBy("f").agg(F.min("rank").alias("exact_least"))
+        judged = cut(
+            open_.join(near, "s", "left").join(exact, "f", "left")
+            .withColumn("taken", (F.col("rank") <= F.coalesce("near_least", "rank")) & (F.col("rank") <= F.coalesce("exact_least", "rank")))
+            .drop("near_least", "exact_least")
+        )
+        taken = judged.where("taken").select(*nodes.columns)
+        accepted.append(taken)
+        rest = judged.where("not taken").select(*nodes.columns)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, accepted)
+        held = taken.where("s is not null").select("s")
+        gone = held.unionByName(pairs.join(held.withColumnRenamed("s", "b"), "b").select(F.col("a").alias("s"))).distinct()
+        open_ = cut(rest.join(gone, "s", "left_anti").join(taken.where("f is not null").select("f").distinct(), "f", "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, accepted)
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(f, s, rank, name, n): the first of all rows (rank, name, f, s) of each pair of values, and their number."""
+    top = rows.where("f is not null or s is not null").groupBy("f", "s").agg(F.min(F.struct("rank", "name")).alias("__top"), F.count(F.lit(1)).alias("n"))
+    return top.select("f", "s", F.col("__top.rank").alias("rank"), F.col("__top.name").alias("name"), "n")
+
+
+def decide_in_order(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, known_exact: DataFrame | None = None, known_near: DataFrame | None = None) -> DataFrame:
+    """(id, name, f, s, rank, exact, distance, other) of all rows taken in order of rank; ``other`` is null for those accepted.
+
+    ``rows``: (id, name, rank, f, s), rank unique; ``nodes``: :func:`nodes_of` them, cut;
+    ``pairs``: (a, b, distance) of unequal ``s`` within reach, both ways.  ``known_exact``
+    (f, name) and ``known_near`` (s, distance, name): what was accepted before all rows,
+    the best match of each value.  A row repeats the accepted one of its ``f``, or else the
+    closest in reach, of equal ones that with the smallest name.  Null values match
+    nothing.  Accepted values in reach of one value lie more than the reach apart, so the
+    options of a value are few however large its group.  Groups of at least a thousandth of
+    all rows are spread by hand.
+    """
+    told = nodes
+    if known_exact is not None:
+        told = told.join(known_exact.select("f", F.col("name").alias("old_exact")), "f", "left")
+    if known_near is not None:
+        told = told.join(known_near.select("s", F.struct("distance", F.col("name").alias("other")).alias("old_near")), "s", "left")
+    for c, kind in (("old_exact", nodes.schema["name"].dataType.simpleString()), ("old_near", None)):
+        if c not in told.columns:
+            told = told.withColumn(c, F.lit(None).cast(kind or f"struct<distance:int,other:{nodes.schema['name'].dataType.simpleString()}>"))
+    told = cut(told)
+    taken = settle(told.where("old_exact is null and old_near is null").select("f", "s", "rank", "name"), pairs)
+    holder = taken.where("s is not null").select(F.col("s").alias("b"), F.struct(F.col("rank").alias("at"), F.col("name").alias("other")).alias("who"))
+    options = holder.select(F.col("b").alias("s"), F.lit(0).alias("distance"), "who").unionByName(pairs.join(holder, "b").select(F.col("a").alias("s"), F.col("distance").cast("int"), "who"))
+    listed = options.groupBy("s").agg(F.collect_list(F.struct("distance", F.col("who.other").alias("other"), F.col("who.at").alias("at"))).alias("options"))
+    same = taken.where("f is not null").select("f", F.struct(F.col("rank").alias("at"), F.col("name").alias("other")).alias("new_exact"))
+    reach = told.join(listed, "s", "left").join(same, "f", "left").select("f", "s", "old_exact", "old_near", "options", "new_exact")
+    heavy = heavy_keys(nodes, ["f", "s"], least=1_000)
+    joined = salted_join(rows, reach, ["f", "s"], heavy, F.col("id"))
+    earlier = F.filter("options", lambda o: o["at"] < F.col("rank"))
+    near = F.array_min(F.transform(earlier, lambda o: F.struct(o["distance"].alias("distance"), o["other"].alias("other"))))
+    best = F.least("old_near", near)
+    exact = F.coalesce("old_exact", F.when(F.col("new_exact.at") < F.col("rank"), F.col("new_exact.other")))
+    return joined.select(
+        "id", "name", "f", "s", "rank", exact.isNotNull().alias("exact"), F.when(exact.isNotNull(), 0).otherwise(best["distance"]).alias("distance"), F.coalesce(exact, best["other"]).alias("other")
+    )
+
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, distance) and the same turned round."""
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
 
-def greedy(records: DataFrame, id_col: str, order: list[str], fingerprint: str, simhash: str, most: int = MAX_DISTANCE, register: str = "accepted") -> DataFrame:
+
+def greedy(records: DataFrame, id_col: str, order: list[str], fingerprint: str, simhash: str, most: int = MAX_DISTANCE, register: str = "accepted", name: str | None = None) -> DataFrame:
     """(id, status, reason, duplicate_of, hamming_distance) of records considered in order.
 
     A record is accepted unless an earlier accepted one has its fingerprint (an exact
     duplicate, distance 0) or lies within ``most`` bits (a near duplicate of the closest,
-    then smallest id).  ``register``: whether a fingerprint counts as known once
-    ``accepted``, or as soon as ``seen``, in which case every later copy of any record is an
-    exact duplicate of the first.  ``order`` must be unique.  Records of equal fingerprint
-    have equal simhash; of equal simhash only the first can be accepted, so all comparing is
-    between distinct simhash values.  Null fingerprints match nothing.
+    then of the smallest ``name``, a unique column, by default the id; ``duplicate_of`` is
+    that name).  ``register``: whether a fingerprint counts as known once ``accepted``, or
+    as soon as ``seen``, in which case every later copy of any record is an exact duplicate
+    of the first.  ``order`` must be unique.  Null fingerprints match nothing; a record of
+    null simhash is still an exact duplicate of its fingerprint's first.
     """
     if register not in ("accepted", "seen"):
         raise ValueError("register is accepted or seen")
-    rows = records.select(F.col(id_col).alias("id"), F.struct(*order).alias("rank"), F.col(fingerprint).alias("f"), F.col(simhash).alias("s"))
-    heads = cut(rows.where("s is not null").groupBy("s").agg(F.min(F.struct("rank", "id", "f")).alias("h")).select("s", "h.rank", "h.id", "h.f"))
-    pairs = cut(near_values(heads, "s", most))
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "distance"))
-    ranked = both.join(heads.select(F.col("s").alias("x"), F.col("rank").alias("rx")), "x").join(heads.select(F.col("s").alias("y"), F.col("rank").alias("ry")), "y")
-    chosen = first_independent(heads.select(F.col("s").alias("node"), "rank"), ranked.where("ry < rx").select(F.col("x").alias("later"), F.col("y").alias("earlier")))
-    kept = cut(heads.join(chosen.withColumnRenamed("node", "s"), "s", "left_semi"))
-    reach = kept.select(F.col("s").alias("x"), "id", "rank", "f", F.lit(0).alias("distance")).unionByName(
-        both.join(kept.select(F.col("s").alias("y"), "id", "rank", "f"), "y").select("x", "id", "rank", "f", "distance")
-    )
-    reach = reach.select(F.col("x").alias("s"), F.col("id").alias("other"), F.col("rank").alias("other_rank"), F.col("f").alias("other_f"), "distance")
-    best = (
-        rows.join(reach, "s").where("other_rank < rank")
-        .groupBy("id").agg(F.min(F.struct(F.when(F.col("f") == F.col("other_f"), 0).otherwise(1).alias("kind"), "distance", "other")).alias("best"))
-    )
-    decided = rows.select("id", "f", "rank").join(best, "id", "left")
+    rows = cut(records.select(F.col(id_col).alias("id"), F.col(name or id_col).alias("name"), F.struct(*order).alias("rank"), F.col(fingerprint).alias("f"), F.col(simhash).alias("s")))
+    nodes = cut(nodes_of(rows))
+    pairs = cut(both_ways(near_values(nodes, "s", most)))
+    decided = decide_in_order(rows, nodes, pairs)
     if register == "seen":
-        first = rows.where("f is not null").groupBy("f").agg(F.min(F.struct("rank", "id")).alias("first"))
-        decided = decided.join(first, "f", "left").withColumn(
-            "best", F.when(F.col("first.id") != F.col("id"), F.struct(F.lit(0).alias("kind"), F.lit(0).alias("distance"), F.col("first.id").alias("other"))).otherwise(F.col("best"))
+        first = rows.where("f is not null").groupBy("f").agg(F.min(F.struct("rank", "name")).alias("first"))
+        again = F.col("first.rank") < F.col("rank")
+        decided = decided.join(first, "f", "left").withColumns(
+            {"exact": F.coalesce(again, F.lit(False)) | F.col("exact"), "distance": F.when(again, 0).otherwise(F.col("distance")), "other": F.when(again, F.col("first.name")).otherwise(F.col("other"))}
         )
+    return verdicts(decided, id_col)
+
+
+def verdicts(decided: DataFrame, id_col: str) -> DataFrame:
+    """(id, status, reason, duplicate_of, hamming_distance) of :func:`decide_in_order`."""
     return decided.select(
-        F.col("id").alias(id_col), F.when(F.col("best").isNull(), "accept").otherwise("exclude").alias("status"),
-        F.when(F.col("best.kind") == 0, "cross_source_exact_duplicate").when(F.col("best.kind") == 1, "cross_source_near_duplicate").alias("reason"),
-        F.col("best.other").alias("duplicate_of"), F.when(F.col("best.kind") == 0, 0).otherwise(F.col("best.distance")).alias("hamming_distance"),
+        F.col("id").alias(id_col), F.when(F.col("other").isNull(), "accept").otherwise("exclude").alias("status"),
+        F.when(F.col("other").isNotNull(), F.when(F.col("exact"), "cross_source_exact_duplicate").otherwise("cross_source_near_duplicate")).alias("reason"),
+        F.col("other").alias("duplicate_of"), F.when(F.col("other").isNotNull(), F.col("distance")).alias("hamming_distance"),
     )
