@@ -14,7 +14,7 @@ from textquarry.operators import technical as C
 SF = "/root/testdata/sf0.001"
 EXTRA = [
     "def f():\n  return 5 km\n$ ls -l\n>>> x\nPS C:> dir", "at a.b.C(D.java:12)\nException in thread main", "arXiv: 1234.56789 and 6.02e23, \\frac{1}{2} $x + y = z$ $5 and $9", "ﬁ K 12 µm 5 nm. 7km x9e5",
-    "api-key: 'abcdefghijklmnop' SECRET_KEY=QWERTYUIOPASDFGHJKL", "a@b.com a@b.com- x@y.co.th) ก1@b.com", "1.2.3.4 256.1.1.1 01.02.03.04.05 ๑.๒.๓.๔", "4111-1111-1111-1111 5500000000000004 378282246310005", "\ufeff\u200b\u00ad" * 3 + "z", "=" * 40,
+    "api-key: 'abcdefghijklmnop' SECRET_KEY=QWERTYUIOPASDFGHJKL", "a@b.com a@b.com- x@y.co.th) ก1@b.com", "1.2.3.4 256.1.1.1 01.02.03.04.05 ๑.๒.๓.๔", "4111-1111-1111-1111 5500000000000004 378282246310005", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 and 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "4- 111 11", "\ufeff\u200b\u00ad" * 3 + "z", "=" * 40,
     "\u2028def x\u2028class", "from\u00a0x\n\u3000import y", "neural networks and the gradient of a tensor, a protein and quantum circuits", "โปรตีน เคมี ฟิสิกส์ สถิติ จีโนม {};{};{};=>::",
 ]
 
@@ -88,3 +88,36 @@ def test_classification(spark):
         add(min(4, symbols // 8), "code_symbol_density")
         assert (got[i]["score"], got[i]["signals"]) == (score, sorted(signals)), t[:200]
         assert (got[i]["category"] == C.TECHNICAL) == (score >= 4)
+
+
+def _examples(pattern: str, count: int) -> list[str]:
+    """Texts that mostly match a pattern, drawn from the pattern itself without its look-arounds."""
+    from hypothesis import HealthCheck, Phase, given, settings
+    from hypothesis import strategies as st
+
+    p = re.sub(r"^\(\?[a-z]+\)", "(?i)" if "i" in pattern[:6] else "", pattern)
+    p = p.replace(C._END, "").replace(S.WORD_CLASS, r"\w").replace(S.DIGIT_CLASS, r"\d").replace(WHITESPACE_CLASS, r"\s")
+    p = re.sub(r"\(\?<?[!=]\[?[^\])]*\]?\)", "", p)
+    out: list[str] = []
+
+    @settings(max_examples=count, database=None, derandomize=True, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(re.compile(p), fullmatch=True))
+    def draw(text):
+        out.append(text.encode("utf-8", "ignore").decode())
+
+    draw()
+    return out
+
+
+def test_conditions_hold_for_every_match(spark):
+    """What a text must contain before a pattern is tried is contained in whatever matches."""
+    from pyspark.sql import functions as F
+
+    signs = {**C.CODE_SIGNALS, **C.SCIENCE_SIGNALS}
+    gates = {**{k: (signs[k], v) for k, v in C._NEEDED.items()}, "card": (S.CARD, S.CARD_NEEDED)}
+    rows = [(name, t) for name, (pattern, _) in gates.items() for t in _examples(pattern, 80)]
+    df = spark.createDataFrame(rows, "name string, text string").cache()
+    for name, (pattern, gate) in gates.items():
+        own = df.where(F.col("name") == name).where(F.regexp_count("text", F.lit(pattern)) > 0)
+        assert own.count() > 10, name
+        assert [r["text"] for r in own.where(~F.col("text").rlike(gate)).collect()] == [], name

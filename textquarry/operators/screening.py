@@ -17,6 +17,8 @@ EMAIL = rf"(?iu)(?<![{WORD_CLASS}.+\-])[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{{2,}}
 _OCTET = rf"(?:25[0-5]|2[0-4]{DIGIT_CLASS}|1?{DIGIT_CLASS}?{DIGIT_CLASS})"
 IPV4 = rf"(?<!{DIGIT_CLASS})(?:{_OCTET}\.){{3}}{_OCTET}(?!{DIGIT_CLASS})"
 CARD = rf"(?<!{DIGIT_CLASS})(?:{DIGIT_CLASS}[ \-]?){{13,19}}(?!{DIGIT_CLASS})"
+#: Every card match holds this: thirteen digits, at most one separator between two of them.
+CARD_NEEDED = rf"{DIGIT_CLASS}(?:[ \-]?{DIGIT_CLASS}){{12}}"
 SECRET = (
     r"(?i)(?:-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"
     rf"|(?:api[_\-]?key|access[_\-]?token|secret[_\-]?key)[{WHITESPACE_CLASS}]*[:=][{WHITESPACE_CLASS}]*['\"]?[A-Za-z0-9_\-/.+=]{{16,}})"
@@ -73,11 +75,11 @@ def screen(
         "runs": F.when(text.rlike(rf"(?s)([^{WHITESPACE_CLASS}])\1{{{RUN_LENGTH - 1}}}"), run_characters(text)).otherwise(0),
         "blank": text.rlike(rf"^[{WHITESPACE_CLASS}]*\z").cast("int"),
         "nul": F.length(text) - F.length(F.replace(text, F.lit("\0"), F.lit(""))),
-        # cheap necessary conditions spare most texts the patterns
+        # what every match holds spares most texts the patterns
         "emails": F.when(F.contains(text, F.lit("@")), _matches(text, EMAIL)).otherwise(0),
         "addresses": F.when(text.rlike(rf"{DIGIT_CLASS}\.{DIGIT_CLASS}"), _matches(text, IPV4)).otherwise(0),
         "phones": _matches(text, PHONE) if phones else F.lit(0),
-        "cards": F.when(text.rlike(rf"{DIGIT_CLASS}[ \-]?{DIGIT_CLASS}{{2}}"), card_numbers(text)).otherwise(0),
+        "cards": F.when(text.rlike(CARD_NEEDED), card_numbers(text)).otherwise(0),
         "secrets": F.when(text.rlike("(?i)-----BEGIN|_?-?key|token"), _matches(text, SECRET)).otherwise(0),
     }
 

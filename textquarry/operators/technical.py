@@ -50,9 +50,9 @@ TECHNICAL, DOMAIN = "technical_scientific_code", "flywire_domain"
 SYMBOLS = ("{", "}", ";", "=>", "::")
 
 
-#: What a text must contain before a pattern is tried, where that is cheaper to see.
+#: What every match of a pattern holds, where that is cheaper to see; the flags are the pattern's.
 _NEEDED = {
-    "stack_trace": rf"(?i)traceback|exception|:{_D}+\)", "doi": "(?i)doi", "arxiv": "(?i)arxiv", "scientific_notation": rf"{_D}[eE][+\-]?{_D}",
+    "stack_trace": rf"(?iu)traceback|exception|:{_D}+\)", "doi": "(?iu)doi", "arxiv": "(?iu)arxiv", "scientific_notation": rf"{_D}[eE][+\-]?{_D}",
     "equation": r"[$\\]", "shell_prompt": r"[$>]", "units": rf"(?iu){_D}[{_S}]*[numckhg]",
 }
 
