@@ -1,4 +1,5 @@
 import bz2
+import hashlib
 import json
 import os
 
@@ -81,10 +82,17 @@ def test_sinks(spark, tmp_path):
     again = sinks.json_lines(df.repartition(3), str(tmp_path / "two"), "record_id", sorted_keys=True)
     lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "one")).collect()]
     assert sorted(x["record_id"] for x in lines) == ["a", "b", "c"] and list(lines[0]) == ["record_id", "status", "text"]
-    assert first["bytes"] == again["bytes"]
+    assert first["bytes"] == again["bytes"] and first["rows"] == 3 and first["text_bytes"] == 4
+    one = sinks.json_lines(df.coalesce(1), str(tmp_path / "single"), "record_id", sorted_keys=True)
+    whole = b"".join(sorted((p.name, p.read_bytes()) for p in (tmp_path / "one").glob("part-*"))[k][1] for k in range(first["files"]))
+    assert len(whole) == first["bytes"] == one["bytes"]
+    if one["files"] == 1:
+        assert one["sha256"] == hashlib.sha256(next((tmp_path / "single").glob("part-*")).read_bytes()).hexdigest()
+    assert sinks.json_lines(df.where("false"), str(tmp_path / "none"), "record_id")["rows"] == 0
     with pytest.raises(Exception):
         sinks.json_lines(df, str(tmp_path / "one"), "record_id")
-    sinks.split_sink(df, str(tmp_path / "acc"), str(tmp_path / "exc"))
+    both = sinks.split_sink(df, str(tmp_path / "acc"), str(tmp_path / "exc"))
+    assert both["accepted"]["files"] >= 1 and len(both["excluded"]["sha256"]) == 64
     assert spark.read.parquet(str(tmp_path / "exc")).columns == ["record_id", "status"] and spark.read.parquet(str(tmp_path / "acc")).count() == 2
     parts = df.select("record_id", F.when(F.col("record_id") == "a", "holdout").otherwise("train").alias("partition"))
     sinks.without_holdout(parts, str(tmp_path / "parts"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textquarry.functions.keys import strip
 from textquarry.functions.text import clean_text, dedup_fingerprint
 from textquarry.operators.dedup import keep_first
 from textquarry.operators.registry import all_violations, one_of, require, required, unique
@@ -26,10 +27,12 @@ class SourceError(ValueError):
 def json_lines(spark: SparkSession, path: str, schema: str | StructType, id_col: str = "record_id", allowed: dict[str, tuple[str, ...]] | None = None, strict: bool = True) -> DataFrame:
     """Records of a JSON Lines file under a fixed schema; blank lines are skipped.
 
-    ``strict`` fails on broken JSON, missing or blank fields, repeated ids and values
-    outside the allowed ones, before anything is returned.
+    All fields but the text come without surrounding white space.  ``strict`` fails on
+    broken JSON, missing or blank fields, repeated ids and values outside the allowed ones,
+    before anything is returned.
     """
     lines = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+    lines = lines.select(*[strip(c).alias(c) if c != "text" and kind == "string" else F.col(c) for c, kind in lines.dtypes])
     if strict:
         rules = [required(lines, id_col, lines.columns), unique(lines, id_col)]
         rules += [one_of(lines, id_col, c, v) for c, v in (allowed or {}).items()]
