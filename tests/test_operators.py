@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import accounting as A
 from textquarry.operators import registry as R
-from textquarry.operators.dedup import first_independent, greedy, keep_first, near_matches, near_values
+from textquarry.operators.dedup import greedy, keep_first, near_matches, near_values, settle
+from textquarry.operators.index import FingerprintIndex
 from textquarry.operators.screening import screen, status
 from textquarry.operators.selection import balance_bytes, ppm_sample, select_bytes
 from textquarry.operators.technical import TECHNICAL, classify, primary_category
-from textquarry.plans.pipelines import calibrate, decide, materialise
+from textquarry.plans.pipelines import calibrate, decide, materialise, undecidable
 
 
 def _signed(v):
@@ -128,18 +129,75 @@ def test_near_values_and_matches(spark):
     v = [rng.getrandbits(64) for _ in range(30)]
     v += [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in v]
     df = spark.createDataFrame([(i, _signed(x)) for i, x in enumerate(v)] + [(99, None)], "id int, s bigint")
-    for most, bands in ((3, 4), (7, 8)):
+    for most in (0, 3, 7):
         want = {frozenset((_signed(a), _signed(b))) for a in v for b in v if a < b and bin(a ^ b).count("1") <= most}
-        assert {frozenset((r["a"], r["b"])) for r in near_values(df, "s", most, bands).collect()} == want
+        assert {frozenset((r["a"], r["b"])) for r in near_values(df, "s", most).collect()} == want
     got = {(r["query_id"], r["match_id"], r["distance"]) for r in near_matches(df.where("id % 5 = 0"), df, "id", "s").collect()}
     assert got == {(i, j, bin(a ^ b).count("1")) for i, a in enumerate(v) for j, b in enumerate(v) if i != j and i % 5 == 0 and bin(a ^ b).count("1") <= 3}
 
 
-def test_first_independent_of_a_long_chain(spark):
+def test_settling_a_long_chain(spark):
     n = 12
-    nodes = spark.range(n).select(F.col("id").alias("node"), F.col("id").alias("rank"))
-    edges = spark.range(1, n).select(F.col("id").alias("later"), (F.col("id") - 1).alias("earlier"))
-    assert sorted(r[0] for r in first_independent(nodes, edges).collect()) == list(range(0, n, 2))
+    nodes = spark.range(n).select(F.lit(None).cast("string").alias("f"), F.col("id").alias("s"), F.col("id").alias("rank"))
+    one = spark.range(1, n).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    pairs = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    assert sorted(r["s"] for r in settle(nodes, pairs).collect()) == list(range(0, n, 2))
+
+
+def _in_order(rows):
+    """(id: (exact, distance, other)) of (id, f, s) rows in order, by the definition."""
+    known, out = [], {}
+    for i, f, s in rows:
+        exact = [k[0] for k in known if f is not None and k[1] == f]
+        near = sorted((bin(k[2] ^ s).count("1"), k[0]) for k in known if s is not None and k[2] is not None)
+        near = [x for x in near if x[0] <= 3]
+        out[i] = (True, 0, exact[0]) if exact else (False, *near[0]) if near else (False, None, None)
+        if not exact and not near:
+            known.append((i, f, s))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_batches_through_the_index_equal_one_pass(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    bases = [rng.getrandbits(64) for _ in range(5)]
+    rows = []
+    for i in range(160):
+        s = rng.choice(bases)
+        for _ in range(rng.randrange(0, 5)):
+            s ^= 1 << rng.randrange(14)
+        # dirty rows: one fingerprint with several simhashes, nulls
+        rows.append((i, None if rng.random() < 0.1 else f"f{rng.randrange(60)}", None if rng.random() < 0.1 else s))
+    rows += [(200 + i, "hot", bases[0]) for i in range(60)]
+    df = spark.createDataFrame([(i, f, None if s is None else _signed(s)) for i, f, s in rows], "id int, f string, s bigint")
+    want = _in_order(rows)
+    index = FingerprintIndex(spark, str(tmp_path / "index"), "int", parts=8)
+    got = {}
+    for k, (low, high) in enumerate([(0, 60), (60, 61), (61, 150), (150, 300)]):
+        part = df.where((F.col("id") >= low) & (F.col("id") < high))
+        got |= {r["id"]: (r["exact"], r["distance"], r["other"]) for r in index.consider(part, "id", ["id"], "f", "s", f"b{k}").collect()}
+    assert got == want
+    assert index.batches() == ["b0", "b1", "b2", "b3"] and index.count() == sum(v[2] is None for v in want.values())
+    once = greedy(df, "id", ["id"], "f", "s").collect()
+    assert {r["id"]: r["duplicate_of"] for r in once} == {i: v[2] for i, v in want.items()}
+
+
+def test_index_refuses_repeated_and_blank_ids(spark, tmp_path):
+    index = FingerprintIndex(spark, str(tmp_path / "index"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, f string, s bigint")
+    index.add(rows(("a", "x", 5), ("b", "y", 7)), "first")
+    index.add(rows(("a", "x", 5), ("b", "y", 7)), "first")  # a batch that is written again replaces itself
+    assert index.count() == 2
+    for bad in (rows(("a", "z", 1)), rows(("c", "z", 1), ("c", "w", 2)), rows((" ", "z", 1))):
+        with pytest.raises(R.ContractError):
+            index.add(bad, "second")
+    assert index.batches() == ["first"]
+    found = index.find(rows(("q", "-", 4)), "id", "s").orderBy("distance", "match_id").collect()
+    assert [tuple(r) for r in found] == [("q", "a", 1), ("q", "b", 2)]
+    with pytest.raises(ValueError):
+        index.find(rows(("q", "-", 4)), "id", "s", most=9)
+    with pytest.raises(ValueError):
+        index.write(rows(), "a/b")
 
 
 def test_byte_budgets(spark):
@@ -207,6 +265,25 @@ def test_manifest_order_beats_arrival(spark):
     assert set(got) == {1, 2, 5}
     assert got[2]["status"] == "accept" and got[2]["token_count"] == len(text) and got[2]["primary_category"] == "general_english"
     assert got[1]["reason"] == "cross_source_exact_duplicate" and got[1]["duplicate_of"] == 2 and got[1]["token_count"] == 0 and got[1]["primary_category"] is None
+    assert sorted((r["rule"], r["id"]) for r in undecidable(df, "candidate_id").collect()) == [("no_text", "6"), ("partition", "4"), ("rights_lane", "3")]
+    with pytest.raises(R.ContractError):
+        decide(df, "candidate_id", F.octet_length("text"), strict=True)
+    good = df.where("candidate_id in (1, 2, 5)")
+    assert decide(good, "candidate_id", F.octet_length("text"), strict=True).count() == 3
+    with pytest.raises(R.ContractError):
+        decide(good, "candidate_id", F.lit(0), strict=True)
+    with pytest.raises(R.ContractError):
+        decide(good.unionByName(good), "candidate_id", F.octet_length("text"), strict=True)
+
+
+def test_equally_close_records_by_name(spark):
+    rows = [(1, "z", "f1", 0b0011), (2, "a", "f2", 0b11110011), (3, "m", "f3", 0b00110011)]
+    df = spark.createDataFrame(rows, "id int, name string, f string, s bigint")
+    got = {r["id"]: (r["status"], r["duplicate_of"], r["hamming_distance"]) for r in greedy(df, "id", ["id"], "f", "s", most=2, name="name").collect()}
+    assert got == {1: ("accept", None, None), 2: ("accept", None, None), 3: ("exclude", "a", 2)}
+    # a fingerprint without a simhash still matches exactly
+    odd = spark.createDataFrame([(1, "f", None), (2, "f", 5), (3, "g", 5), (4, None, None)], "id int, f string, s bigint")
+    assert {r["id"]: r["duplicate_of"] for r in greedy(odd, "id", ["id"], "f", "s").collect()} == {1: None, 2: 1, 3: None, 4: None}
 
 
 def test_quarantined_first_copy_uses_up_its_fingerprint(spark):
@@ -227,9 +304,13 @@ def test_ingestion_and_benchmark(spark):
     rows = [row, ("r2", " ", *row[2:]), ("r3", "x", "en", "c", "s2", "s2-a", "g", "train"), ("r4", "x", "en", "c", "s9", "s9-a", "g", "train"), ("r5", "x", "en", "c", "s1", "s3-a", "g", "train"), ("r6", "x", "en", "c", "s1", "s1-a", "g", "dev")]
     df = spark.createDataFrame(rows, "record_id string, text string, language string, category string, source_id string, artifact_id string, source_group_id string, partition string")
     lanes = spark.createDataFrame([("s1", "release_safe"), ("s2", "research_only")], "source_id string, rights_lane string")
-    entry = ingest(df, lanes, "release_safe").collect()
+    # an artifact belongs to the source that the ledger names, whatever its id begins with
+    ledger = spark.createDataFrame([("s1-a1", "S1"), ("s2-a", "s2"), ("s9-a", "s9"), ("s3-a", "s3"), ("s1-a10", "s10")], "artifact_id string, source_id string")
+    more = df.unionByName(df.limit(1).withColumn("artifact_id", F.lit("s1-a10")).withColumn("source_id", F.lit("s1")))
+    assert [r["records"] for r in refused(more, lanes, ledger, "release_safe").where("problem = 'artifact of another source'").collect()] == [2]
+    entry = ingest(df, lanes, ledger, "release_safe").collect()
     assert [(r["record_id"], r["status"], r["training_eligible"], r["characters"]) for r in entry] == [("r", "accept", True, 9)]
-    assert {tuple(r) for r in refused(df, lanes, "release_safe").collect()} == {("blank text", 1), ("lane not visible", 1), ("unknown source", 1), ("artifact of another source", 1), ("unknown partition", 1)}
+    assert {tuple(r) for r in refused(df, lanes, ledger, "release_safe").collect()} == {("blank text", 1), ("lane not visible", 1), ("unknown source", 1), ("artifact of another source", 1), ("unknown partition", 1)}
     texts = spark.createDataFrame([("a", "Hello wide world"), ("a", ""), ("a", None), ("b", "ภาษาไทย")], "language string, text string")
     got = {r["language"]: r for r in tokenizer_benchmark(texts, piece_facts(piece_model())("text"), "language").collect()}
     assert got["a"]["cases"] == 1 and got["a"]["candidate_tokens"] == 3 and got["a"]["unk_tokens"] == 0 and got["b"]["roundtrip_failures"] == 0

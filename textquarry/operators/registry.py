@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.keys import strip
 from textquarry.functions.text import content_sha256, dedup_fingerprint, from_hex, sha256_valid, simhash64
 
 # The enumerations of records and registries.
@@ -42,9 +43,9 @@ def require(frame: DataFrame, what: str, shown: int = 5) -> None:
 
 
 def required(df: DataFrame, id_col: str, columns: Iterable[str], blank_too: bool = True) -> DataFrame:
-    """Missing or empty (or blank) values of required columns."""
+    """Missing or empty values of required columns, or of any Unicode white space alone."""
     return all_violations(
-        violation(df, "missing", id_col, F.coalesce((F.length(F.trim(F.col(c)) if blank_too else F.col(c)) == 0), F.lit(True)), F.lit(c)) for c in columns
+        violation(df, "missing", id_col, F.coalesce((F.length(strip(c) if blank_too else F.col(c)) == 0), F.lit(True)), F.lit(c)) for c in columns
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ def ppm_sample(df: DataFrame, id_col: str, seed: str, parts_per_million: int) ->
 def select_bytes(df: DataFrame, by: list[str], rank: Column, size: Column, target: Column | int) -> DataFrame:
     """Rows in rank order while the total before a row is under the target.
 
-    The row that crosses the target is included.  Ranks are hex digests: their first two
-    digits split every group into 256 ordered buckets whose totals are accumulated first,
-    so no task holds a whole group.
+    The row that crosses the target is included.  Ranks are hex digests: their first
+    digits split every group into ordered buckets, at least four for each shuffle
+    partition, whose totals are accumulated first, so no task holds a whole group.
     """
     if isinstance(target, int) and target <= 0:
         raise ValueError("the target must be positive")
-    rows = df.withColumns({"__rank": rank, "__size": F.coalesce(size, F.lit(0)).cast("bigint"), "__bucket": F.substring(rank, 1, 2)})
+    digits = max(2, math.ceil(math.log(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)))
+    rows = df.withColumns({"__rank": rank, "__size": F.coalesce(size, F.lit(0)).cast("bigint"), "__bucket": F.substring(rank, 1, digits)})
     sums = rows.groupBy(*by, "__bucket").agg(F.sum("__size").alias("__sum"))
     ahead = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__base"))

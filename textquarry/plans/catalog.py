@@ -11,12 +11,12 @@ from textquarry.functions.sampling import partition_of, ppm_selected
 from textquarry.operators import accounting as A
 from textquarry.operators import contracts as K
 from textquarry.operators import registry as R
-from textquarry.operators.dedup import band_rows, greedy, keep_first, near_matches, near_values, priority
+from textquarry.operators.dedup import greedy, keep_first, keep_latest, near_matches, near_values, priority
 from textquarry.operators.screening import screen, status
 from textquarry.operators.selection import balance_bytes, ppm_sample, select_bytes
-from textquarry.operators.technical import TECHNICAL, classify, primary_category
+from textquarry.operators.technical import DOMAIN, TECHNICAL, classify, primary_category
 from textquarry.operators.tokens import byte_count, byte_ids, byte_text, next_token_pairs, piece_counter, piece_facts, piece_model
-from textquarry.plans.pipelines import calibrate, decide, ingest, materialise, refused, tokenizer_benchmark
+from textquarry.plans.pipelines import calibrate, decide, ingest, materialise, refused, tokenizer_benchmark, undecidable
 from textquarry.sources.files import null_counts
 from textquarry.sources.tables import table
 
@@ -36,6 +36,11 @@ def _lanes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "source_registry").select("source_id", "rights_lane")
 
 
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The known artifacts: those of the global candidates, each with its source."""
+    return table(spark, sf, "global_candidate").select("artifact_id", key("source_id").alias("source_id")).where("artifact_id is not null").distinct()
+
+
 # -- scalar functions ------------------------------------------------------------------
 
 
@@ -160,8 +165,9 @@ def technical(spark, sf):
 
 def technical_categories(spark, sf):
     """Category route of every document: domain, technical, or by language."""
-    d = _docs(spark, sf).where("text is not null")
-    return d.select("doc_id", primary_category(classify("text")["category"] == TECHNICAL, "language", F.col("source_id").startswith("flydoc")).alias("category"))
+    declared = table(spark, sf, "source_registry").where(F.col("main_category") == DOMAIN).select("source_id", F.lit(True).alias("declared"))
+    d = _docs(spark, sf).where("text is not null").join(declared, "source_id", "left")
+    return d.select("doc_id", primary_category(classify("text")["category"] == TECHNICAL, "language", F.coalesce("declared", F.lit(False))).alias("category"))
 
 
 def technical_calibration(spark, sf):
@@ -207,8 +213,8 @@ def near_pairs(spark, sf):
 
 
 def near_pairs_wide(spark, sf):
-    """Distinct fingerprints within seven bits: eight bands of eight bits."""
-    return near_values(_simhashes(spark, sf), "s", 7, 8).select(F.least(T.to_hex("a"), T.to_hex("b")).alias("a"), F.greatest(T.to_hex("a"), T.to_hex("b")).alias("b"), "distance")
+    """Distinct fingerprints within seven bits."""
+    return near_values(_simhashes(spark, sf), "s", 7).select(F.least(T.to_hex("a"), T.to_hex("b")).alias("a"), F.greatest(T.to_hex("a"), T.to_hex("b")).alias("b"), "distance")
 
 
 def near_search(spark, sf):
@@ -222,8 +228,20 @@ def index_size(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("records")).withColumn("bands", F.col("records") * 4)
 
 
+def _candidates(spark, sf):
+    """Global candidates and whether the registry declares their source as one of the domain."""
+    declared = table(spark, sf, "source_registry").where(F.col("main_category") == DOMAIN).select("source_id", F.lit(True).alias("declared"))
+    return table(spark, sf, "global_candidate").withColumn("source_id", key("source_id")).join(declared, "source_id", "left")
+
+
 def _decisions(spark, sf):
-    return decide(table(spark, sf, "global_candidate"), "candidate_id", F.octet_length("text"), T.dedup_fingerprint("text"), T.simhash64("text"))
+    declared = F.coalesce("declared", F.lit(False))
+    return decide(_candidates(spark, sf), "candidate_id", F.octet_length("text"), T.dedup_fingerprint("text"), T.simhash64("text"), declared, "canonical_id")
+
+
+def manifest_undecidable(spark, sf):
+    """Candidates that the manifest can't take, with the reason."""
+    return undecidable(table(spark, sf, "global_candidate"), "candidate_id")
 
 
 def global_manifest(spark, sf):
@@ -248,11 +266,11 @@ def shard_calibration(spark, sf):
 
 def ingestion_entries(spark, sf):
     """Manifest entry of every ingestion candidate that a research checkpoint may use."""
-    return ingest(table(spark, sf, "ingestion_candidate"), _lanes(spark, sf), "research_only")
+    return ingest(table(spark, sf, "ingestion_candidate"), _lanes(spark, sf), _ledger(spark, sf), "research_only")
 
 
 def ingestion_refused(spark, sf):
-    return refused(table(spark, sf, "ingestion_candidate"), _lanes(spark, sf), "research_only")
+    return refused(table(spark, sf, "ingestion_candidate"), _lanes(spark, sf), _ledger(spark, sf), "research_only")
 
 
 def piece_tokens(spark, sf):
@@ -456,7 +474,10 @@ def decision_status(spark, sf):
 
 
 def _train(spark, sf):
-    return table(spark, sf, "derived_corpus").where("rights_lane <> 'blocked' and primary_category is not null").select("rights_lane", "primary_category", F.greatest(F.coalesce("train_tokens", F.lit(0)), F.lit(0)).alias("tokens"))
+    """Train tokens of the last revision of every derived corpus, each once."""
+    rows = table(spark, sf, "derived_corpus").select("derived_id", "revision", "rights_lane", "primary_category", "train_tokens")
+    last = keep_latest(rows, "derived_id", "revision").where("rights_lane <> 'blocked' and primary_category is not null")
+    return last.select("rights_lane", "primary_category", F.greatest(F.coalesce("train_tokens", F.lit(0)), F.lit(0)).alias("tokens"))
 
 
 def train_capacity(spark, sf):
@@ -484,7 +505,7 @@ QUERIES = {
         content_hash, dedup_fingerprint, clean_text, text_sizes, source_group_id, rank_hash, canonical_order, simhash, shingles, lsh_bands, hamming_log,
         byte_tokens, byte_tokens_documents, byte_round_trip, byte_round_trip_documents, token_pairs, token_pairs_whole, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
-        near_search, index_size, global_manifest, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, piece_tokens_documents, benchmark, benchmark_documents, ppm_sampled, assign_partition, partition_matrix,
+        near_search, index_size, global_manifest, manifest_undecidable, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, piece_tokens_documents, benchmark, benchmark_documents, ppm_sampled, assign_partition, partition_matrix,
         bytes_selected, bytes_selected_full, bytes_balanced, tokenizer_corpus, tokenizer_corpus_full, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
         required_fields, repeated_records, unknown_values, eligible_sources, never_train, promotions, union_sources, quality_audit, audit_findings,
         token_rollup, language_counts, null_report, length_quantiles, density, decision_tokens, decision_status, train_capacity, mixture_readiness,

@@ -10,29 +10,49 @@ from textquarry.functions.sampling import partition_of, ppm_selected
 from textquarry.functions.state import cut
 from textquarry.functions.text import content_sha256, dedup_fingerprint, simhash64, source_group_id, to_hex
 from textquarry.operators.dedup import greedy, priority
-from textquarry.operators.registry import PARTITIONS, VISIBLE
+from textquarry.operators.registry import PARTITIONS, VISIBLE, all_violations, require, unique, violation
 from textquarry.operators.screening import screen, status
 from textquarry.operators.technical import TECHNICAL, classify, primary_category
 
 
-def decide(candidates: DataFrame, id_col: str, tokens: Column, fingerprint: Column | None = None, simhash: Column | None = None) -> DataFrame:
+def undecidable(candidates: DataFrame, id_col: str) -> DataFrame:
+    """Candidates that :func:`decide` can't take: no text, or an unknown or blocked partition or lane."""
+    p, lane = priority("partition", "rights_lane")
+    return all_violations([
+        violation(candidates, "no_text", id_col, F.col("text").isNull()),
+        violation(candidates, "partition", id_col, p.isNull(), F.col("partition")),
+        violation(candidates, "rights_lane", id_col, lane.isNull(), F.col("rights_lane")),
+    ])
+
+
+def decide(
+    candidates: DataFrame, id_col: str, tokens: Column, fingerprint: Column | None = None, simhash: Column | None = None,
+    domain: Column | None = None, name: str | None = None, strict: bool = False,
+) -> DataFrame:
     """Decision of every candidate, in order of partition, lane, source, artifact and id.
 
-    Rows of an unknown partition or lane take no part; blocked lanes are such.  Accepted
-    rows carry their category and tokens, others null and 0.  Texts stay out of the joins:
-    they are read once for fingerprint, simhash, category and tokens.
+    ``domain``: whether a candidate's source is declared as one of the domain; ``name``:
+    the unique column that ``duplicate_of`` gives and that decides between equally close
+    records, by default the id.  Rows that :func:`undecidable` names take no part;
+    ``strict`` makes them, a repeated name and accepted rows without tokens an error.
+    Accepted rows carry their category and tokens, others null and 0.  Texts stay out of
+    the joins: they are read once for fingerprint, simhash, category and tokens.
     """
+    if strict:
+        require(undecidable(candidates, id_col).unionByName(unique(candidates, name or id_col)), "candidates")
     p, lane = priority("partition", "rights_lane")
     facts = cut(
         candidates.select(
-            id_col, "source_id", "artifact_id", "language", "partition", "rights_lane", p.alias("p"), lane.alias("l"),
+            id_col, *([name] if name and name != id_col else []), "source_id", "artifact_id", "language", "partition", "rights_lane", p.alias("p"), lane.alias("l"),
             (fingerprint if fingerprint is not None else dedup_fingerprint("text")).alias("f"),
             (simhash if simhash is not None else simhash64("text")).alias("s"),
-            primary_category(classify("text")["category"] == TECHNICAL, "language", F.col("source_id").startswith("flydoc")).alias("category"),
+            primary_category(classify("text")["category"] == TECHNICAL, "language", domain).alias("category"),
             tokens.cast("bigint").alias("tokens"),
         ).where(F.col("p").isNotNull() & F.col("l").isNotNull() & F.col("f").isNotNull())
     )
-    verdict = greedy(facts, id_col, ["p", "l", "source_id", "artifact_id", id_col], "f", "s")
+    if strict:
+        require(violation(facts, "no_tokens", id_col, ~(F.col("tokens") > 0)), "candidates")
+    verdict = greedy(facts, id_col, ["p", "l", "source_id", "artifact_id", id_col], "f", "s", name=name)
     accepted = F.col("status") == "accept"
     return facts.drop("p", "l", "f", "s").join(verdict, id_col).withColumns(
         {"primary_category": F.when(accepted, F.col("category")), "token_count": F.when(accepted, F.col("tokens")).otherwise(F.lit(0).cast("bigint"))}
@@ -80,13 +100,15 @@ def calibrate(rows: DataFrame, id_col: str) -> DataFrame:
     return totals.join(F.broadcast(near)).withColumn("exact_duplicates", F.col("records") - F.col("distinct_records"))
 
 
-def ingest(candidates: DataFrame, lanes: DataFrame, checkpoint_lane: str) -> DataFrame:
+def ingest(candidates: DataFrame, lanes: DataFrame, ledger: DataFrame, checkpoint_lane: str) -> DataFrame:
     """Manifest entry of every ingestion candidate that a checkpoint lane may use.
 
-    ``lanes``: (source_id, rights_lane).  Blank fields, unknown sources and lanes that the
-    checkpoint doesn't see are left out; :func:`refused` names them.
+    ``lanes``: (source_id, rights_lane); ``ledger``: (artifact_id, source_id) of the known
+    artifacts.  Blank fields, unknown sources, lanes that the checkpoint doesn't see and
+    artifacts that the ledger doesn't hold for the source are left out; :func:`refused`
+    names them.
     """
-    known = _with_lane(candidates, lanes, checkpoint_lane).where("problem is null")
+    known = _with_lane(candidates, lanes, ledger, checkpoint_lane).where("problem is null")
     return known.select(
         "record_id", "language", "category", "source_id", "artifact_id", "source_group_id", "partition", F.lit(checkpoint_lane).alias("checkpoint_lane"), "source_lane",
         screen("text").alias("q"), content_sha256("text").alias("content_sha256"), dedup_fingerprint("text").alias("dedup_fingerprint"), to_hex(simhash64("text")).alias("simhash64_hex"),
@@ -97,21 +119,23 @@ def ingest(candidates: DataFrame, lanes: DataFrame, checkpoint_lane: str) -> Dat
     )
 
 
-def refused(candidates: DataFrame, lanes: DataFrame, checkpoint_lane: str) -> DataFrame:
+def refused(candidates: DataFrame, lanes: DataFrame, ledger: DataFrame, checkpoint_lane: str) -> DataFrame:
     """(problem, records) of the candidates that :func:`ingest` leaves out."""
-    return _with_lane(candidates, lanes, checkpoint_lane).where("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("records"))
+    return _with_lane(candidates, lanes, ledger, checkpoint_lane).where("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("records"))
 
 
-def _with_lane(candidates: DataFrame, lanes: DataFrame, checkpoint_lane: str) -> DataFrame:
+def _with_lane(candidates: DataFrame, lanes: DataFrame, ledger: DataFrame, checkpoint_lane: str) -> DataFrame:
     fields = ("record_id", "text", "language", "category", "source_id", "artifact_id", "source_group_id", "partition")
     problem = F.coalesce(*[F.when(F.coalesce(F.length(strip(c)), F.lit(0)) == 0, F.lit(f"blank {c}")) for c in fields])
     named = candidates.select(*[c for c in fields if c != "source_id"], key("source_id").alias("source_id"), problem.alias("blank"))
     joined = named.join(lanes.select(F.col("source_id"), F.col("rights_lane").alias("source_lane")), "source_id", "left")
+    owned = ledger.select("artifact_id", key("source_id").alias("source_id"), F.lit(True).alias("owned")).distinct()
+    joined = joined.join(owned, ["artifact_id", "source_id"], "left")
     return joined.withColumn(
         "problem",
         F.coalesce(
             "blank", F.when(F.col("source_lane").isNull(), "unknown source"), F.when(~F.col("source_lane").isin(*VISIBLE[checkpoint_lane]), "lane not visible"),
-            F.when(~F.col("partition").isin(*PARTITIONS), "unknown partition"), F.when(~F.startswith("artifact_id", "source_id"), "artifact of another source"),
+            F.when(~F.col("partition").isin(*PARTITIONS), "unknown partition"), F.when(F.col("owned").isNull(), "artifact of another source"),
         ),
     )
 

@@ -45,11 +45,14 @@ def _selected(before: str, target: str) -> str:
 _CAPACITY = """
 lanes(target_lane, rights_lane) AS (VALUES ('release_safe', 'release_safe'), ('research_only', 'release_safe'), ('research_only', 'research_only')),
 cats(category) AS (VALUES ('general_thai'), ('general_english'), ('technical_scientific_code'), ('flywire_domain')),
-cap AS (
+revised AS (
+  SELECT DISTINCT derived_id, rights_lane, primary_category, train_tokens FROM derived_corpus d
+  WHERE revision = (SELECT max(revision) FROM derived_corpus e WHERE e.derived_id = d.derived_id)
+), cap AS (
   SELECT t.target_lane, c.category, CAST(coalesce(sum(greatest(coalesce(d.train_tokens, 0), 0)) FILTER (d.derived_id IS NOT NULL), 0) AS BIGINT) AS tokens
   FROM (SELECT DISTINCT target_lane FROM lanes) t CROSS JOIN cats c
   LEFT JOIN lanes l USING (target_lane)
-  LEFT JOIN derived_corpus d ON d.rights_lane = l.rights_lane AND d.primary_category = c.category
+  LEFT JOIN revised d ON d.rights_lane = l.rights_lane AND d.primary_category = c.category
   GROUP BY ALL)"""
 
 SQL = {
@@ -123,12 +126,16 @@ WITH RECURSIVE c AS (
 SELECT id AS candidate_id, CASE WHEN other IS NULL THEN 'accept' ELSE 'exclude' END AS status,
   CASE WHEN other IS NULL THEN NULL WHEN kind = 0 THEN 'cross_source_exact_duplicate' ELSE 'cross_source_near_duplicate' END AS reason,
   other AS duplicate_of, d AS hamming_distance FROM r WHERE id IS NOT NULL""",
+    "manifest_undecidable": """SELECT 'no_text' AS rule, CAST(candidate_id AS VARCHAR) AS id, '' AS detail FROM global_candidate WHERE text IS NULL
+UNION ALL SELECT 'partition', CAST(candidate_id AS VARCHAR), coalesce(partition, 'null') FROM global_candidate WHERE coalesce(partition NOT IN ('train', 'validation', 'holdout'), true)
+UNION ALL SELECT 'rights_lane', CAST(candidate_id AS VARCHAR), coalesce(rights_lane, 'null') FROM global_candidate WHERE coalesce(rights_lane NOT IN ('release_safe', 'research_only'), true)""",
     "ingestion_refused": f"""
-WITH i AS (SELECT *, {_key("source_id")} AS src FROM ingestion_candidate), j AS (SELECT i.*, r.rights_lane AS lane FROM i LEFT JOIN source_registry r ON r.source_id = i.src)
+WITH i AS (SELECT *, {_key("source_id")} AS src FROM ingestion_candidate), j AS (SELECT i.*, r.rights_lane AS lane FROM i LEFT JOIN source_registry r ON r.source_id = i.src),
+a AS (SELECT DISTINCT artifact_id || '|' || {_key("source_id")} AS owned FROM global_candidate WHERE artifact_id IS NOT NULL AND source_id IS NOT NULL)
 SELECT problem, count(*) AS records FROM (SELECT CASE
   {" ".join(f"WHEN coalesce({_key(c)}, '') = '' THEN 'blank {c}'" for c in ("record_id", "text", "language", "category", "j.source_id", "artifact_id", "source_group_id", "partition")).replace("blank j.", "blank ")}
   WHEN lane IS NULL THEN 'unknown source' WHEN lane NOT IN ('release_safe', 'research_only') THEN 'lane not visible'
-  WHEN partition NOT IN ('train', 'validation', 'holdout') THEN 'unknown partition' WHEN NOT starts_with(artifact_id, src) THEN 'artifact of another source' END AS problem FROM j)
+  WHEN partition NOT IN ('train', 'validation', 'holdout') THEN 'unknown partition' WHEN artifact_id || '|' || src NOT IN (SELECT owned FROM a) THEN 'artifact of another source' END AS problem FROM j)
 WHERE problem IS NOT NULL GROUP BY problem""",
     "ppm_sampled": f"SELECT doc_id FROM documents WHERE {_hash(chr(39) + _SEED + chr(39) + ' || chr(0) || doc_id', 1000000)} < 50000",
     "assign_partition": f"""WITH {_DOCS}, g AS (SELECT doc_id, source_id, sha256('id:' || doc_id) AS g FROM docs),
@@ -167,7 +174,7 @@ j AS (SELECT d.*, r.rights_lane AS policy FROM d JOIN source_registry r ON r.sou
 SELECT 'lane_mismatch' AS rule, derived_id AS id, concat_ws('/', lane, policy) AS detail FROM j WHERE lane IS DISTINCT FROM policy
 UNION ALL SELECT 'blocked_source', derived_id, source FROM j WHERE policy = 'blocked'""",
     "required_fields": "\nUNION ALL ".join(
-        f"SELECT '{c}' AS detail, count(*) AS records FROM ingestion_candidate WHERE trim(coalesce({c}, ''), ' ') = '' HAVING count(*) > 0" for c in ("record_id", "text", "language", "source_id", "partition")
+        f"SELECT '{c}' AS detail, count(*) AS records FROM ingestion_candidate WHERE {_key(f"coalesce({c}, '')")} = '' HAVING count(*) > 0" for c in ("record_id", "text", "language", "source_id", "partition")
     ),
     "repeated_records": "SELECT 'repeated_id' AS rule, record_id AS id, CAST(count(*) AS VARCHAR) AS detail FROM ingestion_candidate WHERE record_id IS NOT NULL GROUP BY record_id HAVING count(*) > 1",
     "unknown_values": "SELECT 'lang=' || coalesce(lang, 'null') AS detail, count(*) AS records FROM documents WHERE coalesce(lang NOT IN ('th', 'en', 'mixed'), true) GROUP BY ALL",
