@@ -148,10 +148,10 @@ def settle(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, accepted)
 
 
-def nodes_of(rows: DataFrame) -> DataFrame:
-    """(f, s, rank, name, n): the first of all rows (rank, name, f, s) of each pair of values, and their number."""
-    top = rows.where("f is not null or s is not null").groupBy("f", "s").agg(F.min(F.struct("rank", "name")).alias("__top"), F.count(F.lit(1)).alias("n"))
-    return top.select("f", "s", F.col("__top.rank").alias("rank"), F.col("__top.name").alias("name"), "n")
+def nodes_of(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(f, s, rank, name, n, extra...): the first of all rows (rank, name, f, s, extra...) of each pair of values, and their number."""
+    top = rows.where("f is not null or s is not null").groupBy("f", "s").agg(F.min(F.struct("rank", "name", *extra)).alias("__top"), F.count(F.lit(1)).alias("n"))
+    return top.select("f", "s", *[F.col(f"__top.{c}").alias(c) for c in ("rank", "name", *extra)], "n")
 
 
 def decide_in_order(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, known_exact: DataFrame | None = None, known_near: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ that died may be run again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.state import cut, path_exists
@@ -74,25 +74,25 @@ class FingerprintIndex:
     def add(self, records: DataFrame, batch: str) -> None:
         """Append records (id, f, s); a blank id or one that is there already, in the batch or the index, is an error."""
         blank = violation(records, "blank_id", "id", F.length(F.trim(F.col("id").cast("string"))) == 0)
-        have = self.lookup(records.select(F.xxhash64(F.lit("name"), "id").alias("key"), "id").distinct(), NAME).where(F.col("batch") != batch).select("id")
+        have = self.rows_of_parts(records.select(F.xxhash64(F.lit("name"), "id").alias("key")), NAME).where(F.col("batch") != batch).select("id")
         again = violation(records.join(have, "id", "left_semi"), "repeated_id", "id", F.lit(True))
         require(blank.unionByName(unique(records, "id")).unionByName(again), batch)
-        self.write(self.key_rows(records.select("id", "f", "s")), batch)
+        self.write(self.key_rows(records), batch)
 
-    def lookup(self, keys: DataFrame, kind: int) -> DataFrame:
-        """Index rows of one kind whose key is among ``keys`` (key), from the parts that hold them."""
+    def rows_of_parts(self, keys: DataFrame, kind: int) -> DataFrame:
+        """Index rows of one kind in the parts that ``keys`` (key) fall into."""
         hit = [r[0] for r in keys.select(F.pmod("key", F.lit(self.parts)).cast("int").alias("p")).distinct().collect()]  # at most ``parts`` numbers
-        return self.rows(kind).where(F.col("part").isin(hit)).join(keys.select("key").distinct(), "key", "left_semi")
+        return self.rows(kind).where(F.col("part").isin(hit))
 
     def exact_matches(self, nodes: DataFrame) -> DataFrame:
         """(f, name): of each fingerprint of ``nodes`` that is in the index, its record of the smallest id."""
         asked = nodes.where("f is not null").select("f", F.xxhash64(F.lit("exact"), "f").alias("key")).distinct()
-        return self.lookup(asked, EXACT).join(asked.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.min("id").alias("name"))
+        return self.rows_of_parts(asked, EXACT).join(asked, ["key", "f"], "left_semi").groupBy("f").agg(F.min("id").alias("name"))
 
     def near_matches(self, nodes: DataFrame) -> DataFrame:
         """(s, distance, name) of each simhash of ``nodes`` and each record of the index within reach, copies of a simhash once."""
         asked = cut(nodes.where("s is not null").select("s").distinct().select("s", F.explode(block_keys("s", self.most)).alias("key")))
-        there = self.lookup(asked, BLOCK).select("key", F.col("s").alias("b"), F.col("id").alias("name"))
+        there = self.rows_of_parts(asked, BLOCK).select("key", F.col("s").alias("b"), F.col("id").alias("name"))
         met = asked.join(there, "key").select("s", hamming("s", "b").alias("distance"), "name")
         return met.where(F.col("distance") <= self.most).distinct()
 
@@ -109,28 +109,28 @@ class FingerprintIndex:
 
         Result: (id_col, name, f, s, rank, exact, distance, other) as of
         :func:`decide_in_order`, from the shared folder.  Records are taken in order within
-        the batch.  What lies in the index is neither read whole nor computed again.
+        the batch; they are read several times and should lie in the shared folder.  What
+        lies in the index is not computed again, and only the parts that the batch's keys
+        fall into are read.
         """
-        rows = cut(records.select(F.col(id_col).alias("id"), F.col(id_col).alias("name"), F.struct(*order).alias("rank"), F.col(fingerprint).alias("f"), F.col(simhash).alias("s")))
-        nodes = cut(nodes_of(rows))
-        pairs = cut(self.new_pairs(nodes))
-        exact = self.exact_matches(nodes)
-        near = self.best_near(self.known_near(nodes))
-        decided = cut(decide_in_order(rows, nodes, pairs, exact, near))
-        self.append_accepted(decided.where("other is null").select("id", "f", "s"), batch)
+        own = records.select(
+            F.col(id_col).alias("id"), F.col(id_col).alias("name"), F.struct(*order).alias("rank"), F.col(fingerprint).alias("f"), F.col(simhash).alias("s"), *self.extra
+        )
+        nodes = cut(nodes_of(own, self.extra))
+        near, pairs = self.matches(nodes)
+        rows = own.drop(*self.extra)
+        decided = cut(decide_in_order(rows, nodes.drop(*self.extra), cut(both_ways(pairs)), self.exact_matches(nodes), self.best_near(near)))
+        new = own.select("id", "f", "s", *self.extra) if self.extra else decided.select("id", "f", "s")
+        accepted = decided.where("other is null").select("id")
+        self.write(self.key_rows(new.join(accepted, "id", "left_semi")), batch)
         return decided.withColumnRenamed("id", id_col)
 
-    # what a richer index replaces
+    #: Columns of a record besides id, f and s that a richer index keeps.
+    extra: tuple[str, ...] = ()
 
-    def new_pairs(self, nodes: DataFrame) -> DataFrame:
-        """(a, b, distance) of unequal simhash values of the batch within reach, both ways."""
-        return both_ways(near_values(nodes, "s", self.most))
-
-    def known_near(self, nodes: DataFrame) -> DataFrame:
-        return self.near_matches(nodes)
-
-    def append_accepted(self, accepted: DataFrame, batch: str) -> None:
-        self.add(accepted, batch)
+    def matches(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(s, distance, name) against the index, and (a, b, distance) of a < b within the batch."""
+        return self.near_matches(nodes), near_values(nodes, "s", self.most)
 
     @staticmethod
     def best_near(found: DataFrame) -> DataFrame:
@@ -138,6 +138,3 @@ class FingerprintIndex:
         best = found.groupBy("s").agg(F.min(F.struct("distance", "name")).alias("best"))
         return best.select("s", F.col("best.distance").cast("int").alias("distance"), F.col("best.name").alias("name"))
 
-
-def accepted_ids(decided: DataFrame, id_col: Column | str) -> DataFrame:
-    return decided.where("other is null").select(id_col)
