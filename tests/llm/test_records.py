@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textquarry.functions.text import simhash_of
 from textquarry.llm.components import components
 from textquarry.llm.grouping import assign, divided, group_key, page_key, related
-from textquarry.llm.history import deduplicate, simhash_bits
+from textquarry.llm.history import ChunkIndex, chunk_lists, deduplicate, simhash_bits
 from textquarry.llm.mixing import mix, shares, targets
 from textquarry.llm.neardup import classes, similar_rows, similar_texts
 from textquarry.llm.sampling import feistel, sample_numeric, sample_records
@@ -202,3 +202,37 @@ def test_samples_are_stable_and_monotone(spark):
     names = spark.createDataFrame([("a ",), (" a",), ("b",), ("",), (None,), ("\t",)], "id string")
     got = sample_records(names, "id", [("all", "s", 1_000_000)]).collect()
     assert sorted(tuple(r) for r in got) == [("all", "a"), ("all", "b")]
+
+
+def test_a_second_batch_needs_no_text_of_the_first(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        b = rng.sample(words, 40) if i % 3 or not rows else rows[rng.randrange(len(rows))][2].split()
+        if i % 2:
+            b[rng.randrange(len(b))] = "changed"
+        text = " ".join(b)
+        rows.append((i, i // 40, text, f"f{hash(text)}", simhash_of(text)))
+    frame = lambda part: spark.createDataFrame([(i, b, t, f, _hex(s)) for i, b, t, f, s in part], "id bigint, batch int, text string, fp string, sim string")
+    listed = lambda part: chunk_lists(frame(part).select("id", "batch", F.col("fp").alias("f"), simhash_bits("sim").alias("s"), "text"), F.col("text"), "id", "batch", "f", "s")
+    index = ChunkIndex(spark, str(tmp_path / "chunks"), "bigint", parts=4)
+    got = {}
+    for k in range(3):
+        part = [r for r in rows if r[1] == k]
+        got |= {r["id"]: r["other"] for r in index.consider(listed(part), "id", ["batch", "id"], "f", "s", f"b{k}").collect()}
+    assert got == _sequential(rows, set(), set())
+    # only accepted records were appended, each of their chunks once
+    table = index.rows(ChunkIndex.CHUNK)
+    assert {r["id"] for r in table.select("id").distinct().collect()} == {i for i, v in got.items() if v is None}
+    assert table.count() == table.select("id", "key").distinct().count() and index.batches() == ["b0", "b1", "b2"]
+
+
+def test_chunks_move_only_where_the_text_does(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    df = spark.createDataFrame([(1, text), (2, text[:2000] + "inserted" + text[2000:]), (3, None), (4, ""), (5, "x" * 5000)], "id int, text string")
+    got = {r["id"]: r for r in chunk_lists(df, F.col("text"), "id").collect()}
+    assert sum(got[1]["bytes"]) == 4000 and sum(got[2]["bytes"]) == 4008 and sum(got[5]["bytes"]) == 5000 and max(got[5]["bytes"]) <= 512
+    assert got[3]["chunk"] == [] and got[4]["chunk"] == []
+    assert len(set(got[1]["chunk"]) - set(got[2]["chunk"])) <= 2

@@ -12,7 +12,7 @@ from textquarry.llm.grouping import assign, divided, group_key, named_hash, page
 from textquarry.llm.history import deduplicate, simhash_bits
 from textquarry.llm.queries_tokens import small_rows
 from textquarry.llm.sampling import sample_numeric, sample_records
-from textquarry.llm.tokens import latest
+from textquarry.operators.dedup import keep_latest as latest
 from textquarry.sources.tables import table
 
 SLICE = ["source_id", "primary_category"]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from textquarry.functions.keys import key
 from textquarry.llm.packing import pack, waste
 from textquarry.llm.splitting import split_texts
-from textquarry.llm.tokens import BYTES, budget_by_slice, count_tokens, encode_corpus, latest
+from textquarry.llm.tokens import BYTES, budget_by_slice, count_tokens, encode_corpus
+from textquarry.operators.dedup import keep_latest as latest
 from textquarry.sources.tables import table
 
 #: Most rows a table of limits or rules may have; they are read by the driver.
