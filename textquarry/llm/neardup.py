@@ -6,6 +6,11 @@ M*M tables of 2*R values.  A pair of texts of likeness s meets in a table with
 probability (1 - (1 - s**R)**M)**2: 0.980 at 0.7, 0.995 at 0.75, 0.999 at 0.8 with the
 defaults.  Candidates are verified exactly.
 
+A text's key (i, j) goes where half key i leads, so a text is sent, with a sketch that
+spares most false pairs the verification, to M parts however many there are.  Half keys
+that many texts share (of page furniture) are known from a sample; under these a text is
+sent by its whole keys.  Whole keys of very many texts are compared in blocks.
+
 Copies meet as one: all steps up to the verification work on distinct normalised texts,
 named by a 64-bit hash, so a group of copies makes one key however large it is.
 """
@@ -31,9 +36,11 @@ M, R = 11, 3
 #: deviations below, far above unrelated texts that met under one key (6 + 12 +- 3).
 LEAST_EQUAL = 30
 _NIBBLES = 0x1111111111111111
-#: Distinct texts under one key that one task compares; larger buckets are split by salt.
+#: Distinct texts under one key that are compared at once; larger buckets are compared block by block.
 BUCKET = 5_000
-_SALTS = 16
+#: Texts from which hot half keys are learnt, and the share of them that makes a half key hot.  Only the
+#: places where texts meet depend on it, not which ones do.
+SAMPLE, HOT_HALF = 5_000, 0.005
 #: Groups of more equal texts than this aren't expanded into all their pairs.
 COPIES = 1_000
 
@@ -102,14 +109,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def table_keys(values: np.ndarray, m: int = M, r: int = R) -> np.ndarray:
-    """m*m keys of every text from 2*m*r minhash values: pairs of half keys."""
+def table_keys(values: np.ndarray, m: int = M, r: int = R) -> tuple[np.ndarray, np.ndarray]:
+    """First half keys (m, texts) and keys (m, m, texts) of every text from 2*m*r minhash values."""
     half = values.astype(np.uint64).reshape(2, m, r, -1)
     acc = np.zeros((2, m, half.shape[-1]), np.uint64)
     for k in range(r):
         acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + half[:, :, k] + np.uint64(k + 1))
     number = np.arange(m * m, dtype=np.uint64).reshape(m, m, 1) * np.uint64(0xD6E8FEB86659FD93)
-    return _mix((acc[0][:, None, :] * np.uint64(3) + acc[1][None, :, :]) ^ number).reshape(m * m, -1)
+    first = _mix(acc[0] + np.arange(m, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93))
+    return first, _mix((acc[0][:, None, :] * np.uint64(3) + acc[1][None, :, :]) ^ number)
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
@@ -139,39 +147,61 @@ def _differing_column() -> Column:
     return total
 
 
-def _blocks(parts: int, m: int, r: int):
-    """Map side: key blocks, one row per part and run of texts."""
+def _signed_texts(batches: Iterator[pa.RecordBatch], m: int, r: int):
+    """(names, minhash values) of runs of distinct texts that have grams.  Batches: (name bigint, text)."""
+    for batch in batches:
+        data, off = text_buffer(batch.column(1))
+        names = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b in chunks(off, 4_000_000):
+            grams, where = gram_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            _, first = np.unique(names[a:b], return_index=True)
+            first = first[np.diff(where)[first] > 0]
+            if not len(first):
+                continue
+            first.sort()
+            size = np.diff(where)[first]
+            take = np.repeat(where[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            yield names[a:b][first].astype(np.int64), minhashes(grams[take], np.concatenate([[0], np.cumsum(size)]), 2 * m * r)
+
+
+def _half_keys(m: int, r: int):
+    """Map side of the sample: the first half keys of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = text_buffer(batch.column(1))
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in chunks(off, 4_000_000):
-                raw, bounds = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                grams, where = gram_hashes(raw, bounds)
-                _, first = np.unique(names[a:b], return_index=True)
-                first = first[np.diff(where)[first] > 0]
-                if not len(first):
-                    continue
-                first.sort()
-                size = np.diff(where)[first]
-                take = np.repeat(where[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                values = minhashes(grams[take], np.concatenate([[0], np.cumsum(size)]), 2 * m * r)
-                keys, marks, ids = table_keys(values, m, r), sketch(values), names[a:b][first]
-                low, part = keys & np.uint64(0xFFFFFFFF), ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part.ravel(), kind="stable")
-                flat, text = low.astype(np.uint32).ravel()[order], np.tile(np.arange(len(first)), m * m)[order]
-                ends = np.searchsorted(part.ravel()[order], np.arange(parts + 1))
-                rows = []
-                for p in range(parts):
-                    x, y = ends[p], ends[p + 1]
-                    if x < y:
-                        used, where_in = np.unique(text[x:y], return_inverse=True)
-                        rows.append((p, flat[x:y].tobytes(), where_in.astype(np.uint32).tobytes(), ids[used].astype(np.int64).tobytes(), marks[used].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[k] for x in rows], pa.binary()) for k in range(1, 5))],
-                    names=["part", "keys", "texts", "ids", "marks"],
-                )
+        for _, values in _signed_texts(batches, m, r):
+            yield pa.RecordBatch.from_arrays([pa.array(table_keys(values, m, r)[0].ravel().view(np.int64))], names=["half"])
+
+    return run
+
+
+def _blocks(parts: int, m: int, r: int, hot: np.ndarray):
+    """Map side: one row per part and run of texts, with the keys, their number by text, names and sketches.
+
+    ``hot``: sorted half keys under which a text goes by its whole keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, values in _signed_texts(batches, m, r):
+            half, keys = table_keys(values, m, r)
+            marks = sketch(values)
+            at = np.minimum(np.searchsorted(hot, half), max(0, len(hot) - 1))
+            known = hot[at] == half if len(hot) else np.zeros(half.shape, bool)
+            lead = np.where(known[:, None, :], keys, half[:, None, :])
+            part = ((lead >> np.uint64(32)) % np.uint64(parts)).astype(np.int64).reshape(m * m, -1).T.ravel()
+            flat = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(m * m, -1).T.ravel()
+            text = np.repeat(np.arange(len(names)), m * m)
+            order = np.argsort(part, kind="stable")
+            flat, text, part = flat[order], text[order], part[order]
+            ends = np.searchsorted(part, np.arange(parts + 1))
+            rows = []
+            for p in np.unique(part):
+                x, y = ends[p], ends[p + 1]
+                used, number = np.unique(text[x:y], return_counts=True)
+                rows.append((p, flat[x:y].tobytes(), number.astype(np.uint16).tobytes(), names[used].tobytes(), marks[used].tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[k] for x in rows], pa.binary()) for k in range(1, 5))],
+                names=["part", "keys", "numbers", "ids", "marks"],
+            )
 
     return run
 
@@ -181,11 +211,11 @@ def _meet(most: int, bucket: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         keys, ids, marks = [], [], []
-        for k, t, i, s in zip(frame["keys"], frame["texts"], frame["ids"], frame["marks"]):
-            at = np.frombuffer(t, np.uint32)
+        for k, t, i, s in zip(frame["keys"], frame["numbers"], frame["ids"], frame["marks"]):
+            number = np.frombuffer(t, np.uint16)
             keys.append(np.frombuffer(k, np.uint32))
-            ids.append(np.frombuffer(i, np.int64)[at])
-            marks.append(np.frombuffer(s, np.uint64).reshape(-1, 4)[at])
+            ids.append(np.repeat(np.frombuffer(i, np.int64), number))
+            marks.append(np.repeat(np.frombuffer(s, np.uint64).reshape(-1, 4), number, axis=0))
         key, name, mark = np.concatenate(keys), np.concatenate(ids), np.concatenate(marks)
         order = np.argsort(key, kind="stable")
         sorted_ = key[order]
@@ -227,23 +257,40 @@ def _meet(most: int, bucket: int):
     return run
 
 
-def candidates(texts: DataFrame, parts: int, m: int = M, r: int = R, least_equal: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Distinct pairs (a < b) of text hashes that share a table key.  ``texts``: (hash, normalised text)."""
-    rows = texts.mapInArrow(_blocks(parts, m, r), "part int, keys binary, texts binary, ids binary, marks binary")
+def hot_halves(texts: DataFrame, rows: int, m: int = M, r: int = R) -> np.ndarray:
+    """Sorted half keys of at least HOT_HALF of a sample of about SAMPLE texts: at most m / HOT_HALF."""
+    every = max(1, rows // SAMPLE)
+    seen = texts.where(F.pmod(F.col("text_hash"), F.lit(every)) == 0).distinct().mapInArrow(_half_keys(m, r), "half bigint")
+    least = max(10, int(HOT_HALF * rows / every))
+    hot = [row["half"] for row in seen.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()]
+    return np.sort(np.array(hot, np.int64).view(np.uint64))
+
+
+def candidates(texts: DataFrame, parts: int, rows: int, m: int = M, r: int = R, least_equal: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Distinct pairs (a < b) of text hashes that share a table key.  ``texts``: (text_hash, normalised text), about ``rows``."""
+    blocks = texts.mapInArrow(_blocks(parts, m, r, hot_halves(texts, rows, m, r)), "part int, keys binary, numbers binary, ids binary, marks binary")
     values = min(64, 2 * m * r)
     most = values - (LEAST_EQUAL * values // 64 if least_equal is None else least_equal)
-    met = cut(rows.groupBy("part").applyInPandas(_meet(most, bucket), "a bigint, b bigint, big_key bigint, mark array<bigint>"))
+    met = cut(blocks.groupBy("part").applyInPandas(_meet(most, bucket), "a bigint, b bigint, big_key bigint, mark array<bigint>"))
     near = met.where(F.col("big_key").isNull()).select("a", "b")
-    big = met.where(F.col("big_key").isNotNull()).select("big_key", F.col("a").alias("text"), "mark")
-    # a hot key is split: one side by salt, the other repeated for every salt
-    one = big.select("big_key", F.col("text").alias("a"), F.col("mark").alias("mark_a"), F.pmod(F.xxhash64("text"), F.lit(_SALTS)).alias("salt"))
-    two = big.select("big_key", F.col("text").alias("b"), F.col("mark").alias("mark_b"), F.explode(F.array(*[F.lit(x).cast("bigint") for x in range(_SALTS)])).alias("salt"))
-    hot = (
-        one.join(two, ["big_key", "salt"])
-        .where((F.col("a") < F.col("b")) & (_differing_column() <= most))
-        .select("a", "b")
-    )
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(hot).distinct()
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_block_pairs(met.where(F.col("big_key").isNotNull()), most, bucket)).distinct()
+
+
+def _block_pairs(big: DataFrame, most: int, bucket: int) -> DataFrame:
+    """Pairs (a < b) of texts (big_key, a, mark) under keys of more than ``bucket`` texts.
+
+    A key's texts are divided into as many blocks as its size asks for, and each pair of
+    blocks is compared in its own place: no place holds more than two blocks, whatever the
+    size of the key.
+    """
+    number = big.groupBy("big_key").agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket)).cast("int").alias("blocks"))
+    # the keys are few: each has more than ``bucket`` texts
+    own = big.join(number, "big_key").select("big_key", F.col("a").alias("text"), "mark", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    one = sent.where("block = low").select("big_key", "low", "high", F.col("text").alias("x"), F.col("mark").alias("mark_a"))
+    two = sent.where("block = high").select("big_key", "low", "high", F.col("text").alias("y"), F.col("mark").alias("mark_b"))
+    met = one.join(two, ["big_key", "low", "high"]).where("low < high or x < y").where(_differing_column() <= most)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +326,16 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: float =
     spark = df.sparkSession
     text = normalise(text_col)
     named = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), text.alias("__text")).select(id_col, F.xxhash64("__text").alias("text_hash"), "__text")
+    members = cut(named.select(id_col, "text_hash"))
+    rows = members.count()
     if parts is None:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // 10_000, 1)
-    found = cut(candidates(named.select("text_hash", "__text"), parts, **banding))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 10_000, 1)
+    found = cut(candidates(named.select("text_hash", "__text"), parts, rows, **banding))
     used = found.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
-    bodies = named.join(used, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("__text").alias("body"))
+    # one row stands for each text; only its id is looked up among the texts
+    chosen = members.join(used, "text_hash", "left_semi").groupBy("text_hash").agg(F.min(id_col).alias(id_col))
+    bodies = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__raw")).join(chosen, id_col).select("text_hash", normalise("__raw").alias("body"))
+    bodies = bodies.where(F.xxhash64("body") == F.col("text_hash")).dropDuplicates(["text_hash"])
     pairs = (
         found.join(bodies.select(F.col("text_hash").alias("a"), F.col("body").alias("body_a")), "a")
         .join(bodies.select(F.col("text_hash").alias("b"), F.col("body").alias("body_b")), "b")
@@ -291,7 +343,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: float =
         .mapInArrow(_likeness, "a bigint, b bigint, likeness double")
         .where(F.col("likeness") >= threshold)
     )
-    return named.select(id_col, "text_hash"), pairs
+    return members, pairs
 
 
 def similar_rows(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, copies: int = COPIES, **banding) -> DataFrame:
