@@ -97,6 +97,48 @@ def _char_classes() -> np.ndarray:
     return table
 
 
+class PieceHash:
+    """62-bit hashes of the pieces of a buffer, from polynomials modulo two primes.
+
+    The bases and the values of the bytes are drawn anew in every process, so no text can
+    be made to collide; two pieces of n bytes share a hash with a chance below (n / 2**30)**2.
+    """
+
+    PRIMES = (2**31 - 1, 2**31 - 19)
+
+    def __init__(self):
+        self._letters, self._bases, self._powers = [], [], []
+        rng = np.random.default_rng()
+        for p in self.PRIMES:
+            self._letters.append(rng.integers(1, p, 256).astype(np.uint64))
+            self._bases.append(int(rng.integers(1 << 20, p - 1)))
+            self._powers.append((np.ones(1, np.uint64), np.ones(1, np.uint64)))
+
+    def _grow(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse, at least ``n`` of each."""
+        p = self.PRIMES[k]
+        up, down = self._powers[k]
+        if len(up) < n:
+            base = self._bases[k]
+            while len(up) < n:
+                more = len(up)
+                up = np.concatenate([up, up * np.uint64(pow(base, more, p)) % np.uint64(p)])
+                down = np.concatenate([down, down * np.uint64(pow(base, -more, p)) % np.uint64(p)])
+            self._powers[k] = (up, down)
+        return up, down
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        a, b = bounds[:-1], bounds[1:]
+        out = np.zeros(len(a), np.uint64)
+        for k, p in enumerate(self.PRIMES):
+            up, down = self._grow(k, len(data) + 1)
+            prime = np.uint64(p)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self._letters[k][data] * up[: len(data)] % prime, out=total[1:])
+            out = (out << np.uint64(31)) | ((total[b] - total[a]) % prime * down[a] % prime)
+        return out
+
+
 @dataclass
 class Encoded:
     """Tokens of a run of texts; offsets have one entry more than there are texts."""
@@ -110,7 +152,19 @@ class Encoded:
 class ByteBpe:
     """Encoder of a byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, byte_id: np.ndarray, merges: list[tuple[int, int, int]], token_bytes: np.ndarray):
+        """``byte_id``: id of each byte; ``merges``: (left, right, joined) ids by rank; ``token_bytes``: bytes of each id."""
+        self.byte_id, self.token_bytes = byte_id, token_bytes
+        table = np.array(merges, np.int64).reshape(-1, 3)
+        self.merged = table[:, 2].astype(np.int32)
+        self.pairs = HashIndex(18)
+        self.pairs.insert((table[:, 0].astype(np.uint64) << np.uint64(20)) | table[:, 1].astype(np.uint64), np.arange(len(table), dtype=np.int32))
+        self.classes = _char_classes()
+        self._hash = PieceHash()
+        self._reset()
+
+    @classmethod
+    def load(cls, path: str) -> ByteBpe:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -118,36 +172,20 @@ class ByteBpe:
         names = {b: chr(b) for b in printable}
         for n, b in enumerate(x for x in range(256) if x not in names):
             names[b] = chr(256 + n)
-        self.byte_id = np.array([vocab[names[b]] for b in range(256)], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        left = np.array([vocab[a] for a, _ in merges], np.uint64)
-        right = np.array([vocab[b] for _, b in merges], np.uint64)
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
-        self.pairs = HashIndex(18)
-        keys = (left << np.uint64(20)) | right
-        self.pairs.insert(keys, np.arange(len(keys), dtype=np.int32))
         back = {v: k for k, v in names.items()}
-        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int32)
+        token_bytes = np.zeros(max(vocab.values()) + 1, np.int32)
         for token, i in vocab.items():
-            self.token_bytes[i] = len(token) if all(c in back for c in token) else 0
-        self.classes = _char_classes()
-        rng = np.random.default_rng(20240501)
-        self._letter = rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-        base = 0x2545F4914F6CDD1D
-        inverse = pow(base, -1, 2**64)
-        self._pow, self._inv = self._powers(base, _CHUNK_BYTES + 8), self._powers(inverse, _CHUNK_BYTES + 8)
-        self._reset()
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.ones(n, np.uint64)
-        out[1:] = np.uint64(base)
-        return np.multiply.accumulate(out)
+            token_bytes[i] = len(token) if all(c in back for c in token) else 0
+        return cls(np.array([vocab[names[b]] for b in range(256)], np.int32), [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], token_bytes)
 
-    def _grow_powers(self, n: int) -> None:
-        if len(self._pow) < n:
-            base = 0x2545F4914F6CDD1D
-            self._pow, self._inv = self._powers(base, n), self._powers(pow(base, -1, 2**64), n)
+    @classmethod
+    def of_bytes(cls, offset: int = 4) -> ByteBpe:
+        """The byte tokenizer: ids are bytes plus an offset, and no pair merges."""
+        ids = np.arange(256, dtype=np.int32) + offset
+        sizes = np.zeros(256 + offset, np.int32)
+        sizes[ids] = 1
+        return cls(ids, [], sizes)
 
     def _reset(self) -> None:
         self.index = HashIndex(17)
@@ -221,11 +259,7 @@ class ByteBpe:
         return at[start]
 
     def _hashes(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        self._grow_powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self._letter[data] * self._pow[: len(data)], out=total[1:])
-        a, b = bounds[:-1], bounds[1:]
-        return (total[b] - total[a]) * self._inv[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+        return self._hash(data, bounds)
 
     # -- merges ------------------------------------------------------------------------
 
@@ -406,13 +440,15 @@ def chunks(offsets: np.ndarray, size: int = _CHUNK_BYTES):
         a = b
 
 
+#: Name of the tokenizer whose ids are bytes.
+BYTES = "bytes"
 _loaded: dict[str, ByteBpe] = {}
 
 
 def tokenizer(path: str) -> ByteBpe:
-    """The encoder of a vocabulary file, one per worker."""
+    """The encoder of a vocabulary file, or of :data:`BYTES`, one per worker."""
     if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
+        _loaded[path] = ByteBpe.of_bytes() if path == BYTES else ByteBpe.load(path)
     return _loaded[path]
 
 
