@@ -17,8 +17,7 @@ def targets(items: DataFrame, plan: DataFrame, slices: list[str], size: str) ->
     """The plan with need, supply and the expected copies of each item of a slice.
 
     ``plan``: mix_id, the slice columns, target_share, max_repeats, total_tokens.  The
-    expected copies are need / supply, at most max_repeats; ``short`` tells that even
-    max_repeats uses of everything give less than the need.  A slice without items has
+    expected copies are need / supply, at most max_repeats.  A slice without items has
     supply 0 and no copies.
     """
     have = supply(items, slices, size)
@@ -29,7 +28,7 @@ def targets(items: DataFrame, plan: DataFrame, slices: list[str], size: str) ->
         .withColumns({"supply": F.coalesce("supply", F.lit(0)), "items": F.coalesce("items", F.lit(0))})
         .withColumns({
             "expected": F.when(F.col("supply") > 0, F.least(F.col("need") / F.col("supply"), cap.cast("double"))).otherwise(0.0),
-            "short": F.col("need") > cap * F.col("supply"),
+            "most": cap * F.col("supply"),
         })
     )
 
@@ -60,15 +59,20 @@ def mix(items: DataFrame, plan: DataFrame, slices: list[str], item: str, size: s
 
 
 def shares(items: DataFrame, plan: DataFrame, slices: list[str], item: str, size: str, seed: int = 1) -> DataFrame:
-    """What each slice of each mix was to give and gives: tokens, share, shortfall."""
+    """What each slice of each mix was to give and gives: tokens, share, and whether it falls short.
+
+    ``short`` is read off the copies drawn: everything came out as often as max_repeats
+    allows, and still the tokens are fewer than the need.
+    """
     goal = targets(items, plan, slices, size)
     given = mix(items, plan, slices, item, size, seed).groupBy("mix_id", *slices).agg(F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    used = F.coalesce("tokens", F.lit(0))
     total = given.groupBy("mix_id").agg(F.sum("tokens").alias("mix_tokens"))
     return (
         goal.join(given, ["mix_id", *slices], "left")
         .join(total, "mix_id", "left")
         .select(
-            "mix_id", *slices, "target_share", "need", "supply", "max_repeats", "expected", "short", F.coalesce("copies", F.lit(0)).alias("copies"),
-            F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.try_divide("tokens", "mix_tokens"), F.lit(0.0)).alias("actual_share"),
+            "mix_id", *slices, "target_share", "need", "supply", "max_repeats", "expected", ((used >= F.col("most")) & (F.col("need") > used)).alias("short"),
+            F.coalesce("copies", F.lit(0)).alias("copies"), used.alias("tokens"), F.coalesce(F.try_divide("tokens", "mix_tokens"), F.lit(0.0)).alias("actual_share"),
         )
     )
