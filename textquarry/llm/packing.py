@@ -94,7 +94,10 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, limits: list[tuple[str, i
         .select(id_col, size_col, F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).alias("__group"))
         .select("*", each.alias("__limit"))
     )
-    return spread.groupBy("__limit", "__group").applyInPandas(run, schema)
+    # a group is few bytes and much work: a fixed number of tasks, which is not merged by size
+    session = sizes.sparkSession
+    tasks = min(groups * len(limits), max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism))
+    return spread.repartition(tasks, "__limit", "__group").groupBy("__limit", "__group").applyInPandas(run, schema)
 
 
 def waste(packed: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
