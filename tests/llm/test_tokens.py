@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from textquarry.llm.bpe import byte_bpe_50k, chunks, text_buffer, tokenizer
 from textquarry.llm.packing import pack, sum_of_squares, waste
 from textquarry.llm.splitting import split_texts
-from textquarry.llm.tokens import BYTES, PieceCounter, budget_by_slice, count_tokens, encode_corpus, latest
+from textquarry.llm.tokens import BYTES, PieceCounter, budget_by_slice, count_tokens, encode_corpus
+from textquarry.operators.dedup import keep_latest as latest
 
 ODD = [
     "it's we're 'sandbox  'S don't I'll x've' 's\n\n's  a  \n b\t\tc", "", " ", "\r\n\r\n x", None, "a" * 3000, "ab" * 900 + "xyz", "ก" * 700 + "็", "\x00� é 😀😀",
@@ -163,3 +164,49 @@ def test_every_document_of_a_table(spark, reference):
     docs = spark.read.parquet(path)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert {r["doc_id"]: r["ids"] for r in encode_corpus(docs, "doc_id", "text").collect()} == {i: reference(t) for i, t in texts.items()}
+
+
+def test_texts_that_collide_under_a_hash_by_powers_of_two(reference):
+    import pyarrow as pa
+
+    # words of Thue and Morse: alike under every polynomial modulo a power of two
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    bpe = tokenizer(byte_bpe_50k())
+    for n in (1024, 2048, 4096):
+        data, off = text_buffer(pa.array([a[:n], b[:n]]))
+        e = bpe.encode(data, off)
+        got = [e.ids[x:y].tolist() for x, y in zip(e.offsets[:-1], e.offsets[1:])]
+        assert got == [reference(a[:n]), reference(b[:n])]
+        assert PieceCounter(bpe).counts(data, off).tolist() == [len(g) for g in got]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_piece_is_over_any_limit(reference, seed):
+    import pyarrow as pa
+
+    from textquarry.llm.splitting import _lay_out, _plan
+
+    rng = random.Random(seed)
+    bpe = tokenizer(byte_bpe_50k())
+    pool = ["a", "b ", "the ", "word", ". ", "\n", "\n\n", "ก", "ำ", "็", "ไทย", "é", "1234", "  ", "'s", "x" * 9, "(y)", "中", "ß"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.choice([5, 60, 400]))) for _ in range(10)]
+    data, off = text_buffer(pa.array(texts))
+    lay = _lay_out(bpe, data, off)
+    for cap in (4, 5, 7, 10, 16, 24, 33, 64, 128, 512):
+        for overlap in sorted({0, 1, cap // 4, cap // 2, cap - 3, cap - 2, cap - 1}):
+            text, begin, end, count = _plan(bpe, data, lay, cap, overlap)
+            for i, t in enumerate(texts):
+                mine = np.flatnonzero(text == i)
+                ids = reference(t)
+                if len(ids) <= cap:
+                    assert not len(mine)
+                    continue
+                at = int(off[i])
+                for k in mine:
+                    x, y = int(lay.byte_of[begin[k]]), int(lay.byte_of[end[k]])
+                    body = data[x:y].tobytes().decode()
+                    assert x <= at < y and len(reference(body)) == count[k] <= cap, (cap, overlap, body)
+                    at = y
+                assert at == off[i + 1]

@@ -26,8 +26,8 @@ def _marks() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "M" for c in range(sys.maxunicode + 1)])
 
 
-#: Most plans of a text before it is cut evenly, and the tokens kept free then.
-_ROUNDS, _RESERVE = 24, 8
+#: Plans of a text at equal distances before it is cut piece by piece.
+_ROUNDS = 24
 
 _mark_table: list[np.ndarray] = []
 
@@ -92,6 +92,63 @@ def _nearest(sorted_: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.where(np.abs(after - target) < np.abs(target - before), after, before)
 
 
+def _one_by_one(bpe: ByteBpe, data: np.ndarray, lay: _Layout, natural: np.ndarray, text: int, cap: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """Pieces (text, first token, end token, tokens) of one text, each as long as its own count allows.
+
+    Every piece is counted anew before it is taken.  It ends at the last natural place of
+    its new part's second half where there is one.  Where the limit leaves no room for the
+    whole overlap and one more character, the overlap is shortened; a character of more
+    tokens than the limit, which can't be divided, comes out alone.
+    """
+    first, last = int(lay.tokens[text]), int(lay.tokens[text + 1])
+    aligned, byte_of = lay.aligned, lay.byte_of
+
+    def count(a: int, b: int) -> int:
+        raw = data[byte_of[a] : byte_of[b]]
+        return int(bpe.counts(raw, np.array([0, len(raw)]))[0])
+
+    def following(at: int) -> int:
+        """The next token after ``at`` where a character starts."""
+        at += 1
+        while at < last and aligned[at] != at:
+            at += 1
+        return min(at, last)
+
+    def longest(a: int, least: int) -> tuple[int, int]:
+        """End and count of the longest piece from ``a`` that reaches ``least`` and fits; end 0 if none does."""
+        end = min(a + cap, last)
+        while end >= least:
+            end = end if end == last else int(aligned[end])
+            if end < least:
+                break
+            n = count(a, end)
+            if n <= cap:
+                return end, n
+            end -= max(1, (n - cap) // 2)
+        return 0, 0
+
+    out, begin, done = [], first, first
+    while done < last:
+        least = following(done)
+        end, n = longest(begin, least)
+        while not end and begin < done:
+            begin = following(begin)
+            end, n = longest(begin, least)
+        if not end:
+            end, n = least, count(begin, least)
+        if end < last:
+            spot = int(np.searchsorted(natural, end, "right")) - 1
+            if spot >= 0 and natural[spot] < end and natural[spot] > done + (end - done) // 2:
+                shorter = count(begin, int(natural[spot]))
+                if shorter <= cap:
+                    end, n = int(natural[spot]), shorter
+        out.append((text, begin, end, n))
+        done = end
+        begin = max(int(aligned[max(first, end - overlap)]), following(begin))
+        begin = min(begin, done)
+    return out
+
+
 def _plan(bpe: ByteBpe, data: np.ndarray, lay: _Layout, cap: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first token, end token and token count of every piece, in order."""
     size = np.diff(lay.tokens)
@@ -101,11 +158,9 @@ def _plan(bpe: ByteBpe, data: np.ndarray, lay: _Layout, cap: int, overlap: int)
     bare = np.searchsorted(natural, lay.tokens[:-1], "right") == np.searchsorted(natural, lay.tokens[1:])
     pieces = -(-(size[todo] - overlap) // (cap - overlap))
     done: list[tuple[np.ndarray, ...]] = []
-    rounds = 0
-    while len(todo):
-        rounds += 1
-        if rounds > _ROUNDS:  # even cuts between characters, with room for cuts inside pieces
-            pieces = -(-(size[todo] - overlap) // max(1, cap - overlap - _RESERVE))
+    for _ in range(_ROUNDS):
+        if not len(todo):
+            break
         n, first, last = size[todo], lay.tokens[todo], lay.tokens[todo + 1]
         step = (n - overlap) / pieces  # distance of targets
         slack = cap - (step + overlap) - 3  # the start of an overlap may move back to a character
@@ -138,7 +193,7 @@ def _plan(bpe: ByteBpe, data: np.ndarray, lay: _Layout, cap: int, overlap: int)
         forced = np.zeros(len(owner), bool)
         forced[inner] = ~near_start
         forced |= (got <= CHARACTER) & ~final
-        check = np.flatnonzero(forced & (count <= cap))
+        check = np.flatnonzero(forced & (count <= cap) & (count > 0))
         if len(check):  # a cut inside a pre-split piece can change the count: count these again
             a, b = lay.byte_of[begin[check]], lay.byte_of[end[check]]
             off = np.concatenate([[0], np.cumsum(b - a)])
@@ -151,11 +206,13 @@ def _plan(bpe: ByteBpe, data: np.ndarray, lay: _Layout, cap: int, overlap: int)
         bad |= (got < BLANK) & ~wide[owner]
         again = np.zeros(len(todo), bool)
         again[owner[bad]] = True
-        again &= rounds <= _ROUNDS
         good = ~again[owner]
         done.append((todo[owner[good]], begin[good], end[good], count[good]))
         pieces = np.minimum(pieces + np.maximum(1, pieces // 32), n)[again]
         todo = todo[again]
+    rest = [row for t in todo for row in _one_by_one(bpe, data, lay, natural, int(t), cap, overlap)]
+    if rest:
+        done.append(tuple(np.array(rest, np.int64).T))
     if not done:
         z = np.zeros(0, np.int64)
         return z, z, z, z
@@ -174,7 +231,9 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limits: list[tuple[st
     are the text again.  Of each text the fewest pieces are planned at equal distances;
     each target moves to the strongest boundary (paragraph, line, sentence, clause, white
     space, then word and character) within half the free room; pieces are added where a
-    piece would pass the limit or no natural place lies in reach.  Texts within the limit,
+    piece would pass the limit or no natural place lies in reach.  A text for which 24 such
+    plans fail is cut piece by piece, each counted until it fits.  No piece is over the
+    limit, but for a single character of more tokens than that.  Texts within the limit,
     empty and null texts give no rows; repeated rows are split as often as they occur.
     Map-only, a text is held whole by one task.
     """
