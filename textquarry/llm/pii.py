@@ -26,6 +26,8 @@ TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 160, 112
 BATCH = 384
 _CHARS_AT_ONCE = 250_000
+#: Characters, padding included, that one search for the best path holds at once.
+CELLS = 200_000
 PAD = 0
 SYMBOLS = 232
 PLACEHOLDER = {k: f"<{k.upper()}>" for k in KINDS}
@@ -187,6 +189,17 @@ class Tagger:
         return tags
 
 
+def _alike(order: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of texts, sorted by size, whose padded matrix has at most CELLS characters; a longer text goes alone."""
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and b - a < BATCH and (b - a + 1) * size[order[b]] <= CELLS:
+            b += 1
+        yield order[a:b]
+        a = b
+
+
 def tag_texts(model: Tagger, texts: list[str]) -> list[np.ndarray]:
     """Tag of every character of each text."""
     encoded = [encode_text(t) for t in texts]
@@ -219,11 +232,8 @@ def tag_texts(model: Tagger, texts: list[str]) -> list[np.ndarray]:
     gain = 2 * float(model.p["t"].max() - model.p["t"][0, 0])
     clear = np.array([n == 0 or bool((lead[a : a + n] > gain).all()) for a, n in zip(base, size)], bool)
     order = np.argsort(size, kind="stable")
-    order = order[~clear[order]]
-    for k in range(0, len(order), BATCH):
-        group = [i for i in order[k : k + BATCH] if size[i]]
-        if not group:
-            continue
+    order = order[~clear[order] & (size[order] > 0)]
+    for group in _alike(order, size):
         width = int(size[group].max())
         e = np.zeros((len(group), width, TAGS), np.float32)
         for r, i in enumerate(group):
