@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.text import simhash_of
 from textquarry.llm.components import components
-from textquarry.llm.grouping import assign, divided, group_key, page_key, related
+from textquarry.llm.grouping import assign, balance, divided, group_key, page_key, related
 from textquarry.llm.history import ChunkIndex, chunk_lists, deduplicate, simhash_bits
 from textquarry.llm.mixing import mix, shares, targets
 from textquarry.llm.neardup import classes, similar_rows, similar_texts
@@ -18,7 +18,7 @@ def test_mix_reaches_shares_and_keeps_the_cap(spark):
     plan = spark.createDataFrame([("m", "a", "x", 0.5, 1, 20000), ("m", "b", "x", 0.5, 3, 20000), ("m", "c", "x", 0.1, 2, 100)], "mix_id string, source string, cat string, target_share double, max_repeats int, total_tokens bigint")
     keys = ["source", "cat"]
     goal = {r["source"]: r for r in targets(df, plan, keys, "tokens").collect()}
-    assert not goal["a"]["short"] and goal["b"]["short"] and goal["c"]["short"]
+    assert goal["a"]["most"] == 40000 and goal["b"]["most"] == 600 and goal["c"]["most"] == 0
     copies = mix(df, plan, keys, "id", "tokens").collect()
     by: dict = {}
     for r in copies:
@@ -27,6 +27,11 @@ def test_mix_reaches_shares_and_keeps_the_cap(spark):
     assert all(len(by[i]) == 3 for i in range(400, 420))
     assert max(len(v) for i, v in by.items() if i < 400) == 1
     report = {r["source"]: r for r in shares(df, plan, keys, "id", "tokens").collect()}
+    assert not report["a"]["short"] and report["b"]["short"] and report["c"]["short"]
+    # exactly enough, and items without size, fall under the same rule
+    edge = spark.createDataFrame([("e", "a", "x", 1.0, 2, 80000), ("e", "b", "x", 1.0, 4, 801), ("e", "z", "x", 1.0, 4, 1), ("e", "y", "x", 0.0, 4, 1)], plan.schema)
+    more = df.unionByName(spark.createDataFrame([("z", "x", 950, 0), ("z", "x", 951, None)], df.schema))
+    assert {r["source"]: r["short"] for r in shares(more, edge, keys, "id", "tokens").collect()} == {"a": False, "b": True, "z": True, "y": False}
     assert abs(report["a"]["tokens"] - 10000) <= 200 and report["b"]["tokens"] == 600 and report["c"]["copies"] == 0
     assert sorted(map(tuple, copies)) == sorted(map(tuple, mix(df.repartition(7), plan, keys, "id", "tokens").collect()))
 
@@ -174,14 +179,37 @@ def test_related_rows_stay_together(spark):
 
 def test_assigned_splits_keep_proportions(spark):
     rng = random.Random(8)
-    groups = [(i, rng.choice([1, 1, 1, 2, 5]), rng.choice(["th", "en"])) for i in range(4000)] + [(9000, 900, "th"), (9001, 700, "en")]
-    df = spark.createDataFrame(groups, "group bigint, rows bigint, language string")
-    got = {r["group"]: r["split"] for r in assign(df, "group", "rows", "language", {"train": 0.8, "validation": 0.1, "holdout": 0.1}).collect()}
-    assert len(got) == len(groups)
-    for lang in ("th", "en"):
-        total = sum(n for _, n, k in groups if k == lang)
-        for s, want in (("train", 0.8), ("validation", 0.1), ("holdout", 0.1)):
-            assert abs(sum(n for g, n, k in groups if k == lang and got[g] == s) / total - want) < 0.02
+    shares = {"train": 0.8, "validation": 0.1, "holdout": 0.1}
+    rows = []
+    for i in range(4000):
+        # mixed groups: the main label tells nothing about the rest
+        for lang in rng.sample(["th", "en", "mixed", None], rng.choice([1, 1, 2, 3])):
+            rows.append((i, lang, rng.choice([1, 1, 1, 2, 5])))
+    rows += [(9000, "th", 900), (9000, "en", 300), (9001, "en", 700), (9002, "th", 150), (9002, None, 400)]
+    df = spark.createDataFrame(rows, "group bigint, language string, n int")
+    splits = assign(df, "group", "language", "n", shares)
+    got = {r["group"]: r["split"] for r in splits.collect()}
+    assert len(got) == len({g for g, _, _ in rows})
+
+    def worst(where):
+        out = 0
+        for lang in ("th", "en", "mixed", None):
+            total = sum(n for _, k, n in rows if k == lang)
+            for s, want in shares.items():
+                out = max(out, abs(sum(n for g, k, n in rows if k == lang and where[g] == s) / total - want))
+        return out
+
+    assert worst(got) < 0.004
+    # cutting a running total of rows, which looks at no label, does far worse
+    total, at, cutted = sum(n for *_, n in rows), 0, {}
+    for g in sorted(got):
+        cutted[g] = "train" if at < 0.8 * total else "validation" if at < 0.9 * total else "holdout"
+        at += sum(n for x, _, n in rows if x == g)
+    assert worst(got) < worst(cutted) / 5
+    report = balance(df, splits, "group", "language", "n", shares).collect()
+    assert len(report) == 12 and abs(max(abs(r["deviation"]) for r in report) - worst(got)) < 1e-9
+    assert {r["group"]: r["split"] for r in assign(df.repartition(7), "group", "language", "n", shares).collect()} == got
+    assert assign(df.where("n < 0"), "group", "language", "n", shares).count() == 0
 
 
 def test_feistel_is_a_bijection(spark):
@@ -236,3 +264,40 @@ def test_chunks_move_only_where_the_text_does(spark):
     assert sum(got[1]["bytes"]) == 4000 and sum(got[2]["bytes"]) == 4008 and sum(got[5]["bytes"]) == 5000 and max(got[5]["bytes"]) <= 512
     assert got[3]["chunk"] == [] and got[4]["chunk"] == []
     assert len(set(got[1]["chunk"]) - set(got[2]["chunk"])) <= 2
+
+
+def test_a_text_is_as_many_bytes_for_any_number_of_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    from textquarry.llm.neardup import M, R, _blocks, _signed_texts, table_keys
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijk ") for _ in range(300)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["text_hash", "__text"])
+
+    def size(parts, hot):
+        out = next(_blocks(parts, M, R, np.array(hot, np.uint64))(iter([batch])))
+        return sum(len(v) for c in out.columns[1:] for v in c.to_pylist()) / 400
+
+    few, many, very = size(12, []), size(1000, []), size(100_000, [])
+    assert few <= many <= very < 1_000 and very < 11 * 86
+    # under a hot half key a text goes by its whole keys
+    (_, values), = _signed_texts(iter([batch]), M, R)
+    assert size(1000, np.sort(table_keys(values)[0].ravel())[:50]) > many
+
+
+def test_hot_half_keys_change_nothing(spark, monkeypatch):
+    from textquarry.llm import neardup
+
+    rng = random.Random(6)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    texts = [head + "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(20, 200))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    named = df.select(F.xxhash64("text").alias("text_hash"), F.col("text").alias("__text"))
+    monkeypatch.setattr(neardup, "HOT_HALF", 0.05)
+    assert len(neardup.hot_halves(named, 120)) > 0
+    got = {tuple(r) for r in similar_rows(df, "id", "text").collect()}
+    monkeypatch.setattr(neardup, "HOT_HALF", 2.0)
+    assert len(neardup.hot_halves(named, 120)) == 0
+    assert got == {tuple(r) for r in similar_rows(df, "id", "text").collect()} != set()

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.joins import heavy_keys, salted_join
 from textquarry.functions.keys import key, strip
-from textquarry.functions.running import running_total
+from textquarry.functions.state import cut
 from textquarry.llm.components import components
 
 #: Source group ids that relate nothing.
 FILLERS = ("", "ungrouped")
-#: Groups with at least this share of all rows are placed one by one; there are at most 1/share.
+#: Groups with at least this share of all rows are placed before all others; there are at most 1/share.
 LARGE_SHARE = 0.001
+#: Groups that one task places.
+BUCKET_GROUPS = 5_000
 
 
 def group_key(source_group_id: Column | str) -> Column:
@@ -72,42 +77,92 @@ def divided(rows: DataFrame, row_id: str, group: str, partition: Column) -> Data
     return p.join(split.select(group, "group_row_id"), group).select("group_row_id", row_id).distinct()
 
 
-def assign(groups: DataFrame, group: str, size: str, label: str, shares: dict[str, float]) -> DataFrame:
-    """(group, split): whole groups to splits in the given proportions of rows, label by label.
+def place(vectors: list[dict], want: dict, names: list[str]) -> list[str]:
+    """A split for each group, in the order given: where the labels' distribution then deviates least.
 
-    ``groups``: one row for each group with its rows and its main label.  Groups of at
-    least LARGE_SHARE of all rows (a bounded number) go one by one, largest first, where
-    the label lacks most rows; all others are placed by their running total of rows within
-    the label, cut where the label's remaining rows of each split are used up.  So every
-    label keeps the proportions in every split up to the size of a small group.
+    ``vectors``: {label: rows} of each group; ``want``: {label: rows of each split}, whose
+    sums are the labels' rows.  The deviation is the sum over labels and splits of
+    (rows - wanted)**2 / wanted, over all labels at once; a group goes to the split that
+    lowers it most, of equal ones to the first.
+    """
+    lack = {k: np.array(v, float) for k, v in want.items()}
+    scale = {k: 1 / np.maximum(np.array(v, float), 1e-9) for k, v in want.items()}
+    chosen = []
+    for vector in vectors:
+        cost = np.zeros(len(names))
+        for k, n in vector.items():
+            cost += (n * n - 2 * n * lack[k]) * np.minimum(scale[k], 1.0)
+        best = int(cost.argmin())
+        for k, n in vector.items():
+            lack[k][best] -= n
+        chosen.append(names[best])
+    return chosen
+
+
+def _placed(rows: DataFrame, group: str, label: str, size: str, bucket: str, names: list[str]) -> DataFrame:
+    """(group, split): :func:`place` for the groups of each bucket, largest first.
+
+    ``rows``: group, label, size, bucket, and for each split the share of the label's rows
+    in this bucket that it should get, __share_0, __share_1, ...
+    """
+    shares = [f"__share_{i}" for i in range(len(names))]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        known = frame[label].fillna("").astype(str).where(frame[label].notna(), "\0null")
+        want: dict = {}
+        for k, n, *s in zip(known, frame[size], *(frame[c] for c in shares)):
+            want[k] = want.get(k, 0.0) + n * np.array(s, float)
+        vectors: dict = {}
+        for g, k, n in zip(frame[group], known, frame[size]):
+            own = vectors.setdefault(g, {})
+            own[k] = own.get(k, 0) + n
+        order = sorted(vectors, key=lambda g: (-sum(vectors[g].values()), g))
+        return pd.DataFrame({group: order, "split": place([vectors[g] for g in order], want, names)})
+
+    kind = rows.schema[group].dataType.simpleString()
+    return rows.groupBy(bucket).applyInPandas(run, f"`{group}` {kind}, split string")
+
+
+def assign(counts: DataFrame, group: str, label: str, size: str, shares: dict[str, float]) -> DataFrame:
+    """(group, split): whole groups to splits so that every label is distributed as the shares say.
+
+    ``counts``: (group, label, size), the rows of each label in each group, all of which
+    count.  The rule is :func:`place`.  It needs every group it places in one task, so
+    groups are divided into buckets of about BUCKET_GROUPS by a hash; groups that would
+    outweigh a bucket, those with at least LARGE_SHARE of all rows (at most 1/LARGE_SHARE),
+    make a bucket of their own that is placed first, and the others aim at what each label
+    still lacks.  Labels stay in frames; neither their number nor a group's is bounded.
     """
     names = list(shares)
-    totals = {r[0]: r[1] for r in groups.groupBy(label).agg(F.sum(size)).collect()}
-    everything = sum(totals.values())
-    want = {(k, s): v * shares[s] / sum(shares.values()) for k, v in totals.items() for s in names}
-    large = groups.where(F.col(size) >= max(1.0, LARGE_SHARE * everything)).select(group, size, label).orderBy(F.desc(size), group).collect()
-    placed = []
-    for g, n, k in large:
-        best = max(names, key=lambda s: want[(k, s)])
-        want[(k, best)] -= n
-        placed.append((g, best))
-    spark = groups.sparkSession
-    kind = groups.schema[group].dataType.simpleString()
-    first = spark.createDataFrame(placed, f"`{group}` {kind}, split string")
-    rest = groups.where(F.col(size) < max(1.0, LARGE_SHARE * everything))
-    counted = running_total(rest.select(group, size, label), [label], [group], F.col(size), "__before")
-    choice = F.lit(names[0])
-    for k in totals:
-        room = [max(0.0, want[(k, s)]) for s in names]
-        scale = sum(room) or 1.0
-        here = totals[k] - sum(n for g, n, x in large if x == k)
-        bound, expr = 0.0, F.lit(names[0])
-        steps = []
-        for s, r in zip(names, room):
-            bound += r * here / scale
-            steps.append((bound, s))
-        expr = F.lit(steps[-1][1])
-        for b, s in reversed(steps[:-1]):
-            expr = F.when(F.col("__before") + F.col(size) / 2 < b, s).otherwise(expr)
-        choice = F.when(F.col(label).eqNullSafe(F.lit(k)), expr).otherwise(choice)
-    return counted.select(group, choice.alias("split")).unionByName(first)
+    whole = sum(shares.values())
+    sums = cut(counts.groupBy(group).agg(F.sum(size).alias("__rows")))
+    number = sums.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows")).first()
+    least = max(2.0, LARGE_SHARE * number["rows"])
+    buckets = max(1, -(-number["n"] // BUCKET_GROUPS))
+    where = F.when(F.col("__rows") >= least, F.lit(-1)).otherwise(F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int"))
+    rows = cut(counts.join(sums.select(group, where.alias("__bucket")), group).select(group, label, size, "__bucket"))
+    fixed = [F.lit(shares[s] / whole).alias(f"__share_{i}") for i, s in enumerate(names)]
+    first = cut(_placed(rows.where("__bucket = -1").select("*", *fixed), group, label, size, "__bucket", names))
+    # what each label lacks in each split after the large groups, as shares of its other rows
+    taken = rows.where("__bucket = -1").join(first, group).groupBy(label).pivot("split", names).agg(F.sum(size))
+    total = rows.groupBy(label).agg(F.sum(size).alias("__all"))
+    have = taken.select(F.col(label).alias("__label"), *[F.coalesce(F.col(s), F.lit(0)).alias(f"__have_{i}") for i, s in enumerate(names)])
+    left = total.join(have, total[label].eqNullSafe(have["__label"]), "left")
+    lack = [F.greatest(F.col("__all") * F.lit(shares[s] / whole) - F.coalesce(f"__have_{i}", F.lit(0)), F.lit(0.0)) for i, s in enumerate(names)]
+    all_lack = sum(lack[1:], lack[0])
+    goal = left.select(F.col(label).alias("__label"), *[F.coalesce(F.try_divide(x, all_lack), F.lit(shares[s] / whole)).alias(f"__share_{i}") for i, (x, s) in enumerate(zip(lack, names))])
+    small = rows.where("__bucket >= 0")
+    # few labels hold most rows: heavy ones are spread, see salted_join
+    heavy = heavy_keys(small.groupBy(label).agg(F.count(F.lit(1)).alias("n")), [label], least=1_000)
+    aimed = salted_join(small, goal.withColumnRenamed("__label", label), [label], heavy, F.col(group))
+    return first.unionByName(_placed(aimed, group, label, size, "__bucket", names))
+
+
+def balance(counts: DataFrame, splits: DataFrame, group: str, label: str, size: str, shares: dict[str, float]) -> DataFrame:
+    """(label, split, rows, share, target, deviation) of an assignment; deviation is share less target."""
+    whole = sum(shares.values())
+    target = F.element_at(F.create_map(*[F.lit(x) for s, v in shares.items() for x in (s, v / whole)]), F.col("split"))
+    by = counts.join(splits, group).groupBy(label, "split").agg(F.sum(size).alias("rows"))
+    total = by.groupBy(F.col(label).alias("__label")).agg(F.sum("rows").alias("__all"))
+    joined = by.join(total, by[label].eqNullSafe(total["__label"]))
+    return joined.select(label, "split", "rows", (F.col("rows") / F.col("__all")).alias("share"), target.alias("target")).withColumn("deviation", F.col("share") - F.col("target"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.functions.keys import key
 from textquarry.functions.state import cut
 from textquarry.llm import mixing
-from textquarry.llm.grouping import assign, divided, group_key, named_hash, page_key, related
+from textquarry.llm.grouping import assign, balance, divided, group_key, named_hash, page_key, related
 from textquarry.llm.history import deduplicate, simhash_bits
 from textquarry.llm.queries_tokens import small_rows
 from textquarry.llm.sampling import sample_numeric, sample_records
@@ -86,12 +86,32 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return divided(_grouped(spark, sf), "row_id", "group", F.col("partition"))
 
 
+def _splits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their groups, rows by group and language, and the split of each group."""
+    rows = cut(_grouped(spark, sf).select("row_id", F.coalesce("group", F.xxhash64(F.lit("row"), "row_id")).alias("group"), "language").distinct())
+    # a row that was delivered with several languages counts for the first
+    counts = cut(rows.groupBy("row_id", "group").agg(F.min("language").alias("language")).groupBy("group", "language").agg(F.count(F.lit(1)).alias("n")))
+    return rows, counts, cut(assign(counts, "group", "language", "n", SPLIT_SHARES))
+
+
 def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
     """A split for every row: related rows together, languages in proportion."""
-    rows = _grouped(spark, sf).select("row_id", F.coalesce("group", F.xxhash64(F.lit("row"), "row_id")).alias("group"), "language").distinct()
-    by_language = rows.groupBy("group", F.coalesce("language", F.lit("")).alias("language")).agg(F.countDistinct("row_id").alias("n"))
-    groups = by_language.groupBy("group").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "language")).alias("top")).select("group", "rows", F.col("top.language").alias("language"))
-    return rows.select("row_id", "group").distinct().join(assign(groups, "group", "rows", "language", SPLIT_SHARES), "group").select("row_id", "split")
+    rows, _, splits = _splits(spark, sf)
+    return rows.select("row_id", "group").distinct().join(splits, "group").select("row_id", "split")
+
+
+def p6_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each language in each split, and how far its share lies from the target."""
+    _, counts, splits = _splits(spark, sf)
+    return balance(counts, splits, "group", "language", "n", SPLIT_SHARES)
+
+
+def p6_purity(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with a split, and pairs of source_group_id or page and split in excess of one for each."""
+    split = cut(p6_splits(spark, sf))
+    named = _source_rows(spark, sf).join(split, "row_id")
+    apart = [named.where(F.col(c).isNotNull()).groupBy(c).agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(f"{c}_apart")) for c in ("group_id", "page")]
+    return split.agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(apart[0])).join(F.broadcast(apart[1]))
 
 
 def _rules(spark: SparkSession, sf: str) -> list[tuple[str, str, int]]:
@@ -109,7 +129,7 @@ def p7_feistel(spark: SparkSession, sf: str) -> DataFrame:
     return sample_numeric(table(spark, sf, "documents"), "doc_id", _rules(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_mix, p3_found, p3_decisions, p6_found, p6_splits, p7_found, p7_feistel)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_mix, p3_found, p3_decisions, p6_found, p6_splits, p6_balance, p6_purity, p7_found, p7_feistel)}
 
 _KEY = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 
@@ -170,6 +190,7 @@ split AS (
   SELECT label, min(row_id) AS group_row_id FROM member JOIN rows USING (row_id) GROUP BY label HAVING min(p) < max(p)
 )
 SELECT DISTINCT group_row_id, row_id FROM member JOIN split USING (label)""",
+    "p6_purity": "SELECT count(DISTINCT row_id) AS rows, 0 AS group_id_apart, 0 AS page_apart FROM source_row",
     "p7_found": r"""
 WITH ids AS (SELECT DISTINCT regexp_replace(record_id, '^\s+|\s+$', '', 'g') AS record_id FROM ingestion_candidate)
 SELECT selection_id, record_id FROM ids, selection_rule
