@@ -257,18 +257,22 @@ def _meet(most: int, bucket: int):
     return run
 
 
-def hot_halves(texts: DataFrame, rows: int, m: int = M, r: int = R) -> np.ndarray:
-    """Sorted half keys of at least HOT_HALF of a sample of about SAMPLE texts: at most m / HOT_HALF."""
+def hot_halves(texts: DataFrame, rows: int, m: int = M, r: int = R, place: str = "text_hash") -> np.ndarray:
+    """Sorted half keys of at least HOT_HALF of a sample of about SAMPLE texts: at most m / HOT_HALF.
+
+    ``place``: the column whose hash says which rows are in the sample.
+    """
     every = max(1, rows // SAMPLE)
-    seen = texts.where(F.pmod(F.col("text_hash"), F.lit(every)) == 0).distinct().mapInArrow(_half_keys(m, r), "half bigint")
+    sample = texts.where(F.pmod(F.xxhash64(place), F.lit(every)) == 0).select("text_hash", "__text")
+    seen = sample.mapInArrow(_half_keys(m, r), "half bigint")
     least = max(10, int(HOT_HALF * rows / every))
     hot = [row["half"] for row in seen.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()]
     return np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
-def candidates(texts: DataFrame, parts: int, rows: int, m: int = M, r: int = R, least_equal: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Distinct pairs (a < b) of text hashes that share a table key.  ``texts``: (text_hash, normalised text), about ``rows``."""
-    blocks = texts.mapInArrow(_blocks(parts, m, r, hot_halves(texts, rows, m, r)), "part int, keys binary, numbers binary, ids binary, marks binary")
+def candidates(texts: DataFrame, parts: int, hot: np.ndarray, m: int = M, r: int = R, least_equal: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Distinct pairs (a < b) of text hashes that share a table key.  ``texts``: (text_hash, normalised text); ``hot``: :func:`hot_halves`."""
+    blocks = texts.mapInArrow(_blocks(parts, m, r, hot), "part int, keys binary, numbers binary, ids binary, marks binary")
     values = min(64, 2 * m * r)
     most = values - (LEAST_EQUAL * values // 64 if least_equal is None else least_equal)
     met = cut(blocks.groupBy("part").applyInPandas(_meet(most, bucket), "a bigint, b bigint, big_key bigint, mark array<bigint>"))
@@ -330,12 +334,15 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, threshold: float =
     rows = members.count()
     if parts is None:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 10_000, 1)
-    found = cut(candidates(named.select("text_hash", "__text"), parts, rows, **banding))
+    hot = hot_halves(named, rows, banding.get("m", M), banding.get("r", R), id_col)
+    found = cut(candidates(named.select("text_hash", "__text"), parts, hot, **banding))
     used = found.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
     # one row stands for each text; only its id is looked up among the texts
     chosen = members.join(used, "text_hash", "left_semi").groupBy("text_hash").agg(F.min(id_col).alias(id_col))
-    bodies = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__raw")).join(chosen, id_col).select("text_hash", normalise("__raw").alias("body"))
-    bodies = bodies.where(F.xxhash64("body") == F.col("text_hash")).dropDuplicates(["text_hash"])
+    raw = df.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("__raw")).join(chosen, id_col).groupBy("text_hash").agg(F.collect_set("__raw").alias("raws"))
+    # a repeated id may bring several texts along
+    own = F.filter(F.transform("raws", normalise), lambda t: F.xxhash64(t) == F.col("text_hash"))
+    bodies = raw.select("text_hash", own[0].alias("body"))
     pairs = (
         found.join(bodies.select(F.col("text_hash").alias("a"), F.col("body").alias("body_a")), "a")
         .join(bodies.select(F.col("text_hash").alias("b"), F.col("body").alias("body_b")), "b")
