@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,5 +104,72 @@ def token_gap(total: Column, target: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), (target - total).cast("bigint"))
 
 
-def steps_for(target: int, tokens_per_step: int) -> int:
-    return math.ceil(target / tokens_per_step)
+def planning_capacity(baseline: DataFrame, derived: DataFrame, deduplicated: bool) -> DataFrame:
+    """Capacity of what is there and what was derived, both (lane, category, tokens); ``planning_only`` until sources were deduplicated against each other."""
+    both = baseline.select("lane", "category", "tokens").unionByName(derived.select("lane", "category", "tokens"))
+    return capacity(both, "lane", "category", "tokens").withColumn("planning_only", F.lit(not deduplicated))
+
+
+def inventory(df: DataFrame, tokens: str, goal: int) -> DataFrame:
+    """Records, bytes and tokens in all, by language, by partition and by both, and the share and gap to a target."""
+    sets = [[], ["language"], ["partition"], ["partition", "language"]]
+    out = grouping_sets(df, sets, [F.count(F.lit(1)).alias("records"), F.sum("utf8_bytes").alias("utf8_bytes"), F.sum(tokens).alias("tokens")])
+    return out.withColumns({"fraction": F.round(F.col("tokens") / F.lit(goal), 12), "gap": token_gap(F.col("tokens"), F.lit(goal))})
+
+
+def shard_counters(rows: DataFrame, selected: DataFrame, id_col: str) -> DataFrame:
+    """(counter, key, value) of a materialised shard.
+
+    ``rows``: all rows of the shard with their text and whether the sample ``selected``
+    them; ``selected``: what materialise gives, with tokens.  Findings are counted before
+    exact duplicates are left out, statuses after.
+    """
+    blank = F.coalesce(F.length(F.trim(F.col(id_col).cast("string"))), F.lit(0)) == 0
+    top = rows.agg(
+        F.count(F.lit(1)).alias("rows_total"), F.count_if(blank).alias("rows_missing_id"), F.count_if(~blank & F.col("selected")).alias("rows_selected"),
+        F.count_if(~blank & ~F.col("selected")).alias("rows_not_selected"), F.count_if(~blank & F.col("selected") & F.col("text").isNull()).alias("rows_missing_text"),
+    )
+    done = selected.agg(
+        F.count(F.lit(1)).alias("rows_processed"), F.count_if(F.col("status") == "exact_duplicate").alias("exact_duplicates"), F.count_if(F.col("status") == "near_duplicate").alias("near_duplicates"),
+        *[F.count_if(F.col("status") == s).alias(f"{s}_records") for s in ("accept", "quarantine", "reject")],
+    )
+
+    def long(one: DataFrame) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("counter"), F.lit("").alias("key"), F.col(c).cast("bigint").alias("value")) for c in one.columns])
+        return one.select(F.inline(pairs))
+
+    def by(df: DataFrame, name: str, key: str, value: Column) -> DataFrame:
+        return df.groupBy(key).agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("counter"), F.col(key).cast("string").alias("key"), "value")
+
+    kept = selected.where(F.col("status").isin("accept", "quarantine", "reject"))
+    accepted = selected.where("status = 'accept'")
+    return (
+        long(top).unionByName(long(done))
+        .unionByName(by(kept, "tokens_by_status", "status", F.sum("tokens")))
+        .unionByName(by(accepted, "tokens_by_partition", "partition", F.sum("tokens")))
+        .unionByName(by(accepted, "records_by_partition", "partition", F.count(F.lit(1))))
+        .unionByName(by(selected.select(F.explode("findings").alias("finding")), "findings", "finding", F.count(F.lit(1))))
+        .unionByName(by(selected.where("status = 'near_duplicate'"), "near_distances", "hamming_distance", F.count(F.lit(1))))
+    )
+
+
+def baseline_counters(rows: DataFrame) -> DataFrame:
+    """(counter, key, value) of screened rows (status, partition, tokens, utf8_bytes, findings) that weren't deduplicated; findings are of all rows."""
+    accepted = rows.where("status = 'accept'")
+    parts = [
+        rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit("input_records").alias("counter"), F.lit("").alias("key"), "value"),
+        rows.groupBy("status").agg(F.count(F.lit(1)).alias("value")).select(F.concat("status", F.lit("_records")).alias("counter"), F.lit("").alias("key"), "value"),
+        accepted.groupBy("partition").agg(F.sum("tokens").alias("value")).select(F.lit("tokens").alias("counter"), F.col("partition").alias("key"), "value"),
+        accepted.groupBy("partition").agg(F.sum("utf8_bytes").alias("value")).select(F.lit("utf8_bytes").alias("counter"), F.col("partition").alias("key"), "value"),
+        rows.select(F.explode("findings").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("value")).select(F.lit("findings").alias("counter"), "key", "value"),
+    ]
+    return reduce(DataFrame.unionByName, [p.withColumn("value", F.col("value").cast("bigint")) for p in parts])
+
+
+def densities(df: DataFrame, tokens: str, stored: Column) -> DataFrame:
+    """Tokens for each byte stored, each GiB stored and each byte of text; ``stored``: bytes on disk of the whole; 0 where there is nothing."""
+    sums = df.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.coalesce(F.sum("utf8_bytes"), F.lit(0)).alias("utf8_bytes"), F.coalesce(F.max(stored), F.lit(0)).alias("stored_bytes"))
+    return sums.withColumns({
+        "tokens_per_stored_byte": share(F.col("tokens"), F.col("stored_bytes")), "tokens_per_gib": share(F.col("tokens") * F.lit(float(1 << 30)), F.col("stored_bytes")),
+        "tokens_per_text_byte": share(F.col("tokens"), F.col("utf8_bytes")),
+    })

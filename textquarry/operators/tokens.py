@@ -6,11 +6,13 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from textquarry.functions.binding import bind
+from textquarry.functions.text import line_feeds
+from textquarry.operators.registry import ContractError, require, unique
 
 #: Fixed values of the byte tokenizer.
 PAD, BOS, EOS, UNKNOWN, OFFSET, VOCABULARY = 0, 1, 2, 3, 4, 260
@@ -98,3 +100,32 @@ def piece_ids(model_file: str):
             yield pd.Series(model.encode(texts.fillna("").tolist(), num_threads=1))
 
     return encode
+
+
+def piece_text(model_file: str):
+    """Column function: the text of ids under a SentencePiece model file; null for null."""
+
+    @F.pandas_udf(StringType())
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        for ids in batches:
+            yield pd.Series([None if x is None else model.decode([int(i) for i in x]) for x in ids], dtype=object)
+
+    return decode
+
+
+def fit_lines(records: DataFrame, partitions: tuple[str, ...] = ("train",), id_col: str = "record_id") -> DataFrame:
+    """(id_col, line) of the texts a tokenizer may be fitted on, line ends as U+2028; rows of the holdout are never among them.
+
+    Asking for the holdout, no text at all, and a repeated id are errors.  Fitting itself is
+    none of this library's work.
+    """
+    if "holdout" in partitions:
+        raise ContractError("the holdout can't be used to fit a tokenizer")
+    chosen = records.where(F.col("partition").isin(*partitions) & F.col("text").isNotNull())
+    if chosen.isEmpty():
+        raise ContractError("there is no text to fit a tokenizer on")
+    require(unique(chosen, id_col), "fit text")
+    return chosen.select(id_col, F.replace(line_feeds("text"), F.lit("\n"), F.lit("\u2028")).alias("line"))

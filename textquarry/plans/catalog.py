@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.functions.keys import key
 from textquarry.functions.sampling import partition_of, ppm_selected
+from textquarry.functions.state import cut, fresh_path, remove_path
 from textquarry.operators import accounting as A
 from textquarry.operators import contracts as K
 from textquarry.operators import registry as R
-from textquarry.operators.dedup import greedy, keep_first, keep_latest, near_matches, near_values, priority
+from textquarry.operators.dedup import greedy, keep_first, keep_latest, near_matches, near_values, priority, verdicts
+from textquarry.operators.freeze import tokenizer_gate
+from textquarry.operators.index import FingerprintIndex
 from textquarry.operators.screening import screen, status
 from textquarry.operators.selection import balance_bytes, ppm_sample, select_bytes
 from textquarry.operators.technical import DOMAIN, TECHNICAL, classify, primary_category
-from textquarry.operators.tokens import byte_count, byte_ids, byte_text, next_token_pairs, piece_counter, piece_facts, piece_model
+from textquarry.operators.tokens import byte_count, byte_ids, byte_text, fit_lines, next_token_pairs, piece_counter, piece_facts, piece_model
 from textquarry.plans.pipelines import calibrate, decide, ingest, materialise, refused, tokenizer_benchmark, undecidable
-from textquarry.sources.files import null_counts
+from textquarry.sources.files import null_counts, numbered
 from textquarry.sources.tables import table
 
 SEED = "textquarry-sample"
@@ -498,6 +501,103 @@ def step_plan(spark, sf):
     b = table(spark, sf, "token_budget").where("needed_tokens > 0").select("source_id", "language", "primary_category", "needed_tokens")
     return A.budget_plan(b, F.col("needed_tokens"), 65_536, 0.02)
 
+# -- composed pipelines ------------------------------------------------------------------
+
+
+def _split_documents(spark, sf):
+    """Documents with the partition of their source and id."""
+    d = _docs(spark, sf).where("text is not null")
+    return d.withColumn("partition", partition_of("source_id", T.source_group_id(F.lit(""), F.col("doc_id").cast("string"))))
+
+
+def fit_text(spark, sf):
+    """Lines a tokenizer may be fitted on: train documents, each on one line."""
+    return fit_lines(_split_documents(spark, sf), id_col="doc_id").select("doc_id", F.sha2("line", 256).alias("line_sha256"))
+
+
+def inventory_tokens(spark, sf):
+    """Byte tokens by language and partition against the whole target."""
+    d = _split_documents(spark, sf).where("partition is not null")
+    return A.inventory(d.select("language", "partition", F.octet_length("text").alias("utf8_bytes"), byte_count("text").alias("tokens")), "tokens", MIXTURE.total)
+
+
+def ordered_documents(spark, sf):
+    """Documents with their number in order of id."""
+    return numbered(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+
+
+def storage_density(spark, sf):
+    """Tokens of the documents for each byte they take on disk."""
+    raw = table(spark, sf, "documents").select(F.octet_length("text").alias("utf8_bytes"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    each = raw.groupBy("file", "size").agg(F.coalesce(F.sum("utf8_bytes"), F.lit(0)).alias("utf8_bytes"))
+    whole = each.agg(F.sum("size").alias("stored"), F.sum("utf8_bytes").alias("utf8_bytes"))
+    return A.densities(whole, "utf8_bytes", F.col("stored"))
+
+
+def shard_counters(spark, sf):
+    """Counters of the materialised shard of documents."""
+    d = _docs(spark, sf)
+    rows = d.withColumn("selected", ppm_selected(SEED, F.trim(F.col("doc_id").cast("string")), 550_000))
+    return A.shard_counters(rows, cut(materialise(d, "doc_id", F.col("source_id"), SEED, 550_000)), "doc_id")
+
+
+def baseline_counters(spark, sf):
+    """Counters of the documents as they are, screened and split but not deduplicated."""
+    d = _split_documents(spark, sf).select("partition", screen("text").alias("q"), byte_count("text").cast("bigint").alias("tokens"))
+    return A.baseline_counters(cut(d.select("partition", "tokens", "q.utf8_bytes", status("q.disposition").alias("status"), F.col("q.findings.code").alias("findings"))))
+
+
+def planning_capacity(spark, sf):
+    """Accepted tokens of the log and train tokens of derived corpora by lane and category, not deduplicated against each other."""
+    log = keep_latest(table(spark, sf, "global_decision").select("canonical_id", "decided_at", "status", "rights_lane", "primary_category", "partition", "token_count"), "canonical_id", "decided_at")
+    train = log.where("status = 'accept' and partition = 'train' and rights_lane <> 'blocked' and primary_category is not null")
+    base = train.select(F.col("rights_lane").alias("lane"), F.col("primary_category").alias("category"), F.greatest(F.coalesce("token_count", F.lit(0)), F.lit(0)).alias("tokens"))
+    return A.planning_capacity(base, _train(spark, sf).select(F.col("rights_lane").alias("lane"), F.col("primary_category").alias("category"), "tokens"), False)
+
+
+def stateful_manifest(spark, sf):
+    """Candidates decided in two batches through a persistent index, by the fingerprints of the table."""
+    c = table(spark, sf, "global_candidate").select("candidate_id", F.coalesce("batch_no", F.lit(0)).alias("batch"), F.lower(F.trim("dedup_fingerprint")).alias("f"), T.from_hex("simhash64_hex").alias("s"))
+    index = FingerprintIndex(spark, fresh_path(spark, "manifest"), "bigint", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = index.consider(c.where("batch <= 6"), "candidate_id", ["batch", "candidate_id"], "f", "s", "first")
+    then = index.consider(c.where("batch > 6"), "candidate_id", ["batch", "candidate_id"], "f", "s", "then")
+    remove_path(spark, index.path)
+    return verdicts(first.unionByName(then).withColumnRenamed("candidate_id", "id"), "candidate_id")
+
+
+def ledger_violations(spark, sf):
+    """Derived corpora as a ledger of artifacts, against the rights of their sources."""
+    d = table(spark, sf, "derived_corpus").select("derived_id", "revision", "source_id", "rights_lane", "accepted_records", "pretraining_authorized")
+    a = keep_latest(d, "derived_id", "revision").select(
+        F.col("derived_id").alias("artifact_id"), key("source_id").alias("source_id"), "rights_lane", F.when(F.col("rights_lane") == "blocked", "internal_only").otherwise("attribution").alias("redistribution"),
+        (~F.coalesce("pretraining_authorized", F.lit(False))).alias("immutable"), F.col("accepted_records").alias("bytes"), F.sha2("derived_id", 256).alias("sha256"),
+    )
+    return K.ledger(a, _lanes(spark, sf))
+
+
+def selected_artifacts(spark, sf):
+    """What keeps the ingestion candidates' artifacts out of a release-safe checkpoint."""
+    known = _ledger(spark, sf).join(_lanes(spark, sf), "source_id")
+    chosen = table(spark, sf, "ingestion_candidate").where("artifact_id is not null").select("artifact_id").distinct()
+    return K.selection(chosen, "artifact_id", known, "release_safe")
+
+
+def rows_of_inputs(spark, sf):
+    """Global candidates that don't agree with the source, language and lane most often declared for their artifact."""
+    c = table(spark, sf, "global_candidate").select("candidate_id", F.col("artifact_id").alias("input_id"), key("source_id").alias("source_id"), "artifact_id", "language", "rights_lane")
+    n = c.where("artifact_id is not null").groupBy("input_id", "source_id", "artifact_id", "language", "rights_lane").agg(F.count(F.lit(1)).alias("n"))
+    parts = ["source_id", "artifact_id", "language", "rights_lane"]
+    top = n.groupBy("input_id").agg(F.max(F.struct("n", *parts)).alias("top")).select("input_id", *[F.col(f"top.{p}").alias(p) for p in parts])
+    return K.rows_of_inputs(c, top, "candidate_id")[1]
+
+
+def gate(spark, sf):
+    """What keeps the SentencePiece vocabulary from use, measured on the audit rows."""
+    import sentencepiece
+
+    size = sentencepiece.SentencePieceProcessor(model_file=piece_model()).vocab_size()
+    return tokenizer_gate(tokenizer_benchmark(table(spark, sf, "audit_row"), piece_facts(piece_model())("text"), "language"), size, 32_000)
+
 
 QUERIES = {
     f.__name__: f
@@ -509,6 +609,7 @@ QUERIES = {
         bytes_selected, bytes_selected_full, bytes_balanced, tokenizer_corpus, tokenizer_corpus_full, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
         required_fields, repeated_records, unknown_values, eligible_sources, never_train, promotions, union_sources, quality_audit, audit_findings,
         token_rollup, language_counts, null_report, length_quantiles, density, decision_tokens, decision_status, train_capacity, mixture_readiness,
-        budget_gap, step_plan,
+        budget_gap, step_plan, fit_text, inventory_tokens, ordered_documents, storage_density, shard_counters, baseline_counters, planning_capacity, stateful_manifest,
+        ledger_violations, selected_artifacts, rows_of_inputs, gate,
     )
 }

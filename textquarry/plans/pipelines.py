@@ -9,7 +9,7 @@ from textquarry.functions.keys import key, strip
 from textquarry.functions.sampling import partition_of, ppm_selected
 from textquarry.functions.state import cut
 from textquarry.functions.text import content_sha256, dedup_fingerprint, simhash64, source_group_id, to_hex
-from textquarry.operators.dedup import greedy, priority
+from textquarry.operators.dedup import MAX_DISTANCE, greedy, priority
 from textquarry.operators.registry import PARTITIONS, VISIBLE, all_violations, require, unique, violation
 from textquarry.operators.screening import screen, status
 from textquarry.operators.technical import TECHNICAL, classify, primary_category
@@ -59,8 +59,8 @@ def decide(
     ).drop("category", "tokens")
 
 
-def materialise(rows: DataFrame, id_col: str, source: Column, seed: str, parts_per_million: int, url: Column | None = None) -> DataFrame:
-    """Status, partition and duplicates of one shard's rows, in id order.
+def materialise(rows: DataFrame, id_col: str, source: Column, seed: str, parts_per_million: int, url: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """Status, partition and duplicates of one shard's rows, in id order; ``tokens``: the token count, by default of bytes.
 
     Sample, then group and partition, screening, exact duplicates over all statuses (a
     quarantined first copy uses up its fingerprint), near duplicates among accepted rows.
@@ -72,6 +72,7 @@ def materialise(rows: DataFrame, id_col: str, source: Column, seed: str, parts_p
         sampled.select(
             F.col(id_col), source.alias("source_id"), group.alias("source_group_id"), partition_of(source, group).alias("partition"),
             screen("text").alias("q"), content_sha256("text").alias("content_sha256"), dedup_fingerprint("text").alias("f"), simhash64("text").alias("s"),
+            (F.octet_length("text") if tokens is None else tokens).cast("bigint").alias("tokens"),
         )
     )
     facts = facts.withColumn("screened", status("q.disposition"))
@@ -80,19 +81,20 @@ def materialise(rows: DataFrame, id_col: str, source: Column, seed: str, parts_p
     clean = copies.where("not copy and screened = 'accept'")
     near = greedy(clean, id_col, [id_col], "f", "s", register="seen").select(id_col, F.col("status").alias("near"), F.col("duplicate_of").alias("near_of"), "hamming_distance")
     return copies.join(near, id_col, "left").select(
-        id_col, "source_id", "source_group_id", "partition", "content_sha256", F.col("f").alias("dedup_fingerprint"), F.col("q.findings.code").alias("findings"), F.col("q.utf8_bytes").alias("utf8_bytes"),
+        id_col, "source_id", "source_group_id", "partition", "content_sha256", F.col("f").alias("dedup_fingerprint"), F.col("q.findings.code").alias("findings"), F.col("q.utf8_bytes").alias("utf8_bytes"), "tokens",
         F.when(F.col("copy"), "exact_duplicate").when(F.col("near") == "exclude", "near_duplicate").otherwise(F.col("screened")).alias("status"),
         F.when(F.col("copy"), F.col("first")).otherwise(F.col("near_of")).alias("duplicate_of"), "hamming_distance",
     )
 
 
 def calibrate(rows: DataFrame, id_col: str) -> DataFrame:
-    """Counters of a shard: statuses before deduplication, exact and near duplicates beside them."""
+    """Counters of a shard: statuses before deduplication, exact and near duplicates beside them, these also by distance."""
     facts = cut(rows.where("text is not null").select(id_col, screen("text").alias("q"), dedup_fingerprint("text").alias("f"), simhash64("text").alias("s")))
     facts = facts.withColumn("status", status("q.disposition"))
     heads = facts.groupBy("f").agg(F.min(id_col).alias(id_col))
     clean = facts.join(heads.select(id_col), id_col, "left_semi").where("status = 'accept'")
-    near = greedy(clean, id_col, [id_col], "f", "s", register="seen").where("status = 'exclude'").agg(F.count(F.lit(1)).alias("near_duplicates"))
+    near = greedy(clean, id_col, [id_col], "f", "s", register="seen").where("status = 'exclude'")
+    near = near.agg(F.count(F.lit(1)).alias("near_duplicates"), *[F.count_if(F.col("hamming_distance") == d).alias(f"near_at_{d}") for d in range(MAX_DISTANCE + 1)])
     totals = facts.agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("f").alias("distinct_records"), F.sum("q.utf8_bytes").alias("utf8_bytes"),
         *[F.count_if(F.col("status") == s).alias(s) for s in ("accept", "quarantine", "reject")],

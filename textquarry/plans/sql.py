@@ -210,6 +210,59 @@ g AS (SELECT *, greatest(0, 200000000 - thai) AS thai_gap, greatest(0, 200000000
 SELECT *, thai_gap + english_gap + technical_gap + total_gap = 0 AS ready FROM g""",
     "budget_gap": f"""WITH {_CAPACITY}, t AS (SELECT target_lane, CAST(sum(tokens) AS BIGINT) AS tokens FROM cap GROUP BY target_lane)
 SELECT *, greatest(0, 500000000 - tokens) AS gap, tokens >= 500000000 AS ready FROM t""",
+    "fit_text": f"""WITH {_DOCS}, g AS (SELECT doc_id, text, source_id, sha256('id:' || doc_id) AS g FROM docs WHERE text IS NOT NULL),
+h AS (SELECT *, {_hash(f"'{_SPLIT}' || chr(0) || source_id || chr(0) || g", 10000)} AS h FROM g)
+SELECT doc_id, sha256(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), chr(8232))) AS line_sha256 FROM h WHERE {_PARTITION} = 'train'""",
+    "inventory_tokens": f"""WITH {_DOCS}, g AS (SELECT language, source_id, {_bytes("text")} AS b, sha256('id:' || doc_id) AS g FROM docs WHERE text IS NOT NULL),
+h AS (SELECT *, {_hash(f"'{_SPLIT}' || chr(0) || source_id || chr(0) || g", 10000)} AS h FROM g), p AS (SELECT *, {_PARTITION} AS partition FROM h)
+SELECT language, partition, CASE WHEN grouping(language) = 1 AND grouping(partition) = 1 THEN 'overall' ELSE concat_ws('+', CASE WHEN grouping(language) = 0 THEN 'language' END, CASE WHEN grouping(partition) = 0 THEN 'partition' END) END AS grouping,
+  count(*) AS records, CAST(sum(b) AS BIGINT) AS utf8_bytes, CAST(sum(b) AS BIGINT) AS tokens, round(sum(b) / 500000000, 12) AS fraction, greatest(0, 500000000 - CAST(sum(b) AS BIGINT)) AS gap
+FROM p WHERE partition IS NOT NULL GROUP BY GROUPING SETS ((), (language), (partition), (partition, language))""",
+    "ordered_documents": "SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS row_number FROM documents",
+    "planning_capacity": """WITH lanes(target_lane, rights_lane) AS (VALUES ('release_safe', 'release_safe'), ('research_only', 'release_safe'), ('research_only', 'research_only')),
+cats(category) AS (VALUES ('general_thai'), ('general_english'), ('technical_scientific_code'), ('flywire_domain')),
+last AS (SELECT * FROM (SELECT DISTINCT canonical_id, decided_at, status, rights_lane, primary_category, partition, token_count FROM global_decision) QUALIFY row_number() OVER (PARTITION BY canonical_id
+  ORDER BY decided_at DESC NULLS LAST, status DESC, rights_lane DESC NULLS LAST, primary_category DESC NULLS LAST, partition DESC NULLS LAST, token_count DESC NULLS LAST) = 1),
+have AS (
+  SELECT rights_lane, primary_category AS category, greatest(coalesce(token_count, 0), 0) AS tokens FROM last WHERE status = 'accept' AND partition = 'train'
+  UNION ALL SELECT rights_lane, primary_category, greatest(coalesce(train_tokens, 0), 0) FROM (
+    SELECT DISTINCT derived_id, rights_lane, primary_category, train_tokens FROM derived_corpus d WHERE revision = (SELECT max(revision) FROM derived_corpus e WHERE e.derived_id = d.derived_id)))
+SELECT target_lane, category, CAST(coalesce(sum(h.tokens), 0) AS BIGINT) AS tokens, true AS planning_only
+FROM lanes CROSS JOIN cats LEFT JOIN have h USING (rights_lane, category) GROUP BY target_lane, category""",
+    "stateful_manifest": f"""
+WITH RECURSIVE c AS (
+  SELECT candidate_id AS id, lower(trim(dedup_fingerprint)) AS f, CASE WHEN regexp_full_match(trim(simhash64_hex), '[0-9a-fA-F]{{1,16}}') THEN {_SIM} END AS h,
+    row_number() OVER (ORDER BY coalesce(batch_no, 0), candidate_id) AS n FROM global_candidate
+), near AS (
+  SELECT x.n, y.id AS other, CASE WHEN coalesce(x.f = y.f, false) THEN 0 ELSE 1 END AS kind, CASE WHEN coalesce(x.f = y.f, false) THEN 0 ELSE bit_count(xor(x.h, y.h)) END AS d
+  FROM c x JOIN c y ON y.n < x.n AND (x.f = y.f OR bit_count(xor(x.h, y.h)) <= 3)
+), s AS (SELECT n, other, kind, d, (kind, d, other) AS score FROM near), r(n, accepted, id, other, kind, d) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::INTEGER
+  UNION ALL
+  SELECT t.n, CASE WHEN t.other IS NULL THEN list_append(t.accepted, t.id) ELSE t.accepted END, t.id, t.other, t.kind, t.d FROM (
+    SELECT c.n, any_value(r.accepted) AS accepted, any_value(c.id) AS id, arg_min(s.other, s.score) FILTER (list_contains(r.accepted, s.other)) AS other,
+      arg_min(s.kind, s.score) FILTER (list_contains(r.accepted, s.other)) AS kind, arg_min(s.d, s.score) FILTER (list_contains(r.accepted, s.other)) AS d
+    FROM r JOIN c ON c.n = r.n + 1 LEFT JOIN s ON s.n = c.n GROUP BY c.n) t
+)
+SELECT id AS candidate_id, CASE WHEN other IS NULL THEN 'accept' ELSE 'exclude' END AS status,
+  CASE WHEN other IS NULL THEN NULL WHEN kind = 0 THEN 'cross_source_exact_duplicate' ELSE 'cross_source_near_duplicate' END AS reason,
+  other AS duplicate_of, d AS hamming_distance FROM r WHERE id IS NOT NULL""",
+    "ledger_violations": f"""WITH d AS (SELECT DISTINCT derived_id AS id, {_key("source_id")} AS source, rights_lane AS lane, accepted_records AS bytes, coalesce(pretraining_authorized, false) AS authorised FROM derived_corpus x
+  WHERE revision = (SELECT max(revision) FROM derived_corpus e WHERE e.derived_id = x.derived_id)), j AS (SELECT d.*, r.source_id AS known, r.rights_lane AS policy FROM d LEFT JOIN source_registry r ON r.source_id = d.source)
+SELECT 'missing' AS rule, id, 'source_id' AS detail FROM d WHERE coalesce(source, '') = '' UNION ALL SELECT 'missing', id, 'rights_lane' FROM d WHERE coalesce(lane, '') = ''
+UNION ALL SELECT 'unknown_source', id, coalesce(source, 'null') FROM j WHERE known IS NULL
+UNION ALL SELECT 'lane_mismatch', id, concat_ws('/', lane, policy) FROM j WHERE known IS NOT NULL AND lane IS DISTINCT FROM policy
+UNION ALL SELECT 'blocked_terms', id, CASE WHEN lane = 'blocked' THEN 'internal_only' ELSE 'attribution' END FROM j WHERE policy = 'blocked' AND lane IS DISTINCT FROM 'blocked'
+UNION ALL SELECT 'not_immutable', id, '' FROM d WHERE authorised UNION ALL SELECT 'not_positive', id, 'bytes' FROM d WHERE coalesce(bytes <= 0, true)""",
+    "selected_artifacts": f"""WITH a AS (SELECT DISTINCT artifact_id, {_key("source_id")} AS source FROM global_candidate WHERE artifact_id IS NOT NULL),
+k AS (SELECT DISTINCT artifact_id, rights_lane FROM a JOIN source_registry r ON r.source_id = a.source)
+SELECT CASE WHEN rights_lane IS NULL THEN 'unknown' ELSE 'lane_not_visible' END AS rule, artifact_id AS id, coalesce(rights_lane, '') AS detail
+FROM (SELECT DISTINCT artifact_id FROM ingestion_candidate WHERE artifact_id IS NOT NULL) LEFT JOIN k USING (artifact_id) WHERE coalesce(rights_lane <> 'release_safe', true)""",
+    "rows_of_inputs": f"""WITH c AS (SELECT candidate_id, artifact_id, {_key("source_id")} AS s, language AS l, rights_lane AS r FROM global_candidate),
+n AS (SELECT artifact_id, s, l, r, count(*) AS n FROM c WHERE artifact_id IS NOT NULL GROUP BY ALL),
+t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY n DESC, s DESC NULLS LAST, l DESC NULLS LAST, r DESC NULLS LAST) = 1)
+SELECT 'row_of_another_input' AS rule, CAST(candidate_id AS VARCHAR) AS id, coalesce(c.artifact_id, 'null') AS detail FROM c LEFT JOIN t USING (artifact_id)
+WHERE NOT coalesce(c.s = t.s AND c.l = t.l AND (c.r IS NULL OR c.r = t.r), false)""",
     "step_plan": """WITH s AS (SELECT source_id, language, primary_category, needed_tokens, CAST(ceil(needed_tokens / 65536) AS BIGINT) AS steps FROM token_budget WHERE needed_tokens > 0)
 SELECT *, greatest(1, CAST(ceil(steps * 0.02) AS BIGINT)) AS warmup_steps, steps * 65536 AS scheduled_tokens, steps * 65536 - needed_tokens AS overshoot FROM s""",
 }

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textquarry.functions.keys import strip
+from textquarry.functions.sampling import partition_of
+from textquarry.functions.state import cut
 from textquarry.functions.text import clean_text, dedup_fingerprint
 from textquarry.operators.dedup import keep_first
 from textquarry.operators.registry import all_violations, one_of, require, required, unique
@@ -119,6 +121,38 @@ def shard(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "tex
     return df
 
 
+def shard_in_order(spark: SparkSession, path: str, key: str, *columns: str) -> DataFrame:
+    """A shard's rows with their place (row_number, from 0) in order of a unique key."""
+    return numbered(spark.read.parquet(path).select(*(columns or (key,))), key)
+
+
+def numbered(df: DataFrame, key: str, name: str = "row_number") -> DataFrame:
+    """Rows with their number in order of a unique key.
+
+    The rows are range-partitioned and sorted within partitions, once, in the shared
+    folder; a row's number is its place in its partition and the rows of those before, of
+    which there is one count each.
+    """
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumns({"__part": F.spark_partition_id(), "__at": low}))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    # one row for each partition
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
+def wiki_sample(spark: SparkSession, root: str, lane: str, **options) -> DataFrame:
+    """Articles of a wiki dump, of each normal text the one with the smallest record id, with their lane."""
+    articles = wiki_dump(spark, root, **options).withColumn("dedup_fingerprint", F.col("source_group_id"))
+    return keep_first(articles, ["dedup_fingerprint"], ["record_id"]).withColumn("rights_lane", F.lit(lane))
+
+
+def pilot_sentences(spark: SparkSession, path: str, code: str, source_id: str) -> DataFrame:
+    """All uncleaned sentences of a file with fingerprint and partition, copies included."""
+    rows = sentences(spark, path, code, clean=False).withColumn("dedup_fingerprint", dedup_fingerprint("text"))
+    return rows.withColumn("partition", partition_of(F.lit(source_id), "dedup_fingerprint"))
+
+
 def null_counts(df: DataFrame, *columns: str) -> DataFrame:
     """Rows, and nulls of each column, in one pass."""
     return df.agg(F.count(F.lit(1)).alias("records"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns])
