@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textquarry.operators.technical import CODE_SIGNALS, SCIENCE_SIGNALS, SYMBOLS, TERMS, THAI_GENERIC, THAI_STRONG, THAI_SUPPORT
+
 _WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
@@ -55,6 +57,87 @@ revised AS (
   LEFT JOIN revised d ON d.rights_lane = l.rights_lane AND d.primary_category = c.category
   GROUP BY ALL)"""
 
+_W = r"\p{L}\p{N}_"
+_D = r"\p{Nd}"
+
+
+def _found(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, '{pattern}'))"
+
+
+def _screened(rows: str) -> str:
+    """CTEs that screen ``rows`` (id, text): m has the measures, f a row (id, place, code, severity, count) for each finding, d the disposition.
+
+    DuckDB's patterns know no look-around.  Addresses are told apart by writing what lies
+    between them twice; numbers by marking each group of digits; cards by taking whole
+    runs of digits; runs of equal characters by numbering the characters.
+    """
+    octet = rf"(?:25[0-5]|2[0-4]{_D}|1?{_D}?{_D})"
+    other = "".join(chr(zero + i) for zero in (0xE50, 0x660, 0x966, 0xFF10) for i in range(10))
+    twice = rf"regexp_replace(text, '([^{_W}.+%@\-])', '\1\1', 'g')"
+    email = rf"(?i)(?:^|[^{_W}.+\-])[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{{2,}}(?:[^{_W}.\-]|$)"
+    luhn = "list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN x[len(x) - i + 1]::INTEGER ELSE (2 * x[len(x) - i + 1]::INTEGER) // 10 + (2 * x[len(x) - i + 1]::INTEGER) % 10 END)) % 10 = 0"
+    return rf"""t AS MATERIALIZED ({rows}),
+chars AS (SELECT id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM t WHERE text <> ''),
+islands AS (SELECT id, c, count(*) AS n FROM (SELECT id, c, i, i - row_number() OVER (PARTITION BY id, c ORDER BY i) AS g FROM chars) GROUP BY id, c, g HAVING count(*) >= 12),
+runs AS (SELECT id, sum(n) AS run FROM islands WHERE NOT regexp_full_match(c, '[{_WS}]') GROUP BY id),
+cards AS (SELECT id, count(*) AS card FROM (SELECT id, translate(regexp_replace(r, '[ \-]', '', 'g'), '{other}', '{"0123456789" * 4}') AS x FROM (SELECT id, unnest(regexp_extract_all(text, '{_D}(?:[ \-]?{_D})*')) AS r FROM t))
+  WHERE len(x) BETWEEN 13 AND 19 AND {luhn} GROUP BY id),
+m AS (SELECT id, text, length(text) AS n, octet_length(encode(text)) AS b,
+  length(text) - length(regexp_replace(text, '[\x{{0}}-\x{{8}}\x{{b}}\x{{c}}\x{{e}}-\x{{1f}}\x{{7f}}-\x{{9f}}\p{{Cf}}]', '', 'g')) AS c, length(text) - length(replace(text, chr(65533), '')) AS r, coalesce(run, 0) AS run,
+  {_found(twice, email)} AS email, {_found(rf"regexp_replace(text, '({_D}+)', '<\1>', 'g')", rf"(?:<{octet}>\.){{3}}<{octet}>")} AS ipv4, coalesce(card, 0) AS card,
+  {_found("text", rf"(?i)(?:-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----|(?:api[_-]?key|access[_-]?token|secret[_-]?key)[{_WS}]*[:=][{_WS}]*[''\"]?[A-Za-z0-9_\-/.+=]{{16,}})")} AS secret
+  FROM t LEFT JOIN runs USING (id) LEFT JOIN cards USING (id) WHERE text IS NOT NULL),
+f AS (SELECT id, u.code, u.severity, u.count FROM (SELECT id, unnest([
+  {{'code': 'too_short', 'severity': 'reject', 'count': (n < 1)::INTEGER}}, {{'code': 'too_long', 'severity': 'reject', 'count': (n > 2000000)::INTEGER}},
+  {{'code': 'blank_or_whitespace', 'severity': 'reject', 'count': regexp_full_match(text, '[{_WS}]*')::INTEGER}}, {{'code': 'nul_byte', 'severity': 'reject', 'count': n - length(replace(text, chr(0), ''))}},
+  {{'code': 'excess_control_characters', 'severity': 'reject', 'count': (n > 0 AND c / n > 0.01)::INTEGER}}, {{'code': 'excess_unicode_replacement', 'severity': 'reject', 'count': (n > 0 AND r / n > 0.005)::INTEGER}},
+  {{'code': 'suspicious_repeated_character_runs', 'severity': 'review', 'count': (n > 0 AND run / n > 0.10)::INTEGER}}, {{'code': 'possible_email', 'severity': 'review', 'count': email}},
+  {{'code': 'possible_ipv4', 'severity': 'review', 'count': ipv4}}, {{'code': 'possible_payment_card', 'severity': 'reject', 'count': card}}, {{'code': 'possible_secret', 'severity': 'reject', 'count': secret}}]) AS u FROM m) WHERE u.count > 0),
+d AS (SELECT m.id, n AS characters, b AS utf8_bytes, run / greatest(n, 1) AS run_ratio, CASE WHEN bool_or(severity = 'reject') THEN 'reject' WHEN count(severity) > 0 THEN 'review' ELSE 'accept' END AS disposition,
+  CASE WHEN bool_or(severity = 'reject') THEN 'reject' WHEN count(severity) > 0 THEN 'quarantine' ELSE 'accept' END AS status FROM m LEFT JOIN f USING (id) GROUP BY ALL)"""
+
+
+def _classified() -> str:
+    """CTEs that classify the documents: k has doc_id, category, score and signals; patterns as in :func:`_screened`."""
+    start, end = f"(?:^|[^{_W}])", f"(?:[^{_W}]|$)"
+    apart = rf"regexp_replace(text, '([^{_W}.:/+\-])', '\1\1', 'g')"
+    wide = rf"regexp_replace(text, '([^{_W}.])', '\1\1', 'g')"
+    mark = lambda t: rf"regexp_replace({t}, '(\\(?:sum|int))([^{_W}\x{{1}}]|$)', '\1' || chr(1) || '\2', 'g')"
+    units = "nm|um|mm|cm|km|ms|us|ns|hz|khz|mhz|ghz|mv|ma|kg|mg|ug|mol|mmol|kpa|mpa"
+    counts = {
+        "code_keywords": _found("text", rf"(?im)^[{_WS}]*(?:def|class|import|from|function|const|let|var|SELECT|CREATE TABLE|public static|#include|package){end}"),
+        "stack_trace": _found("text", rf"(?i)(?:Traceback \(most recent call last\)|Exception in thread|at [{_W}.$]+\([{_W}.]+:{_D}+\))"),
+        "shell_prompt": _found("text", rf"(?m)^[{_WS}]*(?:\$|>>>|PS [^>]+>)[{_WS}]+[^{_WS}]"),
+        "doi": _found("text", rf"(?i){start}doi[{_WS}]*:?[{_WS}]*10\.{_D}{{4,9}}/[^{_WS}]+"),
+        "arxiv": _found(apart, rf"(?i){start}arxiv[{_WS}]*:?[{_WS}]*{_D}{{4}}\.{_D}{{4,5}}{end}"),
+        "scientific_notation": _found("text", rf"{start}[+\-]?{_D}+(?:\.{_D}+)?[eE][+\-]?{_D}+"),
+        "equation": _found(mark(mark("text")), r"(?:\$[^$]{3,}\$|\\frac\{|\\sum\x{1}|\\int\x{1})"),
+        "units": _found(wide, rf"(?i){start}{_D}+(?:\.{_D}+)?[{_WS}]*(?:{units}){end}"),
+    }
+    present = lambda terms: " + ".join(f"contains(text, '{t}')::INTEGER" for t in terms)
+    symbols = " + ".join(f"(length(text) - length(replace(text, '{x}', ''))) // {len(x)}" for x in SYMBOLS)
+    points = [f"least(4, 2 * {k})" for k in CODE_SIGNALS] + [f"least(3, {k})" for k in SCIENCE_SIGNALS] + [
+        "CASE WHEN hits >= 4 THEN least(5, hits // 2) ELSE 0 END", "CASE WHEN dense THEN 2 ELSE 0 END", "CASE WHEN strong > 0 THEN least(6, 2 + strong) ELSE 0 END",
+        "CASE WHEN support >= 3 THEN least(5, support + 1) ELSE support END", "CASE WHEN generic > 0 AND strong + support > 0 THEN least(2, generic) ELSE 0 END", "CASE WHEN symbols >= 8 THEN least(4, symbols // 8) ELSE 0 END",
+    ]
+    signs = [f"CASE WHEN {k} > 0 THEN '{k}' END" for k in counts] + [
+        "CASE WHEN hits >= 4 THEN 'technical_terms' END", "CASE WHEN dense THEN 'technical_term_density' END", "CASE WHEN strong > 0 THEN 'thai_strong_technical_terms' END",
+        "CASE WHEN support >= 2 THEN 'thai_support_technical_terms' WHEN support = 1 THEN 'thai_support_technical_term' END", "CASE WHEN generic > 0 AND strong + support > 0 THEN 'thai_generic_technical_support' END",
+        "CASE WHEN symbols >= 8 THEN 'code_symbol_density' END",
+    ]
+    listed = ", ".join(f"'{t}'" for t in TERMS)
+    return rf"""c AS MATERIALIZED (SELECT *, len(list_filter(words, lambda w: list_contains([{listed}], w))) AS hits FROM (
+  SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z][a-z0-9_+\-]*') AS words, {", ".join(f"{v} AS {k}" for k, v in counts.items())},
+    {present(THAI_STRONG)} AS strong, {present(THAI_SUPPORT)} AS support, {present(THAI_GENERIC)} AS generic, {symbols} AS symbols FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT *, hits >= 3 AND hits / greatest(len(words), 1) >= 0.03 AS dense FROM c),
+g AS (SELECT doc_id, text, {" + ".join(points)} AS score, list_sort(list_filter([{", ".join(signs)}], lambda x: x IS NOT NULL)) AS signals FROM e),
+k AS (SELECT doc_id, text, CASE WHEN score >= 4 THEN 'technical_scientific_code' ELSE 'general' END AS category, score, signals FROM g)"""
+
+
+_SCREEN_DOCS = _screened("SELECT doc_id AS id, text FROM documents")
+_SCREEN_AUDIT = _screened("SELECT audit_id AS id, text FROM audit_row")
+
 SQL = {
     "content_hash": "SELECT doc_id, sha256(text) AS content_sha256 FROM documents",
     "dedup_fingerprint": f"SELECT doc_id, {_FP} AS fingerprint FROM documents",
@@ -93,6 +176,30 @@ UNION ALL SELECT doc_id, 'nul_byte' FROM m WHERE contains(text, chr(0))
 UNION ALL SELECT doc_id, 'excess_control_characters' FROM m WHERE n > 0 AND c / n > 0.01
 UNION ALL SELECT doc_id, 'excess_unicode_replacement' FROM m WHERE n > 0 AND r / n > 0.005
 UNION ALL SELECT doc_id, 'possible_secret' FROM m WHERE regexp_matches(text, '(?i)(?:-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----|(?:api[_-]?key|access[_-]?token|secret[_-]?key)[{_WS}]*[:=][{_WS}]*[''"]?[A-Za-z0-9_\-/.+=]{{16,}})')""",
+    "screen_disposition": f"WITH {_SCREEN_DOCS} SELECT id AS doc_id, disposition, status FROM d",
+    "screen_findings": f"WITH {_SCREEN_DOCS} SELECT id AS doc_id, code, severity, count FROM f",
+    "screen_runs": f"WITH {_SCREEN_DOCS} SELECT id AS doc_id, round(run_ratio, 9) AS repeated_run_ratio FROM d WHERE run_ratio > 0",
+    "audit_findings": f"WITH {_SCREEN_AUDIT} SELECT language, code AS finding, count(*) AS records FROM f JOIN audit_row ON audit_id = id GROUP BY ALL",
+    "quality_audit": f"""WITH {_SCREEN_AUDIT}, a AS (SELECT rights_lane, {_key("source_id")} AS source_id, language, partition, d.* FROM d JOIN audit_row ON audit_id = id)
+SELECT rights_lane, source_id, language, partition, CASE WHEN s = '' THEN 'overall' ELSE s END AS grouping, * EXCLUDE (rights_lane, source_id, language, partition, s),
+  CASE WHEN tokens > 0 THEN round(accept_tokens / tokens, 9) ELSE 0 END AS accepted_token_share FROM (
+  SELECT rights_lane, source_id, language, partition,
+    concat_ws('+', CASE WHEN grouping(rights_lane) = 0 THEN 'rights_lane' END, CASE WHEN grouping(source_id) = 0 THEN 'source_id' END, CASE WHEN grouping(language) = 0 THEN 'language' END, CASE WHEN grouping(partition) = 0 THEN 'partition' END) AS s,
+    count(*) AS records, CAST(sum(characters) AS BIGINT) AS characters, CAST(sum(utf8_bytes) AS BIGINT) AS utf8_bytes, CAST(sum(utf8_bytes) AS BIGINT) AS tokens,
+    {", ".join(f"count(*) FILTER (status = '{x}') AS {x}_records, CAST(coalesce(sum(utf8_bytes) FILTER (status = '{x}'), 0) AS BIGINT) AS {x}_tokens" for x in ("accept", "quarantine", "reject"))}
+  FROM a GROUP BY GROUPING SETS ((), (rights_lane), (source_id), (language), (partition), (rights_lane, partition, language)))""",
+    "baseline_counters": f"""WITH {_SCREEN_DOCS}, {_DOCS}, g AS (SELECT doc_id, source_id, sha256('id:' || doc_id) AS g FROM docs),
+h AS (SELECT *, {_hash(f"'{_SPLIT}' || chr(0) || source_id || chr(0) || g", 10000)} AS h FROM g), p AS (SELECT d.*, {_PARTITION} AS partition FROM d JOIN h ON doc_id = id)
+SELECT 'input_records' AS counter, '' AS key, count(*) AS value FROM p UNION ALL SELECT status || '_records', '', count(*) FROM p GROUP BY ALL
+UNION ALL SELECT 'tokens', partition, CAST(sum(utf8_bytes) AS BIGINT) FROM p WHERE status = 'accept' GROUP BY ALL
+UNION ALL SELECT 'utf8_bytes', partition, CAST(sum(utf8_bytes) AS BIGINT) FROM p WHERE status = 'accept' GROUP BY ALL
+UNION ALL SELECT 'findings', code, count(*) FROM f GROUP BY ALL""",
+    "technical": f"WITH {_classified()} SELECT doc_id, category, score, signals FROM k",
+    "technical_categories": f"""WITH {_classified()}, {_DOCS} SELECT doc_id, CASE WHEN r.main_category = 'flywire_domain' THEN r.main_category WHEN k.category = 'technical_scientific_code' THEN k.category
+  WHEN d.language = 'th' THEN 'general_thai' WHEN d.language = 'en' THEN 'general_english' END AS category FROM k JOIN docs d USING (doc_id) LEFT JOIN source_registry r ON r.source_id = d.source_id""",
+    "technical_calibration": f"""WITH {_classified()} SELECT category, score, count(*) AS records, CAST(sum({_bytes("text")}) AS BIGINT) AS tokens FROM k
+WHERE {_hash(chr(39) + _SEED + chr(39) + ' || chr(0) || doc_id', 1000000)} < 200000 GROUP BY ALL""",
+    "signal_counts": f"WITH {_classified()} SELECT signal, count(*) AS documents FROM (SELECT unnest(signals) AS signal FROM k) GROUP BY signal",
     "exact_dedup_min_id": f"""WITH {_DOCS}, f AS (SELECT *, {_FP} AS fingerprint FROM docs WHERE text IS NOT NULL)
 SELECT min(doc_id) AS doc_id, source_id, fingerprint FROM f GROUP BY source_id, fingerprint""",
     "exact_dedup_first": f"""WITH f AS (SELECT doc_id, fetched_at, {_FP} AS fingerprint FROM documents WHERE text IS NOT NULL)
