@@ -82,6 +82,12 @@ def simhash(spark, sf):
     return _docs(spark, sf).select("doc_id", T.to_hex(T.simhash64("text")).alias("simhash64"))
 
 
+def simhash_candidates(spark, sf):
+    """Simhash of the candidates whose table gives one, computed again from the text."""
+    c = table(spark, sf, "global_candidate").where("text is not null and simhash64_hex is not null")
+    return c.select("candidate_id", T.to_hex(T.simhash64("text")).alias("simhash64"))
+
+
 def shingles(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(T.word_shingles("text")).alias("shingles"))
 
@@ -602,7 +608,7 @@ def gate(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        content_hash, dedup_fingerprint, clean_text, text_sizes, source_group_id, rank_hash, canonical_order, simhash, shingles, lsh_bands, hamming_log,
+        content_hash, dedup_fingerprint, clean_text, text_sizes, source_group_id, rank_hash, canonical_order, simhash, simhash_candidates, shingles, lsh_bands, hamming_log,
         byte_tokens, byte_tokens_documents, byte_round_trip, byte_round_trip_documents, token_pairs, token_pairs_whole, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
         near_search, index_size, global_manifest, manifest_undecidable, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, piece_tokens_documents, benchmark, benchmark_documents, ppm_sampled, assign_partition, partition_matrix,

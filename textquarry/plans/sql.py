@@ -28,8 +28,12 @@ _DOCS = f"docs AS (SELECT doc_id, text, lower(lang) AS language, {_key('source')
 _PARTITION = "CASE WHEN source_id <> '' AND g <> '' THEN CASE WHEN h < 9900 THEN 'train' WHEN h < 9950 THEN 'validation' ELSE 'holdout' END END"
 
 
-_IDS = """h AS (SELECT audit_id, hex(encode(text)) AS x FROM audit_row WHERE text IS NOT NULL),
-b AS (SELECT audit_id, list_concat(list_concat([1], list_transform(regexp_extract_all(x, '..'), lambda d: ('0x' || d)::INTEGER + 4)), [2]) AS ids FROM h)"""
+def _ids(table: str, name: str) -> str:
+    return f"""h AS (SELECT {name}, hex(encode(text)) AS x FROM {table} WHERE text IS NOT NULL),
+b AS (SELECT {name}, list_concat(list_concat([1], list_transform(regexp_extract_all(x, '..'), lambda d: ('0x' || d)::INTEGER + 4)), [2]) AS ids FROM h)"""
+
+
+_IDS = _ids("audit_row", "audit_id")
 
 
 def _near(most: int) -> str:
@@ -159,6 +163,19 @@ FROM (SELECT DISTINCT query_canonical_id, record_id, lower(simhash64_hex) AS sim
 SELECT doc_id, CASE WHEN n > 0 THEN greatest(1, n - 4) ELSE n END AS shingles FROM w""",
     "byte_tokens": f"""WITH {_IDS}
 SELECT audit_id, len(ids) AS tokens, sha256(array_to_string(ids, ',')) AS ids_sha256 FROM b UNION ALL SELECT audit_id, NULL, NULL FROM audit_row WHERE text IS NULL""",
+    "byte_tokens_documents": f"""WITH {_ids("documents", "doc_id")}
+SELECT doc_id, len(ids) AS tokens, sha256(array_to_string(ids, ',')) AS ids_sha256 FROM b UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL""",
+    "byte_round_trip_documents": "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL",
+    "token_pairs_whole": f"""WITH {_IDS} SELECT audit_id, array_to_string(ids[1:len(ids) - 1], ',') AS input, array_to_string(ids[2:], ',') AS target FROM b""",
+    "simhash_candidates": "SELECT candidate_id, lower(trim(simhash64_hex)) AS simhash64 FROM global_candidate WHERE text IS NOT NULL AND simhash64_hex IS NOT NULL",
+    "candidate_integrity": "\nUNION ALL ".join(
+        [f"SELECT 'missing' AS rule, CAST(candidate_id AS VARCHAR) AS id, '{c}' AS detail FROM global_candidate WHERE coalesce({c}, '') = ''" for c in (
+            "record_id", "text", "language", "source_id", "artifact_id", "source_group_id", "partition", "rights_lane", "content_sha256", "dedup_fingerprint", "simhash64_hex")]
+        + [f"SELECT 'unknown_value', CAST(candidate_id AS VARCHAR), '{c}=' || {c} FROM global_candidate WHERE {c} NOT IN ({v})" for c, v in (
+            ("partition", "'train', 'validation', 'holdout'"), ("rights_lane", "'release_safe', 'research_only', 'blocked'"), ("language", "'th', 'en', 'mixed'"))]
+        + ["SELECT 'content_sha256', CAST(candidate_id AS VARCHAR), '' FROM global_candidate WHERE text IS NOT NULL AND content_sha256 <> sha256(text)",
+           f"SELECT 'dedup_fingerprint', CAST(candidate_id AS VARCHAR), '' FROM global_candidate WHERE text IS NOT NULL AND lower(dedup_fingerprint) <> {_FP}"]
+    ),
     "token_pairs": f"""WITH {_IDS}
 SELECT audit_id, array_to_string(ids[1:least(len(ids), 17) - 1], ',') AS input, array_to_string(ids[2:least(len(ids), 17)], ',') AS target FROM b""",
     "byte_round_trip": "SELECT audit_id, true AS same FROM audit_row WHERE text IS NOT NULL",
@@ -256,6 +273,12 @@ SELECT language, count(*) FILTER (p = 'train') AS train, count(*) FILTER (p = 'v
 FROM docs WHERE text IS NOT NULL AND language IS NOT NULL""",
         "50000",
     ),
+    "bytes_selected_full": f"WITH {_DOCS} "
+    + _selected(
+        f"""SELECT doc_id, language, coalesce(sum({_bytes('text')}) OVER (PARTITION BY language ORDER BY sha256(concat_ws(chr(0), source_id, doc_id)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM docs WHERE text IS NOT NULL AND language IS NOT NULL""",
+        "52428800",
+    ),
     "bytes_balanced": f"WITH {_DOCS}, d AS (SELECT doc_id, language, {_bytes('text')} AS size FROM docs WHERE text IS NOT NULL AND language IN ('th', 'en')) "
     + _selected(
         "SELECT doc_id, language, coalesce(sum(size) OVER (PARTITION BY language ORDER BY sha256(CAST(doc_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d",
@@ -373,3 +396,4 @@ WHERE NOT coalesce(c.s = t.s AND c.l = t.l AND (c.r IS NULL OR c.r = t.r), false
     "step_plan": """WITH s AS (SELECT source_id, language, primary_category, needed_tokens, CAST(ceil(needed_tokens / 65536) AS BIGINT) AS steps FROM token_budget WHERE needed_tokens > 0)
 SELECT *, greatest(1, CAST(ceil(steps * 0.02) AS BIGINT)) AS warmup_steps, steps * 65536 AS scheduled_tokens, steps * 65536 - needed_tokens AS overshoot FROM s""",
 }
+SQL["tokenizer_corpus_full"] = SQL["tokenizer_corpus"].replace("before < 200000", "before < 52428800").replace("before < 50000", "before < 524288")
