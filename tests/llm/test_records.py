@@ -9,7 +9,7 @@ from textquarry.llm.grouping import assign, balance, divided, group_key, page_ke
 from textquarry.llm.history import ChunkIndex, chunk_lists, deduplicate, simhash_bits
 from textquarry.llm.mixing import mix, shares, targets
 from textquarry.llm.neardup import classes, similar_rows, similar_texts
-from textquarry.llm.sampling import feistel, sample_numeric, sample_records
+from textquarry.llm.sampling import _key_array, feistel, sample_numeric, sample_records
 
 
 def test_mix_reaches_shares_and_keeps_the_cap(spark):
@@ -214,9 +214,9 @@ def test_assigned_splits_keep_proportions(spark):
 
 def test_feistel_is_a_bijection(spark):
     n = 1 << 12
-    values = [r[0] for r in spark.range(n).select(feistel("id", "seed", half_bits=6)).collect()]
+    values = [r[0] for r in spark.range(n).select(feistel("id", _key_array("seed"), half_bits=6)).collect()]
     assert sorted(values) == list(range(n)) and values != list(range(n))
-    odd = spark.createDataFrame([(None,), (-1,), (1 << 62,)], "id bigint").select(feistel("id", "seed").alias("v")).collect()
+    odd = spark.createDataFrame([(None,), (-1,), (1 << 62,)], "id bigint").select(feistel("id", _key_array("seed")).alias("v")).collect()
     assert all(r["v"] is None for r in odd)
 
 

@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.joins import heavy_keys, salted_join
 from textquarry.functions.keys import WHITESPACE_CLASS
 from textquarry.functions.state import cut
 from textquarry.llm.bpe import chunks, text_buffer
+from textquarry.llm.components import components
 
 GRAM = 5
 M, R = 11, 3
@@ -379,15 +381,16 @@ def similar_rows(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
 def classes(members: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     """Connected groups: (id_col, class_id, links).
 
-    ``class_id`` is the smallest text hash of the class; ``links`` the number of other
-    texts of at least the likeness.  Rows without any likeness form their own class.
+    ``class_id`` is the smallest id of the class; ``links`` the number of other texts of at
+    least the likeness, copies not counted.  Rows without any likeness form their own
+    class.  Groups of copies are joined by their one text; heavy ones are spread.
     """
-    from textquarry.llm.components import components
-
-    label = components(pairs.select("a", "b"))
+    label = components(pairs.select("a", "b")).withColumnRenamed("node", "text_hash")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).groupBy("text_hash").agg(F.count(F.lit(1)).alias("links"))
-    return (
-        members.join(label.withColumnRenamed("node", "text_hash"), "text_hash", "left")
-        .join(degree, "text_hash", "left")
-        .select(id_col, F.coalesce("label", "text_hash").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    texts = cut(
+        members.groupBy("text_hash").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n")).join(label, "text_hash", "left").join(degree, "text_hash", "left")
+        .select("text_hash", "__first", "n", F.coalesce("label", "text_hash").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+    named = texts.join(texts.groupBy("label").agg(F.min("__first").alias("class_id")), "label").select("text_hash", "class_id", "links")
+    heavy = heavy_keys(texts, ["text_hash"], least=1_000)
+    return salted_join(members.distinct(), named, ["text_hash"], heavy, F.col(id_col)).select(id_col, "class_id", "links")

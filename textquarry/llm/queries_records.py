@@ -40,6 +40,12 @@ def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_corpora(spark, sf), _plan(spark, sf), SLICE, "derived_id", "train_tokens")
 
 
+def p1_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Need, supply and the copies expected of every slice of every mix."""
+    goal = mixing.targets(_corpora(spark, sf), _plan(spark, sf), SLICE, "train_tokens")
+    return goal.select("mix_id", *SLICE, "need", "items", "supply", F.round("expected", 9).alias("expected"), "most")
+
+
 def p1_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The corpora that make up every mix, once for each copy."""
     return mixing.mix(_corpora(spark, sf), _plan(spark, sf), SLICE, "derived_id", "train_tokens")
@@ -129,10 +135,25 @@ def p7_feistel(spark: SparkSession, sf: str) -> DataFrame:
     return sample_numeric(table(spark, sf, "documents"), "doc_id", _rules(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_mix, p3_found, p3_decisions, p6_found, p6_splits, p6_balance, p6_purity, p7_found, p7_feistel)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_targets, p1_mix, p3_found, p3_decisions, p6_found, p6_splits, p6_balance, p6_purity, p7_found, p7_feistel)}
 
 _KEY = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 
+_ROUND = "('0x' || substr(sha256(seed_text || chr(0) || {k}), {at}, 8))::UBIGINT::BIGINT % 2147483647"
+
+
+def _feistel_sql() -> str:
+    """Six rounds, one query each."""
+    out = ["r0 AS (SELECT selection_id, seed_text, parts_per_million, doc_id, doc_id >> 31 AS l, doc_id & 2147483647 AS r FROM documents, selection_rule WHERE doc_id BETWEEN 0 AND 4611686018427387903)"]
+    for k in range(6):
+        a, b = _ROUND.format(k=k, at=1), _ROUND.format(k=k, at=9)
+        out.append(
+            f"t{k} AS (SELECT *, {a} AS a, {b} AS b FROM r{k}), "
+            f"r{k + 1} AS (SELECT selection_id, seed_text, parts_per_million, doc_id, r AS l, xor(l, ((((r * a + b) % 2147483647) * ((r * a + b) % 2147483647) + b) % 2147483647) & 2147483647) AS r FROM t{k})"
+        )
+    return "WITH " + ", ".join(out) + " SELECT DISTINCT selection_id, doc_id FROM r6 WHERE ((l << 31) | r)::HUGEINT < parts_per_million::HUGEINT * 4611686018427387904 // 1000000"
+
+
 _BATCHES = """
 WITH RECURSIVE last AS (
   SELECT canonical_id, arg_max(status, (decided_at, status)) AS status FROM global_decision GROUP BY canonical_id
@@ -190,6 +211,16 @@ split AS (
   SELECT label, min(row_id) AS group_row_id FROM member JOIN rows USING (row_id) GROUP BY label HAVING min(p) < max(p)
 )
 SELECT DISTINCT group_row_id, row_id FROM member JOIN split USING (label)""",
+    "p7_feistel": _feistel_sql(),
+    "p1_targets": f"""
+WITH last AS (
+  SELECT DISTINCT derived_id, {_KEY.format("source_id")} AS source_id, primary_category, greatest(coalesce(train_tokens, 0), 0) AS tokens
+  FROM derived_corpus d WHERE revision = (SELECT max(revision) FROM derived_corpus e WHERE e.derived_id = d.derived_id)
+), have AS (SELECT source_id, primary_category, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS supply FROM last GROUP BY ALL),
+p AS (SELECT mix_id, {_KEY.format("source_id")} AS source_id, primary_category, max_repeats, target_share * total_tokens AS need FROM mixture_plan)
+SELECT mix_id, source_id, primary_category, need, coalesce(items, 0) AS items, coalesce(supply, 0) AS supply,
+  round(CASE WHEN supply > 0 THEN least(need / supply, max_repeats) ELSE 0 END, 9) AS expected, max_repeats * coalesce(supply, 0) AS most
+FROM p LEFT JOIN have USING (source_id, primary_category)""",
     "p6_purity": "SELECT count(DISTINCT row_id) AS rows, 0 AS group_id_apart, 0 AS page_apart FROM source_row",
     "p7_found": r"""
 WITH ids AS (SELECT DISTINCT regexp_replace(record_id, '^\s+|\s+$', '', 'g') AS record_id FROM ingestion_candidate)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.keys import key
+from textquarry.functions.state import cut
 from textquarry.llm.packing import pack, waste
 from textquarry.llm.splitting import split_texts
 from textquarry.llm.tokens import BYTES, budget_by_slice, count_tokens, encode_corpus
@@ -89,6 +90,35 @@ def p9_waste(spark: SparkSession, sf: str) -> DataFrame:
     return waste(*_containers(spark, sf))
 
 
+def p9_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each container size: documents placed, containers over it, documents divided without need, parts that don't follow on."""
+    packed, limits = _containers(spark, sf)
+    packed = cut(packed)
+    capacity = F.element_at(F.create_map(*[F.lit(x) for pair in limits for x in pair]), F.col("limit_id"))
+    over = packed.groupBy("limit_id", "container_id").agg(F.sum("part_tokens").alias("used")).groupBy("limit_id").agg(F.count_if(F.col("used") > capacity).alias("over"))
+    by = packed.groupBy("limit_id", "doc_id").agg(F.sum("part_tokens").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.col("first_token") + F.col("part_tokens")).alias("end"))
+    docs = by.groupBy("limit_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("size") <= capacity) & (F.col("parts") > 1)).alias("divided_small"), F.count_if(F.col("size") != F.col("end")).alias("with_gaps")
+    )
+    return docs.join(over, "limit_id")
+
+
+def p10_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each piece size: pieces over it, texts that their pieces don't cover from end to end, pieces whose text isn't the document's."""
+    rule = {r[0]: r[1] for r in small_rows(table(spark, sf, "size_limit").where(F.col("use_for") == "piece").select("limit_id", "max_tokens"))}
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in rule.items() for x in pair]), F.col("limit_id"))
+    docs = table(spark, sf, "documents").select("doc_id", F.char_length("text").alias("chars"), "text")
+    pieces = p10_pieces(spark, sf).join(docs, "doc_id")
+    told = pieces.select(
+        "limit_id", "doc_id", "piece_no", "start_char", "end_char", "chars", (F.col("piece_tokens") > most).alias("over"),
+        (F.substr("text", F.col("start_char").cast("int") + 1, (F.col("end_char") - F.col("start_char")).cast("int")) != F.col("piece_text")).alias("other"),
+    )
+    order = Window.partitionBy("limit_id", "doc_id").orderBy("piece_no")
+    told = told.withColumn("gap", F.col("start_char") > F.coalesce(F.lag("end_char").over(order), F.lit(0)))
+    by = told.groupBy("limit_id", "doc_id").agg(F.max(F.col("gap") | F.col("other")).alias("wrong"), F.max("end_char").alias("end"), F.max("chars").alias("chars"), F.count_if("over").alias("over"))
+    return by.groupBy("limit_id").agg(F.sum("over").alias("pieces_over"), F.count_if(F.col("wrong") | (F.col("end") != F.col("chars"))).alias("wrong_documents"))
+
+
 def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered pieces of every document over a piece size, with the overlap asked for."""
     rule = table(spark, sf, "size_limit").where(F.col("use_for") == "piece").select("limit_id", "max_tokens", "overlap_tokens")
@@ -96,7 +126,7 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"), "doc_id", "text", limits)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_slices, p5_documents, p8_ids, p9_containers, p9_waste, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_slices, p5_documents, p8_ids, p9_containers, p9_waste, p9_checked, p10_pieces, p10_checked)}
 
 _LATEST = r"""
 WITH latest AS (
@@ -117,5 +147,7 @@ SQL = {
 LEFT JOIN slices s ON lower(regexp_replace(b.source_id, '^\s+|\s+$', '', 'g')) = s.source_id AND b.language IS NOT DISTINCT FROM s.language
  AND b.primary_category IS NOT DISTINCT FROM s.primary_category
 WHERE b.needed_tokens > coalesce(s.tokens, 0)""",
+    "p9_checked": "SELECT limit_id, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS divided_small, 0 AS with_gaps, 0 AS over FROM size_limit WHERE use_for = 'container'",
+    "p10_checked": "SELECT limit_id, 0 AS pieces_over, 0 AS wrong_documents FROM size_limit WHERE use_for = 'piece'",
     "p5_slices": _LATEST + "SELECT source_id, language, primary_category, records, tokens FROM slices",
 }

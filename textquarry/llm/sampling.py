@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,34 +13,43 @@ from textquarry.functions.sampling import ppm_selected
 #: The fixed identifier domain is 0 .. 2**62 - 1: two halves of 31 bits.
 HALF_BITS = 31
 ROUNDS = 6
+#: Modulus of the round function.
+PRIME = 2**31 - 1
+
+
+def round_keys(seed: str, rounds: int = ROUNDS) -> list[tuple[int, int]]:
+    """Factor and summand of each round, from sha256 of seed and number."""
+    digests = (hashlib.sha256(f"{seed}\0{k}".encode()).hexdigest() for k in range(rounds))
+    return [(int(d[:8], 16) % PRIME, int(d[8:16], 16) % PRIME) for d in digests]
 
 
-def feistel(identifier: Column | str, seed: Column | str, half_bits: int = HALF_BITS, rounds: int = ROUNDS) -> Column:
-    """Pseudo-random permutation of 0 .. 2**(2*half_bits) - 1, keyed by ``seed``.
+def feistel(identifier: Column | str, keys: Column, half_bits: int = HALF_BITS, rounds: int = ROUNDS) -> Column:
+    """Pseudo-random permutation of 0 .. 2**(2*half_bits) - 1, keyed by ``keys`` (array<struct<a, b>>, see :func:`round_keys`).
 
-    A bijection for every seed: different ids never collide.  Null outside the domain.
+    A round adds (t * t + b) mod PRIME to the left half by exclusive or, t being
+    (right * a + b) mod PRIME: whatever that function is, the whole is a bijection, so
+    different ids never collide.  Null outside the domain.
     """
     x = F.col(identifier) if isinstance(identifier, str) else identifier
     x = x.cast("bigint")
-    seed = F.lit(seed) if isinstance(seed, str) else seed
-    mask = (1 << half_bits) - 1
-    left, right = F.shiftright(x, half_bits), x.bitwiseAND(F.lit(mask))
-    for k in range(rounds):
-        left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(k), seed, right).bitwiseAND(F.lit(mask)))
-    whole = F.shiftleft(left, half_bits).bitwiseOR(right)
-    return F.when((x >= 0) & (x < F.lit(1 << 2 * half_bits)), whole)
+    mask = F.lit((1 << half_bits) - 1)
+    inside = F.when((x >= 0) & (x < F.lit(1 << 2 * half_bits)), x)
+    state = F.struct(F.shiftright(inside, half_bits).alias("l"), inside.bitwiseAND(mask).alias("r"))
 
+    def turn(s: Column, key: Column) -> Column:
+        t = (s["r"] * key["a"] + key["b"]) % PRIME
+        return F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(((t * t + key["b"]) % PRIME).bitwiseAND(mask)).alias("r"))
 
-def feistel_selected(identifier: Column | str, seed: Column | str, parts_per_million: Column, half_bits: int = HALF_BITS) -> Column:
-    """Whether an id's permuted value lies under rate * domain size.
+    return F.aggregate(F.slice(keys, 1, rounds), state, turn, lambda s: F.shiftleft(s["l"], half_bits).bitwiseOR(s["r"]))
 
-    Depends on nothing but id, seed and rate: the same on every run and partitioning, and
-    a selected id stays selected when others are added or the rate grows.  A null id or
-    one outside the domain is never selected.
-    """
-    size = 1 << 2 * half_bits
-    bound = F.floor(parts_per_million.cast("decimal(20,0)") * F.lit(size).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(20,0)")
-    return F.coalesce(feistel(identifier, seed, half_bits).cast("decimal(20,0)") < bound, F.lit(False))
+
+def _key_array(seed: str) -> Column:
+    return F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in round_keys(seed)])
+
+
+def _bound(parts_per_million: int, half_bits: int = HALF_BITS) -> int:
+    """Permuted values below this are selected: rate * domain size."""
+    return parts_per_million * (1 << 2 * half_bits) // 1_000_000
 
 
 def _with_rules(df: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
@@ -48,9 +59,16 @@ def _with_rules(df: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
 
 
 def sample_numeric(df: DataFrame, id_col: str, rules: list[tuple[str, str, int]]) -> DataFrame:
-    """(selection_id, id_col) of the distinct numeric ids that each (id, seed, ppm) rule selects."""
-    picked = _with_rules(df.select(id_col), rules).where(feistel_selected(id_col, F.col("__rule.seed_text"), F.col("__rule.ppm")))
-    return picked.select("__rule.selection_id", id_col).distinct()
+    """(selection_id, id_col) of the distinct numeric ids that each (id, seed, ppm) rule selects.
+
+    An id is selected if its permuted value lies under rate * domain size.  That depends on
+    nothing but id, seed and rate: the same on every run and partitioning, and a selected
+    id stays selected when others are added or the rate grows.  A null id or one outside
+    the domain is never selected.
+    """
+    listed = F.array(*[F.struct(F.lit(a).alias("selection_id"), _key_array(b).alias("keys"), F.lit(_bound(c)).cast("bigint").alias("bound")) for a, b, c in rules])
+    hit = F.filter(listed, lambda r: feistel(id_col, r["keys"]) < r["bound"])
+    return df.select(id_col, F.explode(F.transform(hit, lambda r: r["selection_id"])).alias("selection_id")).select("selection_id", id_col).distinct()
 
 
 def sample_records(df: DataFrame, id_col: str, rules: list[tuple[str, str, int]]) -> DataFrame:
