@@ -333,3 +333,17 @@ def test_integrity(spark):
     assert R.candidate_integrity(good, "id").count() == 0
     bad = good.withColumn("text", F.when(F.col("id") == 1, "changed").otherwise(F.col("text"))).withColumn("partition", F.lit("dev"))
     assert sorted((r["rule"], r["id"]) for r in R.candidate_integrity(bad, "id").collect()) == [("content_sha256", "1"), ("dedup_fingerprint", "1"), ("simhash64", "1"), ("unknown_value", "1"), ("unknown_value", "2")]
+
+
+def test_salted_joins_equal_plain_ones(spark):
+    from textquarry.functions.joins import heavy_keys, salted_join, spread_join
+
+    left = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, (F.col("id") % 50).cast("string")).alias("k"))
+    right = spark.createDataFrame([("hot", 1), ("4", 2), (None, 3), ("none", 4)], "k string, v int")
+    want = {(r["id"], r["v"]) for r in left.join(right.withColumnRenamed("k", "x"), F.col("k").eqNullSafe(F.col("x")), "left").collect()}
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for heavy in (heavy_keys(counts, ["k"], least=100), counts.where("false").select("k"), counts.select("k")):
+        got = salted_join(left, right, ["k"], heavy, F.col("id"))
+        assert got.columns == ["id", "k", "v"] and {(r["id"], r["v"]) for r in got.collect()} == want
+    assert {(r["id"], r["v"]) for r in spread_join(left, right, ["k"], F.col("id"), 5000, least=100).collect()} == want
+    assert heavy_keys(counts.where("false"), ["k"]).count() == 0

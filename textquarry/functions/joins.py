@@ -43,3 +43,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataF
     for k, n in zip(keys, names):
         on &= a[k].eqNullSafe(b[n])
     return a.join(b, on, "left").drop("__salt", "__s", *names)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, rows: int, least: int = 10_000) -> DataFrame:
+    """:func:`salted_join` by the heavy keys of ``left``, which has about ``rows`` rows.
+
+    A key is heavy from ``least`` rows and HOT_SHARE of all on, so the heavy keys are at
+    most 1/HOT_SHARE whatever the data; they are counted with map-side combine.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(left, right, keys, counts.where(F.col("n") >= max(least, HOT_SHARE * rows)).select(*keys), spread)

@@ -32,9 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read back from the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, computed once and read back from the shared folder.
+
+    The result is known to the optimiser by its size on disk.  What it estimated of the
+    plan isn't carried on: sizes of joins are estimated as products, and over the rounds of
+    an iteration they, and the constraints beside them, grow beyond all bounds.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df._jdf.checkpoint()
+    jvm = spark.sparkContext._jvm
+    plan = done.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile()
+    if not file.isDefined():
+        return DataFrame(done, spark)
+    where = jvm.org.apache.hadoop.fs.Path(file.get())
+    size = max(1, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength())
+    none = jvm.scala.Option.empty()
+    # the statistics of a range of as many bytes: eight for each number
+    known = spark.range(-(-size // 8))._jdf.queryExecution().optimizedPlan().stats()
+    session = spark._jsparkSession
+    measured = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, jvm.scala.Option.apply(known), none
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, measured), spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
