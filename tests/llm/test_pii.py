@@ -1,9 +1,15 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 
 from textquarry.llm.pii import Tagger, find_personal_data, plausible, redact, spans, tag_texts
 from textquarry.llm.pii_labels import ascii_digits, thai_id_valid
 from textquarry.llm.pii_train import crf, gradients
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def test_gradients():
     m = Tagger(5)
@@ -73,24 +79,40 @@ def test_frames(spark):
 
 
 def test_held_out_accuracy():
-    """Rows that weren't trained on; the labels are those of the patterns."""
+    """A table that wasn't trained on; the labels are those of the patterns and the name list."""
     import pyarrow.parquet as pq
     import pytest
 
-    from textquarry.llm.pii_labels import Names, label
+    from textquarry.llm.pii_labels import Names, common_words, label
     from textquarry.llm.pii_train import score
 
     try:
-        texts = [t for t in pq.read_table("/root/testdata/sf0.01/audit_row.parquet")["text"].to_pylist() if t]
-        names = pq.read_table("/root/testdata/sf0.01/person_name.parquet").to_pylist()
+        texts = [t for t in pq.read_table("/root/testdata/sf0.1/audit_row.parquet")["text"].to_pylist() if t][:3000]
+        names = pq.read_table("/root/testdata/sf0.1/person_name.parquet").to_pylist()
     except FileNotFoundError:
         pytest.skip("no tables here")
-    known = Names([(r["name"], r["name_kind"], r["script"]) for r in names])
+    known = Names([(r["name"], r["name_kind"], r["script"]) for r in names], common_words(texts))
     for kind, (both, labelled, found) in score(Tagger.load(), texts, known).items():
-        assert labelled > 20 and both >= 0.97 * labelled and both >= 0.97 * found, kind
+        # the labels miss names of which the list knows neither part, so the tagger finds a few more
+        assert labelled > 20 and both >= 0.97 * labelled and both >= 0.95 * found, kind
     assert label("nothing here", known) == []
 
 
+def test_made_up_lines_of_other_names():
+    """Lines of another seed, without the listed names: what the tagger knows is the form, not the list."""
+    from textquarry.llm.pii_templates import Maker
+    from textquarry.llm.pii_train import score_spans
+
+    maker = Maker([], ["quiet", "morning", "table", "window", "report"], 99)
+    lines = [maker.line([]) for _ in range(500)]
+    lines = [(t, [s for s in found if s[2] != "id_number" or plausible(t[s[0] : s[1]], s[2])]) for t, found in lines]
+    for kind, (both, made, found) in score_spans(Tagger.load(), lines).items():
+        assert made > 50 and both >= 0.95 * made and both >= 0.95 * found, kind
+    for text, want in (("Please write to someone@example.org now.", ["email"]), ("call 081-234-5678 or mail a.b@example.org please", ["phone", "email"]), ("The report is by Maria Kowalski of Lisbon.", ["person_name"])):
+        (tags,) = tag_texts(Tagger.load(), [text])
+        assert [k for _, _, k in spans(text, tags)] == want, text
+
+
 def test_addresses_with_escaped_at_signs():
     for at in ("&#64;", "&#x40;", "&commat;", "%40", " (AT) "):
         text = f"Build 5 passed. Contact: bouldovic.feasen{at}roarnlab.example.org\nclass Thing: 3 &#60; 4"
@@ -117,3 +139,19 @@ def test_audit_rows_with_escaped_at_signs(spark):
     assert len(whole) == 20
     assert whole <= {(r["audit_id"], texts[r["audit_id"]][r["start"] : r["end"]]) for r in find_personal_data(rows, "audit_id", "text").where("pii_kind = 'email'").collect()}
     assert not [r for r in redact(rows, "audit_id", "text").collect() if "&#64;" in r["text"]]
+
+
+def test_a_very_long_text_beside_short_ones_takes_bounded_room():
+    code = (
+        "import resource\n"
+        "from textquarry.llm.pii import Tagger, tag_texts, spans\n"
+        "mail = ' write to someone@example.org now '\n"
+        "texts = ['call 081-234-5678 or mail a.b@example.org please'] * 400 + [mail + 'plain words without anything ' * 7000 + mail]\n"
+        "tags = tag_texts(Tagger.load(), texts)\n"
+        "assert [k for _, _, k in spans(texts[-1], tags[-1])] == ['email', 'email']\n"
+        "assert len({tuple(spans(t, g)) for t, g in zip(texts[:400], tags[:400])}) == 1\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=ROOT, env={**os.environ, "OMP_NUM_THREADS": "1"})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout) < 500

@@ -1,8 +1,9 @@
 """Training of the tagger: python -m textquarry.llm.pii_train OUT TABLES...
 
 Reads audit_row and person_name of each directory of tables, labels at most MOST_ROWS
-texts of each with :mod:`pii_labels`, and fits the model by Adam on the CRF likelihood.
-The fit is on a bounded sample; the tagger then runs over all texts.
+texts of each with :mod:`pii_labels`, adds TEMPLATE_LINES made-up lines of
+:mod:`pii_templates`, and fits the model by Adam on the CRF likelihood.  The fit is on a
+bounded sample; the tagger then runs over all texts.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import time
 
 import numpy as np
 
-from textquarry.llm.pii import KINDS, PAD, SYMBOLS, TAGS, WINDOW, Tagger, encode_text, spans, tag_texts
-from textquarry.llm.pii_labels import Names, hidden_again, label, look_alikes
+from textquarry.llm.pii import KINDS, PAD, SYMBOLS, TAGS, WINDOW, Tagger, encode_text, plausible, spans, tag_texts
+from textquarry.llm.pii_labels import Names, common_words, hidden_again, label, look_alikes
+from textquarry.llm.pii_templates import Maker
 
 #: Bound of the labelled sample, rows of each directory.
 MOST_ROWS = 20_000
+#: Made-up lines, whose labels are known.
+TEMPLATE_LINES = 40_000
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -106,12 +110,30 @@ def read(root: str, most: int = MOST_ROWS) -> tuple[list[str], list[tuple[str, s
     return texts, [(r["name"], r["name_kind"], r["script"]) for r in names]
 
 
+def exchanged(text: str, found: list[tuple[int, int, str]], made: Maker) -> tuple[str, list[tuple[int, int, str]]] | None:
+    """The text with every piece replaced by a made-up one of its kind, and the new spans."""
+    out, at, moved = [], 0, []
+    for a, b, k in found:
+        out.append(text[at:a])
+        body = getattr(made, "person" if k == "person_name" else k)()
+        start = sum(map(len, out))
+        out.append(body)
+        moved.append((start, start + len(body), k))
+        at = b
+    return "".join([*out, text[at:]]), moved
+
+
 def score(model: Tagger, texts: list[str], names: Names) -> dict[str, tuple[int, int, int]]:
-    """By kind: pieces found in both numbers, in the labels, by the tagger (counted by text)."""
+    """By kind: pieces in both, in the labels, found by the tagger (counted by text)."""
+    return score_spans(model, [(t, label(t, names)) for t in texts])
+
+
+def score_spans(model: Tagger, examples: list[tuple[str, list[tuple[int, int, str]]]]) -> dict[str, tuple[int, int, int]]:
+    """:func:`score` of texts with their spans."""
     out = {k: [0, 0, 0] for k in KINDS}
-    for text, tags in zip(texts, tag_texts(model, texts)):
+    for (text, found), tags in zip(examples, tag_texts(model, [t for t, _ in examples])):
         for k in KINDS:
-            want = sum(s[2] == k for s in label(text, names))
+            want = sum(s[2] == k for s in found)
             got = sum(s[2] == k for s in spans(text, tags))
             out[k] = [out[k][0] + min(want, got), out[k][1] + want, out[k][2] + got]
     return {k: tuple(v) for k, v in out.items()}
@@ -200,19 +222,26 @@ def train(out: str, roots: list[str], seconds: float = 600, hidden: int = 64, ba
         t, n = read(root)
         texts += t
         listed += n
-    names = Names(sorted(set(listed)))
+    listed = sorted(set(listed))
+    names = Names(listed, common_words(texts))
     rng.shuffle(texts)
-    held, texts = texts[:1500], texts[1500:]
-    examples = []
+    plain = [t for t in texts if not label(t, names)]
+    words = sorted(names.common)
+    made, fresh = Maker(listed, words, seed), Maker([], words, seed + 1)
+    examples = [made.line(plain) for _ in range(TEMPLATE_LINES)]
+    held = [(t, [s for s in found if s[2] != "id_number" or plausible(t[s[0] : s[1]], s[2])]) for t, found in (fresh.line([]) for _ in range(1_000))]
     for text in texts:
-        found = label(text, names)
+        found = label(text, names, checked=False)
         if not found and not any(c.isdecimal() for c in text) and rng.random() < 0.5:
             continue
         examples.append((text, found))
-        if found and rng.random() < 0.5 and (other := look_alikes(text, found, rng)) and not any(s[2] == "id_number" for s in found):
-            examples.append((other, label(other, names)))
+        for _ in range(3):
+            if found and (other := look_alikes(text, found, rng)):
+                examples.append((other, label(other, names, checked=False)))
+            if found and (other := exchanged(text, found, made)):
+                examples.append(other)
         if found and (other := hidden_again(text, found, rng)):
-            examples.append((other, label(other, names)))
+            examples.append((other, label(other, names, checked=False)))
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     for text, found in examples:
         x, y = encode_text(text), to_tags(text, found)
@@ -223,7 +252,7 @@ def train(out: str, roots: list[str], seconds: float = 600, hidden: int = 64, ba
     model = Tagger(hidden, seed)
     fit(model, rows, seconds, batch, workers)
     model.save(out)
-    print("held out (both, labelled, found):", score(model, held, names))
+    print("made-up lines of unlisted names (both, labelled, found):", score_spans(model, held))
 
 
 if __name__ == "__main__":
