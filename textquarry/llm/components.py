@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.joins import HOT_SHARE, salted_join
 from textquarry.functions.state import cut
 
 #: A graph of n nodes needs about 2 log2(n) rounds; this is far beyond any table.
 MOST_ROUNDS = 200
 
 
+def _handed(edges: DataFrame, least: DataFrame, number: int) -> DataFrame:
+    """Edges (u, v) with the minimum m of their u; a node with a thousandth of all edges, like the root of a giant component, is spread."""
+    heavy = least.where(F.col("n") >= max(10_000, 2 * HOT_SHARE * number)).select("u")
+    return salted_join(edges, least.select("u", "m"), ["u"], heavy, F.col("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of the undirected edges (a, b); label is the smallest node of the component.
 
     Every round each node hands its smallest neighbour to its larger neighbours (large
     star) and then to its smaller ones (small star), which halves long chains; rounds end
     when no edge changes.  Nodes of high degree are aggregated by partial minima, never
-    collected.  Loops and repeated edges are allowed, nulls are not.
+    collected, and spread over several tasks where they are joined.  Loops and repeated edges are allowed, nulls are not.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    number = now.count()
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _handed(both, least, number).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = large.unionByName(least.where("u > m").select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        small = star.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _handed(star, low, number).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         then = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         counts = then.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
-        forest = counts["n"] == counts["u"]
+        forest, number = counts["n"] == counts["u"], counts["n"]
         now, before = then, now
         if forest and then.join(then.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.joins import heavy_keys, salted_join
+from textquarry.functions.joins import heavy_keys, salted_join, spread_join
 from textquarry.functions.keys import key, strip
 from textquarry.functions.state import cut
 from textquarry.llm.components import components
@@ -50,7 +50,8 @@ def related(rows: DataFrame, row_id: str, entities: list[str]) -> DataFrame:
     entity hangs on it, one with both is an edge between them, and a second entity that
     meets one first entity only links nothing.  Minimum labels are then propagated over
     the remaining edges.  Rows without entities get a null group: they are alone.
-    Repeated row ids may carry different entities; all of them count.
+    Repeated row ids may carry different entities; all of them count.  Rows are joined to
+    their entities and groups with heavy ones spread by hand.
     """
     first, second = entities
     named = rows.select(
@@ -58,23 +59,22 @@ def related(rows: DataFrame, row_id: str, entities: list[str]) -> DataFrame:
         F.when(F.col(first).isNotNull(), F.xxhash64(F.lit(0), first)).alias("e1"),
         F.when(F.col(second).isNotNull(), F.xxhash64(F.lit(1), second)).alias("e2"),
     )
+    number = named.count()
     edges = named.where("e1 is not null and e2 is not null").select("e1", "e2").distinct()
-    owner = edges.groupBy("e2").agg(F.min("e1").alias("owner"), F.max("e1").alias("other"))
-    linking = edges.join(owner.where("owner < other").select("e2"), "e2", "left_semi").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
+    owner = cut(edges.groupBy("e2").agg(F.min("e1").alias("owner"), F.max("e1").alias("other")))
+    several = owner.where("owner < other").select("e2", F.lit(True).alias("several"))
+    linking = spread_join(edges, several, ["e2"], F.col("e1"), number).where("several").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
     label = components(linking)
-    home = (
-        named.join(owner.select("e2", "owner"), "e2", "left")
-        .select(row_id, F.coalesce("e1", "owner", "e2").alias("node"))
-        .distinct()
-    )
-    return home.join(label, "node", "left").select(row_id, F.coalesce("label", "node").alias("group"))
+    home = cut(spread_join(named, owner.select("e2", "owner"), ["e2"], F.col(row_id), number).select(row_id, F.coalesce("e1", "owner", "e2").alias("node")).distinct())
+    return spread_join(home, label, ["node"], F.col(row_id), number).select(row_id, F.coalesce("label", "node").alias("group"))
 
 
 def divided(rows: DataFrame, row_id: str, group: str, partition: Column) -> DataFrame:
     """(group_row_id, row_id) of all rows of groups that lie in more than one partition today."""
     p = rows.select(row_id, group, partition.alias("__p")).where(F.col(group).isNotNull())
     split = p.groupBy(group).agg(F.min(row_id).alias("group_row_id"), F.min("__p").alias("low"), F.max("__p").alias("high")).where("low < high")
-    return p.join(split.select(group, "group_row_id"), group).select("group_row_id", row_id).distinct()
+    joined = spread_join(p, split.select(group, "group_row_id"), [group], F.col(row_id), rows.count())
+    return joined.where("group_row_id is not null").select("group_row_id", row_id).distinct()
 
 
 def place(vectors: list[dict], want: dict, names: list[str]) -> list[str]:

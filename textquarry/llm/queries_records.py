@@ -84,7 +84,7 @@ def _source_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _grouped(spark: SparkSession, sf: str) -> DataFrame:
     rows = _source_rows(spark, sf)
-    return rows.join(related(rows, "row_id", ["group_id", "page"]), "row_id")
+    return cut(rows.join(related(rows, "row_id", ["group_id", "page"]), "row_id"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
