@@ -98,25 +98,24 @@ def _char_classes() -> np.ndarray:
 
 
 class PieceHash:
-    """62-bit hashes of the pieces of a buffer, from polynomials modulo two primes.
+    """62-bit hashes of the pieces of a buffer, from two polynomials modulo 2**31 - 1.
 
     The bases and the values of the bytes are drawn anew in every process, so no text can
     be made to collide; two pieces of n bytes share a hash with a chance below (n / 2**30)**2.
     """
 
-    PRIMES = (2**31 - 1, 2**31 - 19)
+    PRIME = 2**31 - 1
+    STEP = 1 << 14
 
     def __init__(self):
-        self._letters, self._bases, self._powers = [], [], []
         rng = np.random.default_rng()
-        for p in self.PRIMES:
-            self._letters.append(rng.integers(1, p, 256).astype(np.uint64))
-            self._bases.append(int(rng.integers(1 << 20, p - 1)))
-            self._powers.append((np.ones(1, np.uint64), np.ones(1, np.uint64)))
+        self._letters = [rng.integers(1, self.PRIME, 256).astype(np.uint64) for _ in range(2)]
+        self._bases = [int(b) for b in rng.integers(1 << 20, self.PRIME - 1, 2)]
+        self._powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in range(2)]
 
     def _grow(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of the base and of its inverse, at least ``n`` of each."""
-        p = self.PRIMES[k]
+        p = self.PRIME
         up, down = self._powers[k]
         if len(up) < n:
             base = self._bases[k]
@@ -128,14 +127,30 @@ class PieceHash:
         return up, down
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        out = np.empty(len(bounds) - 1, np.uint64)
+        # some pieces at a time, so that all arrays stay in the cache
+        cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(bounds[0], bounds[-1], self.STEP)), len(out))) if len(out) else np.zeros(1, np.int64)
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            own = bounds[x : y + 1]
+            out[x:y] = self._some(data[own[0] : own[-1]], own - own[0])
+        return out
+
+    def _some(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         a, b = bounds[:-1], bounds[1:]
+        prime, bits = np.uint64(self.PRIME), np.uint64(31)
         out = np.zeros(len(a), np.uint64)
-        for k, p in enumerate(self.PRIMES):
+        total = np.zeros(len(data) + 1, np.uint64)
+        for k in range(2):
             up, down = self._grow(k, len(data) + 1)
-            prime = np.uint64(p)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self._letters[k][data] * up[: len(data)] % prime, out=total[1:])
-            out = (out << np.uint64(31)) | ((total[b] - total[a]) % prime * down[a] % prime)
+            part = self._letters[k][data]
+            part *= up[: len(data)]
+            # below 2**32 and the same modulo the prime
+            high = part >> bits
+            part &= prime
+            part += high
+            np.cumsum(part, out=total[1:])
+            out <<= bits
+            out |= (total[b] - total[a]) % prime * down[a] % prime
         return out
 
 
