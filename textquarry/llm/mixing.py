@@ -17,11 +17,13 @@ def targets(items: DataFrame, plan: DataFrame, slices: list[str], size: str) ->
     """The plan with need, supply and the expected copies of each item of a slice.
 
     ``plan``: mix_id, the slice columns, target_share, max_repeats, total_tokens.  The
-    expected copies are need / supply, at most max_repeats.  A slice without items has
+    expected copies are need / supply, at most max_repeats; null shares, totals and repeats
+    count as 0, other columns of the plan are left out.  A null slice column matches
+    nothing.  A slice without items has
     supply 0 and no copies.
     """
     have = supply(items, slices, size)
-    need = plan.withColumn("need", F.coalesce(F.col("target_share") * F.col("total_tokens"), F.lit(0.0)))
+    need = plan.select("mix_id", *slices, "target_share", "max_repeats", "total_tokens").withColumn("need", F.coalesce(F.col("target_share") * F.col("total_tokens"), F.lit(0.0)))
     cap = F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
     return (
         need.join(have, slices, "left")
