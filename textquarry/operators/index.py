@@ -67,9 +67,10 @@ class FingerprintIndex:
         if not batch or "/" in batch or "=" in batch:
             raise ValueError("a batch needs a name without / and =")
         spread = rows.withColumn("part", F.pmod("key", F.lit(self.parts)).cast("int"))
-        tasks = min(self.parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        # sorted by part first, so that a task holds one open file at a time
-        spread.repartition(tasks, "part").sortWithinPartitions("part", "kind", "key").write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/batch={batch}")
+        # parts are gathered and divided by their measured size, so no task grows with a part;
+        # sorted by part first, a task holds one open file at a time
+        even = spread.hint("rebalance", F.col("part")).sortWithinPartitions("part", "kind", "key")
+        even.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/batch={batch}")
 
     def add(self, records: DataFrame, batch: str) -> None:
         """Append records (id, f, s); a blank id or one that is there already, in the batch or the index, is an error."""
