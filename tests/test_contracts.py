@@ -1,4 +1,7 @@
+import pytest
+
 from textquarry.operators import contracts as K
+from textquarry.operators.registry import ContractError
 
 SHA = "a" * 64
 
@@ -46,3 +49,26 @@ def test_derived_and_inputs(spark):
     rows = spark.createDataFrame([("r1", "i1", "s1", "a1", "en"), ("r2", "i1", "s2", "a1", "en"), ("r3", "i9", "s1", "a1", "en")], "record_id string, input_id string, source_id string, artifact_id string, language string")
     good, bad = K.rows_of_inputs(rows, i, "record_id")
     assert [(r["record_id"], r["rights_lane"]) for r in good.collect()] == [("r1", "release_safe")] and _rules(bad) == [("row_of_another_input", "r2"), ("row_of_another_input", "r3")]
+
+
+def test_calibration_rows_never_enter(spark):
+    rows = spark.createDataFrame([("r1", "a"), ("r2", "b"), ("r3", None)], "record_id string, artifact_id string")
+    sets = spark.createDataFrame([("b",), (None,)], "artifact_id string")
+    assert [tuple(r) for r in K.calibration_rows(rows, "record_id", sets).collect()] == [("calibration_artifact", "r2", "b")]
+    with pytest.raises(ContractError):
+        K.without_calibration(rows, "record_id", sets)
+    assert K.without_calibration(rows.where("record_id <> 'r2'"), "record_id", sets).count() == 2
+
+
+def test_fields_of_manifest_inputs(spark):
+    whole = spark.createDataFrame([], ", ".join(f"{c} string" for c in K.INPUT_FIELDS))
+    assert K.input_fields(whole, 3) == []
+    assert [r for r, *_ in K.input_fields(whole.drop("language").selectExpr("*", "1 AS more"), 4)] == ["missing_field", "unknown_field", "distance"]
+
+
+def test_pinned_summaries(spark):
+    d = spark.createDataFrame([("d1", "s", "a", "release_safe", 1, 1, 1, 2, False, "A" * 64), ("d2", "s", "a", "release_safe", 1, 1, 1, 2, False, "b" * 64)], "derived_id string, source_id string, artifact_id string, rights_lane string, train_tokens int, validation_tokens int, holdout_tokens int, accepted_records int, pretraining_authorized boolean, summary_sha256 string")
+    artifacts = spark.createDataFrame([("a", "s", "release_safe")], "artifact_id string, source_id string, rights_lane string")
+    summaries = spark.createDataFrame([("d1", 3, 2, "a" * 64), ("d2", 3, 2, "c" * 64)], "derived_id string, tokens int, records int, summary_sha256 string")
+    got = K.derived(d, artifacts, artifacts.select("source_id", "rights_lane"), summaries).collect()
+    assert [(r["rule"], r["id"]) for r in got] == [("changed_summary", "d2")]

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import sha256_valid
-from textquarry.operators.registry import VISIBLE, all_violations, lane_mismatches, required, unique, unknown_sources, violation
+from textquarry.operators.dedup import MAX_DISTANCE
+from textquarry.operators.registry import VISIBLE, all_violations, lane_mismatches, require, required, unique, unknown_sources, violation
 
 #: Redistribution terms that a blocked source may have.
 BLOCKED_TERMS = ("not_qualified", "internal_only")
@@ -68,12 +69,29 @@ def calibration(sets: DataFrame, rights: DataFrame) -> DataFrame:
     ])
 
 
+def calibration_rows(rows: DataFrame, id_col: str, sets: DataFrame) -> DataFrame:
+    """Rows of artifacts that are calibration sets: none of them may ever enter a partition."""
+    held = sets.select("artifact_id").where("artifact_id is not null").distinct()
+    return violation(rows.join(held, "artifact_id", "left_semi"), "calibration_artifact", id_col, F.lit(True), F.col("artifact_id"))
+
+
+def without_calibration(rows: DataFrame, id_col: str, sets: DataFrame) -> DataFrame:
+    """The rows, if none is of a calibration set; else an error."""
+    require(calibration_rows(rows, id_col, sets), "calibration rows in a corpus")
+    return rows
+
+
 def derived(corpora: DataFrame, artifacts: DataFrame, rights: DataFrame, summaries: DataFrame) -> DataFrame:
     """Derived corpora: derived_id, source_id, artifact_id, rights_lane, train/validation/holdout_tokens, accepted_records, pretraining_authorized.
 
-    ``summaries``: derived_id, tokens, records, as counted when the corpus was made.
+    ``summaries``: derived_id, tokens, records, as counted when the corpus was made, and,
+    where both sides have it, summary_sha256, the digest of the summary that is pinned.
     """
     d = corpora
+    pins = []
+    if "summary_sha256" in corpora.columns and "summary_sha256" in summaries.columns:
+        both = d.join(summaries.select("derived_id", F.col("summary_sha256").alias("__sha")), "derived_id", "left")
+        pins = [violation(both, "changed_summary", "derived_id", ~(F.lower("summary_sha256") == F.lower("__sha")), F.col("summary_sha256"))]
     own = d.join(artifacts.select("artifact_id", F.col("source_id").alias("__source"), F.col("rights_lane").alias("__lane")), "artifact_id", "left")
     counted = d.join(summaries.select("derived_id", F.col("tokens").alias("__tokens"), F.col("records").alias("__records")), "derived_id", "left")
     total = F.col("train_tokens") + F.col("validation_tokens") + F.col("holdout_tokens")
@@ -82,10 +100,21 @@ def derived(corpora: DataFrame, artifacts: DataFrame, rights: DataFrame, summari
         violation(own, "artifact_of_another_source", "derived_id", ~(F.col("__source") == F.col("source_id")), F.col("artifact_id")),
         violation(own, "lane_mismatch", "derived_id", ~(F.col("__lane") == F.col("rights_lane")), F.col("rights_lane")),
         violation(counted, "tokens_do_not_reconcile", "derived_id", ~(total == F.col("__tokens")), total), violation(counted, "records_do_not_reconcile", "derived_id", ~(F.col("accepted_records") == F.col("__records"))),
-        violation(d, "authorises_itself", "derived_id", F.col("pretraining_authorized")),
+        violation(d, "authorises_itself", "derived_id", F.col("pretraining_authorized")), *pins,
     ])
 
 
+#: The fields of a manifest's input.
+INPUT_FIELDS = ("input_id", "source_id", "artifact_id", "rights_lane", "language", "summary_path", "summary_sha256", "accepted_storage", "accepted_bytes", "accepted_sha256")
+
+
+def input_fields(inputs: DataFrame, distance: int) -> list[tuple[str, str, str]]:
+    """Problems of a manifest's plan as such: fields missing or too many, another distance of near duplicates than MAX_DISTANCE."""
+    have = set(inputs.columns)
+    out = [("missing_field", c, "") for c in INPUT_FIELDS if c not in have] + [("unknown_field", c, "") for c in sorted(have - set(INPUT_FIELDS))]
+    return out + ([] if distance == MAX_DISTANCE else [("distance", str(distance), f"not {MAX_DISTANCE}")])
+
+
 def manifest_inputs(inputs: DataFrame, artifacts: DataFrame, namespace: str) -> DataFrame:
     """Inputs of a manifest: input_id, source_id, artifact_id, rights_lane, language, accepted_storage, accepted_bytes, accepted_sha256."""
     i = inputs

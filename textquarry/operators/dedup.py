@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.joins import heavy_keys, salted_join
+from textquarry.functions.joins import heavy_keys, salted_join, spread_join
 from textquarry.functions.state import cut
 from textquarry.functions.text import bands, hamming
 
@@ -217,7 +217,7 @@ def greedy(records: DataFrame, id_col: str, order: list[str], fingerprint: str,
     if register == "seen":
         first = rows.where("f is not null").groupBy("f").agg(F.min(F.struct("rank", "name")).alias("first"))
         again = F.col("first.rank") < F.col("rank")
-        decided = decided.join(first, "f", "left").withColumns(
+        decided = spread_join(decided, first, ["f"], F.col("id"), rows.count()).withColumns(
             {"exact": F.coalesce(again, F.lit(False)) | F.col("exact"), "distance": F.when(again, 0).otherwise(F.col("distance")), "other": F.when(again, F.col("first.name")).otherwise(F.col("other"))}
         )
     return verdicts(decided, id_col)

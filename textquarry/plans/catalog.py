@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.functions.keys import key
+from textquarry.functions.keys import key, strip
 from textquarry.functions.sampling import partition_of, ppm_selected
-from textquarry.functions.state import cut, fresh_path, remove_path
+from textquarry.functions.state import cut, fresh_path, is_directory, remove_path
 from textquarry.operators import accounting as A
 from textquarry.operators import contracts as K
 from textquarry.operators import registry as R
@@ -20,8 +20,10 @@ from textquarry.operators.selection import balance_bytes, ppm_sample, select_byt
 from textquarry.operators.technical import DOMAIN, TECHNICAL, classify, primary_category
 from textquarry.operators.tokens import byte_count, byte_ids, byte_text, fit_lines, next_token_pairs, piece_counter, piece_facts, piece_model
 from textquarry.plans.pipelines import calibrate, decide, ingest, materialise, refused, tokenizer_benchmark, undecidable
-from textquarry.sources.files import null_counts, numbered
+from textquarry.sources.files import CORPUS_LANGUAGES, corpus, null_counts, numbered
+from textquarry.sources.sinks import json_lines, split_sink, without_holdout
 from textquarry.sources.tables import table
+from textquarry.streaming.screening import screened
 
 SEED = "textquarry-sample"
 FIT_BYTES = 50_000
@@ -248,6 +250,22 @@ def _decisions(spark, sf):
     return decide(_candidates(spark, sf), "candidate_id", F.octet_length("text"), T.dedup_fingerprint("text"), T.simhash64("text"), declared, "canonical_id")
 
 
+def _decisions_by_fields(spark, sf):
+    declared = F.coalesce("declared", F.lit(False))
+    return decide(_candidates(spark, sf), "candidate_id", F.octet_length("text"), F.lower("dedup_fingerprint"), T.from_hex("simhash64_hex"), declared, "canonical_id")
+
+
+def manifest_by_fields(spark, sf):
+    """Decision of every global candidate by the fingerprints that the table gives."""
+    return _decisions_by_fields(spark, sf).select("candidate_id", "status", "reason", "duplicate_of", "hamming_distance", "primary_category", "token_count")
+
+
+def decision_tokens_by_fields(spark, sf):
+    """Accepted tokens of that manifest by partition, lane, language and category."""
+    d = _decisions_by_fields(spark, sf).where("status = 'accept'")
+    return d.groupBy("partition", "rights_lane", "language", "primary_category").agg(F.count(F.lit(1)).alias("records"), F.sum("token_count").alias("tokens"))
+
+
 def manifest_undecidable(spark, sf):
     """Candidates that the manifest can't take, with the reason."""
     return undecidable(table(spark, sf, "global_candidate"), "candidate_id")
@@ -604,6 +622,71 @@ def gate(spark, sf):
     size = sentencepiece.SentencePieceProcessor(model_file=piece_model()).vocab_size()
     return tokenizer_gate(tokenizer_benchmark(table(spark, sf, "audit_row"), piece_facts(piece_model())("text"), "language"), size, 32_000)
 
+# -- sources, sinks, streams -------------------------------------------------------------
+
+
+def _records(spark, sf):
+    """Global candidates as corpus records; those that a strict reader would refuse are left out."""
+    c = table(spark, sf, "global_candidate").select(F.col("canonical_id").alias("record_id"), "text", "language", key("source_id").alias("source_id"), F.lit("cc0-1.0").alias("license"), "partition")
+    filled = [F.coalesce(F.length(strip(x)), F.lit(0)) > 0 for x in ("record_id", "text", "language", "source_id", "partition")]
+    return c.where(R.reduce(lambda x, y: x & y, filled)).where(F.col("partition").isin(*R.PARTITIONS) & F.col("language").isin(*CORPUS_LANGUAGES))
+
+
+def json_round_trip(spark, sf):
+    """Records written as ordered JSON Lines and read again by the strict reader."""
+    path = fresh_path(spark, "records")
+    json_lines(_records(spark, sf), path, "record_id", sorted_keys=True)
+    back = cut(corpus(spark, path).select("record_id", "language", "source_id", "partition", F.sha2("text", 256).alias("text_sha256")))
+    remove_path(spark, path)
+    return back
+
+
+def json_report(spark, sf):
+    """What the JSON Lines writer reports of the records: rows and bytes of text."""
+    path = fresh_path(spark, "records")
+    told = json_lines(_records(spark, sf), path, "record_id")
+    remove_path(spark, path)
+    return spark.createDataFrame([(told["rows"], told["text_bytes"])], "rows bigint, text_bytes bigint")
+
+
+def split_rows(spark, sf):
+    """Screened documents in the two sinks of accepted texts and excluded metadata."""
+    path = fresh_path(spark, "split")
+    rows = _docs(spark, sf).where("text is not null").select("doc_id", "text", screen("text").alias("q")).select("doc_id", "text", status("q.disposition").alias("status"))
+    split_sink(cut(rows), f"{path}/accepted", f"{path}/excluded")
+    kept, rest = spark.read.parquet(f"{path}/accepted"), spark.read.parquet(f"{path}/excluded")
+    both = cut(kept.select("doc_id", "status", F.lit("accepted").alias("sink"), F.octet_length("text").alias("text_bytes")).unionByName(rest.select("doc_id", "status", F.lit("excluded").alias("sink"), F.lit(None).cast("int").alias("text_bytes"))))
+    remove_path(spark, path)
+    return both
+
+
+def pilot_partitions(spark, sf):
+    """Records by the partitions of a pilot corpus, which never holds the holdout."""
+    path = fresh_path(spark, "pilot")
+    without_holdout(_records(spark, sf), path)
+    counted = cut(spark.read.parquet(path).groupBy("partition").agg(F.count(F.lit(1)).alias("records")))
+    remove_path(spark, path)
+    return counted
+
+
+def _stream(spark, sf, name):
+    """A table as a stream of its files."""
+    path = f"{sf}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(path) if is_directory(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def stream_screened(spark, sf):
+    """Audit rows screened as a stream, up to what is there now."""
+    path = fresh_path(spark, "stream")
+    rows = screened(_stream(spark, sf, "audit_row").where("text is not null").select("audit_id", "text")).select("audit_id", "status")
+    run = rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = cut(spark.read.schema("audit_id bigint, status string").parquet(f"{path}/rows"))
+    remove_path(spark, path)
+    return out
+
 
 QUERIES = {
     f.__name__: f
@@ -611,11 +694,11 @@ QUERIES = {
         content_hash, dedup_fingerprint, clean_text, text_sizes, source_group_id, rank_hash, canonical_order, simhash, simhash_candidates, shingles, lsh_bands, hamming_log,
         byte_tokens, byte_tokens_documents, byte_round_trip, byte_round_trip_documents, token_pairs, token_pairs_whole, screen_disposition, screen_findings, screen_measures, screen_hard_rejects, screen_runs, technical,
         technical_categories, technical_calibration, signal_counts, exact_dedup_min_id, exact_dedup_first, duplicate_counts, near_pairs, near_pairs_wide,
-        near_search, index_size, global_manifest, manifest_undecidable, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, piece_tokens_documents, benchmark, benchmark_documents, ppm_sampled, assign_partition, partition_matrix,
+        near_search, index_size, global_manifest, manifest_by_fields, decision_tokens_by_fields, manifest_undecidable, greedy_by_fields, shard_materialise, shard_calibration, ingestion_entries, ingestion_refused, piece_tokens, piece_tokens_documents, benchmark, benchmark_documents, ppm_sampled, assign_partition, partition_matrix,
         bytes_selected, bytes_selected_full, bytes_balanced, tokenizer_corpus, tokenizer_corpus_full, rights_join, lane_violations, missing_sources, registry_difference, selected_sources, derived_lanes, candidate_integrity,
         required_fields, repeated_records, unknown_values, eligible_sources, never_train, promotions, union_sources, quality_audit, audit_findings,
         token_rollup, language_counts, null_report, length_quantiles, density, decision_tokens, decision_status, train_capacity, mixture_readiness,
         budget_gap, step_plan, fit_text, inventory_tokens, ordered_documents, storage_density, shard_counters, baseline_counters, planning_capacity, stateful_manifest,
-        ledger_violations, selected_artifacts, rows_of_inputs, gate,
+        ledger_violations, selected_artifacts, rows_of_inputs, gate, json_round_trip, json_report, split_rows, pilot_partitions, stream_screened,
     )
 }

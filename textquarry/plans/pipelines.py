@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.joins import spread_join
 from textquarry.functions.keys import key, strip
 from textquarry.functions.sampling import partition_of, ppm_selected
 from textquarry.functions.state import cut
@@ -34,7 +35,8 @@ def decide(
     ``domain``: whether a candidate's source is declared as one of the domain; ``name``:
     the unique column that ``duplicate_of`` gives and that decides between equally close
     records, by default the id.  Rows that :func:`undecidable` names take no part;
-    ``strict`` makes them, a repeated name and accepted rows without tokens an error.
+    ``strict`` makes them, a repeated name, and rows without tokens or of a language that
+    has no category an error.
     Accepted rows carry their category and tokens, others null and 0.  Texts stay out of
     the joins: they are read once for fingerprint, simhash, category and tokens.
     """
@@ -51,7 +53,7 @@ def decide(
         ).where(F.col("p").isNotNull() & F.col("l").isNotNull() & F.col("f").isNotNull())
     )
     if strict:
-        require(violation(facts, "no_tokens", id_col, ~(F.col("tokens") > 0)), "candidates")
+        require(violation(facts, "no_tokens", id_col, ~(F.col("tokens") > 0)).unionByName(violation(facts, "no_category", id_col, F.col("category").isNull(), F.col("language"))), "candidates")
     verdict = greedy(facts, id_col, ["p", "l", "source_id", "artifact_id", id_col], "f", "s", name=name)
     accepted = F.col("status") == "accept"
     return facts.drop("p", "l", "f", "s").join(verdict, id_col).withColumns(
@@ -77,7 +79,7 @@ def materialise(rows: DataFrame, id_col: str, source: Column, seed: str, parts_p
     )
     facts = facts.withColumn("screened", status("q.disposition"))
     first = facts.groupBy("f").agg(F.min(id_col).alias("first"))
-    copies = facts.join(first, "f").withColumn("copy", F.col(id_col) != F.col("first"))
+    copies = spread_join(facts, first, ["f"], F.col(id_col), facts.count()).withColumn("copy", F.col(id_col) != F.col("first"))
     clean = copies.where("not copy and screened = 'accept'")
     near = greedy(clean, id_col, [id_col], "f", "s", register="seen").select(id_col, F.col("status").alias("near"), F.col("duplicate_of").alias("near_of"), "hamming_distance")
     return copies.join(near, id_col, "left").select(

@@ -102,8 +102,8 @@ d AS (SELECT m.id, n AS characters, b AS utf8_bytes, run / greatest(n, 1) AS run
   CASE WHEN bool_or(severity = 'reject') THEN 'reject' WHEN count(severity) > 0 THEN 'quarantine' ELSE 'accept' END AS status FROM m LEFT JOIN f USING (id) GROUP BY ALL)"""
 
 
-def _classified() -> str:
-    """CTEs that classify the documents: k has doc_id, category, score and signals; patterns as in :func:`_screened`."""
+def _classified(table: str = "documents", name: str = "doc_id") -> str:
+    """CTEs that classify the texts of a table: k has its id, text, category, score and signals; patterns as in :func:`_screened`."""
     start, end = f"(?:^|[^{_W}])", f"(?:[^{_W}]|$)"
     apart = rf"regexp_replace(text, '([^{_W}.:/+\-])', '\1\1', 'g')"
     wide = rf"regexp_replace(text, '([^{_W}.])', '\1\1', 'g')"
@@ -131,15 +131,41 @@ def _classified() -> str:
         "CASE WHEN symbols >= 8 THEN 'code_symbol_density' END",
     ]
     listed = ", ".join(f"'{t}'" for t in TERMS)
-    return rf"""c AS MATERIALIZED (SELECT *, len(list_filter(words, lambda w: list_contains([{listed}], w))) AS hits FROM (
-  SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z][a-z0-9_+\-]*') AS words, {", ".join(f"{v} AS {k}" for k, v in counts.items())},
-    {present(THAI_STRONG)} AS strong, {present(THAI_SUPPORT)} AS support, {present(THAI_GENERIC)} AS generic, {symbols} AS symbols FROM documents WHERE text IS NOT NULL)),
-e AS (SELECT *, hits >= 3 AND hits / greatest(len(words), 1) >= 0.03 AS dense FROM c),
-g AS (SELECT doc_id, text, {" + ".join(points)} AS score, list_sort(list_filter([{", ".join(signs)}], lambda x: x IS NOT NULL)) AS signals FROM e),
-k AS (SELECT doc_id, text, CASE WHEN score >= 4 THEN 'technical_scientific_code' ELSE 'general' END AS category, score, signals FROM g)"""
+    return rf"""kc AS MATERIALIZED (SELECT *, len(list_filter(words, lambda w: list_contains([{listed}], w))) AS hits FROM (
+  SELECT {name}, text, regexp_extract_all(lower(text), '[a-z][a-z0-9_+\-]*') AS words, {", ".join(f"{v} AS {k}" for k, v in counts.items())},
+    {present(THAI_STRONG)} AS strong, {present(THAI_SUPPORT)} AS support, {present(THAI_GENERIC)} AS generic, {symbols} AS symbols FROM {table} WHERE text IS NOT NULL)),
+ke AS (SELECT *, hits >= 3 AND hits / greatest(len(words), 1) >= 0.03 AS dense FROM kc),
+kg AS (SELECT {name}, text, {" + ".join(points)} AS score, list_sort(list_filter([{", ".join(signs)}], lambda x: x IS NOT NULL)) AS signals FROM ke),
+k AS (SELECT {name}, text, CASE WHEN score >= 4 THEN 'technical_scientific_code' ELSE 'general' END AS category, score, signals FROM kg)"""
 
 
+_MANIFEST = f"""
+WITH RECURSIVE c AS (
+  SELECT candidate_id AS id, canonical_id AS name, {_key("source_id")} AS source_id, artifact_id, language, partition, rights_lane, lower(dedup_fingerprint) AS f,
+    CASE WHEN regexp_full_match(trim(simhash64_hex), '[0-9a-fA-F]{{1,16}}') THEN {_SIM} END AS h FROM global_candidate
+  WHERE partition IN ('holdout', 'validation', 'train') AND rights_lane IN ('release_safe', 'research_only') AND dedup_fingerprint IS NOT NULL
+), o AS (SELECT *, row_number() OVER (ORDER BY CASE partition WHEN 'holdout' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, CASE rights_lane WHEN 'release_safe' THEN 0 ELSE 1 END, source_id, artifact_id, id) AS n FROM c),
+near AS (
+  SELECT x.n, y.name AS other, CASE WHEN x.f = y.f THEN 0 ELSE 1 END AS kind, CASE WHEN x.f = y.f THEN 0 ELSE bit_count(xor(x.h, y.h)) END AS d
+  FROM o x JOIN o y ON y.n < x.n AND (x.f = y.f OR bit_count(xor(x.h, y.h)) <= 3)
+), s AS (SELECT *, (kind, d, other) AS score FROM near), r(n, accepted, id, other, kind, d) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], NULL::BIGINT, NULL::VARCHAR, NULL::INTEGER, NULL::INTEGER
+  UNION ALL
+  SELECT t.n, CASE WHEN t.other IS NULL THEN list_append(t.accepted, t.name) ELSE t.accepted END, t.id, t.other, t.kind, t.d FROM (
+    SELECT o.n, any_value(r.accepted) AS accepted, any_value(o.id) AS id, any_value(o.name) AS name, arg_min(s.other, s.score) FILTER (list_contains(r.accepted, s.other)) AS other,
+      arg_min(s.kind, s.score) FILTER (list_contains(r.accepted, s.other)) AS kind, arg_min(s.d, s.score) FILTER (list_contains(r.accepted, s.other)) AS d
+    FROM r JOIN o ON o.n = r.n + 1 LEFT JOIN s ON s.n = o.n GROUP BY o.n) t
+), {_classified("global_candidate", "candidate_id")}, v AS (
+  SELECT r.id AS candidate_id, CASE WHEN r.other IS NULL THEN 'accept' ELSE 'exclude' END AS status,
+    CASE WHEN r.other IS NULL THEN NULL WHEN r.kind = 0 THEN 'cross_source_exact_duplicate' ELSE 'cross_source_near_duplicate' END AS reason, r.other AS duplicate_of, r.d AS hamming_distance,
+    CASE WHEN r.other IS NULL THEN CASE WHEN y.main_category = 'flywire_domain' THEN y.main_category WHEN k.category = 'technical_scientific_code' THEN k.category
+      WHEN o.language = 'th' THEN 'general_thai' WHEN o.language = 'en' THEN 'general_english' END END AS primary_category,
+    CASE WHEN r.other IS NULL THEN {_bytes("k.text")} ELSE 0 END AS token_count, o.partition, o.rights_lane, o.language
+  FROM r JOIN o ON o.id = r.id LEFT JOIN k ON k.candidate_id = r.id LEFT JOIN source_registry y ON y.source_id = o.source_id WHERE r.id IS NOT NULL)"""
 _SCREEN_DOCS = _screened("SELECT doc_id AS id, text FROM documents")
+_RECORDS = f"""rec AS (SELECT canonical_id AS record_id, text, language, {_key("source_id")} AS source_id, partition FROM global_candidate
+  WHERE {" AND ".join(f"coalesce({_key(c)}, '') <> ''" for c in ("canonical_id", "text", "language", "source_id", "partition"))}
+    AND partition IN ('train', 'validation', 'holdout') AND language IN ('th', 'en', 'mixed', 'other'))"""
 _SCREEN_AUDIT = _screened("SELECT audit_id AS id, text FROM audit_row")
 
 SQL = {
@@ -250,6 +276,8 @@ WITH RECURSIVE c AS (
 SELECT id AS candidate_id, CASE WHEN other IS NULL THEN 'accept' ELSE 'exclude' END AS status,
   CASE WHEN other IS NULL THEN NULL WHEN kind = 0 THEN 'cross_source_exact_duplicate' ELSE 'cross_source_near_duplicate' END AS reason,
   other AS duplicate_of, d AS hamming_distance FROM r WHERE id IS NOT NULL""",
+    "manifest_by_fields": f"{_MANIFEST} SELECT candidate_id, status, reason, duplicate_of, hamming_distance, primary_category, token_count FROM v",
+    "decision_tokens_by_fields": f"{_MANIFEST} SELECT partition, rights_lane, language, primary_category, count(*) AS records, CAST(sum(token_count) AS BIGINT) AS tokens FROM v WHERE status = 'accept' GROUP BY ALL",
     "manifest_undecidable": """SELECT 'no_text' AS rule, CAST(candidate_id AS VARCHAR) AS id, '' AS detail FROM global_candidate WHERE text IS NULL
 UNION ALL SELECT 'partition', CAST(candidate_id AS VARCHAR), coalesce(partition, 'null') FROM global_candidate WHERE coalesce(partition NOT IN ('train', 'validation', 'holdout'), true)
 UNION ALL SELECT 'rights_lane', CAST(candidate_id AS VARCHAR), coalesce(rights_lane, 'null') FROM global_candidate WHERE coalesce(rights_lane NOT IN ('release_safe', 'research_only'), true)""",
@@ -393,6 +421,11 @@ n AS (SELECT artifact_id, s, l, r, count(*) AS n FROM c WHERE artifact_id IS NOT
 t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY n DESC, s DESC NULLS LAST, l DESC NULLS LAST, r DESC NULLS LAST) = 1)
 SELECT 'row_of_another_input' AS rule, CAST(candidate_id AS VARCHAR) AS id, coalesce(c.artifact_id, 'null') AS detail FROM c LEFT JOIN t USING (artifact_id)
 WHERE NOT coalesce(c.s = t.s AND c.l = t.l AND (c.r IS NULL OR c.r = t.r), false)""",
+    "json_round_trip": f"WITH {_RECORDS} SELECT record_id, language, source_id, partition, sha256(text) AS text_sha256 FROM rec",
+    "json_report": f"WITH {_RECORDS} SELECT count(*) AS rows, CAST(sum({_bytes('text')}) AS BIGINT) AS text_bytes FROM rec",
+    "pilot_partitions": f"WITH {_RECORDS} SELECT partition, count(*) AS records FROM rec WHERE partition <> 'holdout' GROUP BY partition",
+    "split_rows": f"""WITH {_SCREEN_DOCS} SELECT id AS doc_id, status, CASE WHEN status = 'accept' THEN 'accepted' ELSE 'excluded' END AS sink, CASE WHEN status = 'accept' THEN utf8_bytes END AS text_bytes FROM d""",
+    "stream_screened": f"WITH {_SCREEN_AUDIT} SELECT id AS audit_id, status FROM d",
     "step_plan": """WITH s AS (SELECT source_id, language, primary_category, needed_tokens, CAST(ceil(needed_tokens / 65536) AS BIGINT) AS steps FROM token_budget WHERE needed_tokens > 0)
 SELECT *, greatest(1, CAST(ceil(steps * 0.02) AS BIGINT)) AS warmup_steps, steps * 65536 AS scheduled_tokens, steps * 65536 - needed_tokens AS overshoot FROM s""",
 }
