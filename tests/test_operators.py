@@ -346,4 +346,5 @@ def test_salted_joins_equal_plain_ones(spark):
         got = salted_join(left, right, ["k"], heavy, F.col("id"))
         assert got.columns == ["id", "k", "v"] and {(r["id"], r["v"]) for r in got.collect()} == want
     assert {(r["id"], r["v"]) for r in spread_join(left, right, ["k"], F.col("id"), 5000, least=100).collect()} == want
+    assert {(r["id"], r["v"]) for r in spread_join(left, right, ["k"], F.col("id"), 5000).collect()} == want
     assert heavy_keys(counts.where("false"), ["k"]).count() == 0

@@ -45,11 +45,28 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataF
     return a.join(b, on, "left").drop("__salt", "__s", *names)
 
 
+def heavy_bound(rows: int, least: int = 10_000) -> float:
+    """Rows from which a key is heavy, of about ``rows`` in all."""
+    return max(least, HOT_SHARE * rows)
+
+
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, spread: Column) -> DataFrame:
+    """:func:`salted_join` if there is a heavy key, and the plain join, which needs no shuffle by salt, if there is none."""
+    if not heavy.isEmpty():
+        return salted_join(left, right, keys, heavy, spread)
+    names = [f"__r{i}" for i in range(len(keys))]
+    renamed = right.withColumnsRenamed(dict(zip(keys, names)))
+    on = F.lit(True)
+    for k, n in zip(keys, names):
+        on &= left[k].eqNullSafe(renamed[n])
+    return left.join(renamed, on, "left").drop(*names)
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, rows: int, least: int = 10_000) -> DataFrame:
-    """:func:`salted_join` by the heavy keys of ``left``, which has about ``rows`` rows.
+    """:func:`join_heavy` by the heavy keys of ``left``, which has about ``rows`` rows and should lie in the shared folder.
 
     A key is heavy from ``least`` rows and HOT_SHARE of all on, so the heavy keys are at
     most 1/HOT_SHARE whatever the data; they are counted with map-side combine.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(left, right, keys, counts.where(F.col("n") >= max(least, HOT_SHARE * rows)).select(*keys), spread)
+    return join_heavy(left, right, keys, counts.where(F.col("n") >= heavy_bound(rows, least)).select(*keys), spread)
