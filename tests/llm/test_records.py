@@ -157,6 +157,15 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_with_spread_hubs(spark, monkeypatch):
+    from textquarry.llm import components as C
+
+    monkeypatch.setattr(C, "heavy_bound", lambda rows: 20)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 200)] + [(500, i) for i in range(400, 480)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 200)) and all(got[i] == 400 for i in [*range(400, 480), 500])
+
+
 def test_pages_and_groups(spark):
     same = ["https://www.A.example/p/?utm_source=x&id=1#top", " http://a.EXAMPLE/p?id=1", "//a.example/p?id=1&utm_term=3"]
     other = ["https://a.example/P?id=1", "https://a.example/p?id=2", "https://a.example/p", "https://b.example/p?id=1"]

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.joins import heavy_keys, salted_join, spread_join
+from textquarry.functions.joins import heavy_bound, heavy_keys, join_heavy, salted_join, spread_join
 from textquarry.functions.keys import key, strip
 from textquarry.functions.state import cut
 from textquarry.llm.components import components
@@ -60,7 +60,7 @@ def related(rows: DataFrame, row_id: str, entities: list[str]) -> DataFrame:
         F.when(F.col(second).isNotNull(), F.xxhash64(F.lit(1), second)).alias("e2"),
     )
     number = named.count()
-    edges = named.where("e1 is not null and e2 is not null").select("e1", "e2").distinct()
+    edges = cut(named.where("e1 is not null and e2 is not null").select("e1", "e2").distinct())
     owner = cut(edges.groupBy("e2").agg(F.min("e1").alias("owner"), F.max("e1").alias("other")))
     several = owner.where("owner < other").select("e2", F.lit(True).alias("several"))
     linking = spread_join(edges, several, ["e2"], F.col("e1"), number).where("several").select(F.col("e1").alias("a"), F.col("e2").alias("b"))
@@ -69,11 +69,16 @@ def related(rows: DataFrame, row_id: str, entities: list[str]) -> DataFrame:
     return spread_join(home, label, ["node"], F.col(row_id), number).select(row_id, F.coalesce("label", "node").alias("group"))
 
 
-def divided(rows: DataFrame, row_id: str, group: str, partition: Column) -> DataFrame:
-    """(group_row_id, row_id) of all rows of groups that lie in more than one partition today."""
+def divided(rows: DataFrame, row_id: str, group: str, partition: Column, number: int | None = None) -> DataFrame:
+    """(group_row_id, row_id) of all rows of groups that lie in more than one partition today.
+
+    ``number``: about how many rows there are, if that is known.
+    """
     p = rows.select(row_id, group, partition.alias("__p")).where(F.col(group).isNotNull())
-    split = p.groupBy(group).agg(F.min(row_id).alias("group_row_id"), F.min("__p").alias("low"), F.max("__p").alias("high")).where("low < high")
-    joined = spread_join(p, split.select(group, "group_row_id"), [group], F.col(row_id), rows.count())
+    sums = p.groupBy(group).agg(F.min(row_id).alias("group_row_id"), F.min("__p").alias("low"), F.max("__p").alias("high"), F.count(F.lit(1)).alias("n"))
+    split = cut(sums.where("low < high").select(group, "group_row_id", "n"))
+    heavy = split.where(F.col("n") >= heavy_bound(rows.count() if number is None else number)).select(group)
+    joined = join_heavy(p, split.drop("n"), [group], heavy, F.col(row_id))
     return joined.where("group_row_id is not null").select("group_row_id", row_id).distinct()
 
 

@@ -82,19 +82,19 @@ def _source_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _grouped(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _source_rows(spark, sf)
-    return cut(rows.join(related(rows, "row_id", ["group_id", "page"]), "row_id"))
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.join(related(rows, "row_id", ["group_id", "page"]), "row_id")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the groups of related rows that lie in more than one partition today."""
-    return divided(_grouped(spark, sf), "row_id", "group", F.col("partition"))
+    rows = _source_rows(spark, sf)
+    return divided(_grouped(rows), "row_id", "group", F.col("partition"), rows.count())
 
 
 def _splits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their groups, rows by group and language, and the split of each group."""
-    rows = cut(_grouped(spark, sf).select("row_id", F.coalesce("group", F.xxhash64(F.lit("row"), "row_id")).alias("group"), "language").distinct())
+    rows = cut(_grouped(_source_rows(spark, sf)).select("row_id", F.coalesce("group", F.xxhash64(F.lit("row"), "row_id")).alias("group"), "language").distinct())
     # a row that was delivered with several languages counts for the first
     counts = cut(rows.groupBy("row_id", "group").agg(F.min("language").alias("language")).groupBy("group", "language").agg(F.count(F.lit(1)).alias("n")))
     return rows, counts, cut(assign(counts, "group", "language", "n", SPLIT_SHARES))
