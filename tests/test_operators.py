@@ -136,6 +136,20 @@ def test_near_values_and_matches(spark):
     assert got == {(i, j, bin(a ^ b).count("1")) for i, a in enumerate(v) for j, b in enumerate(v) if i != j and i % 5 == 0 and bin(a ^ b).count("1") <= 3}
 
 
+def test_near_values_send_no_keys_to_the_driver(spark):
+    # the values look small enough for a broadcast, their 120 keys each are not
+    values = spark.range(3_000).select(F.xxhash64(F.col("id") % 1_500).bitwiseXOR(F.col("id")).alias("s"))
+    for against in (None, values.where("s > 0")):
+        near = near_values(values, "s", 7, against)
+        rows = near.collect()
+        assert rows
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+        # no coalesced task makes all keys
+        assert "REPARTITION_BY_NUM" in plan
+        assert all(bin((r["a"] ^ r["b"]) & (2**64 - 1)).count("1") == r["distance"] <= 7 for r in rows)
+
+
 def test_settling_a_long_chain(spark):
     n = 12
     nodes = spark.range(n).select(F.lit(None).cast("string").alias("f"), F.col("id").alias("s"), F.col("id").alias("rank"))
